@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readweave.llm import bpe, rules
+from readweave.llm import bpe, langid, packing, quality, rules, tokenfiles, urls
+from readweave.session import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +22,45 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn languages outside the held-out fold, then predict every document's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~quality.held_out("doc_id")))
+    out = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.withColumn("held_out", quality.held_out("doc_id"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn quality from labels outside the held-out fold, then score every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).withColumn("held_out", quality.held_out("doc_id"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and classifier over every URL."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write token files in ascending doc_id order and read them back."""
+    folder = new_folder(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfiles.with_crc32(tokenfiles.read(spark, folder))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack documents into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the rules."""
     return rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_url_filter, op6_token_files, op7_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
