@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readweave.llm import bpe, langid, packing, quality, rules, tokenfiles, urls
+from readweave.llm import bpe, jaccard, langid, packing, quality, rules, tokenfiles, urls
 from readweave.session import new_folder
 
 
@@ -42,6 +42,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their five-word shingles."""
+    return jaccard.components(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write token files in ascending doc_id order and read them back."""
     folder = new_folder(spark, "tokens")
@@ -60,7 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_url_filter, op6_token_files, op7_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_url_filter, op5_jaccard_join, op6_token_files, op7_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
