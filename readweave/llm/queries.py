@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readweave.llm import bpe, jaccard, langid, packing, quality, rules, tokenfiles, urls
+from readweave.llm import ann, bpe, jaccard, langid, packing, quality, rules, tokenfiles, urls, warc
 from readweave.session import new_folder
 
 
@@ -59,13 +59,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the rules."""
     return rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to archives and read them back."""
+    folder = new_folder(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), folder, least=1000)
+    return warc.read(spark, folder, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_url_filter, op5_jaccard_join, op6_token_files, op7_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_url_filter, op5_jaccard_join, op6_token_files, op7_packing, op8_nearest, op9_quality_rules, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
