@@ -1,0 +1 @@
+"""Overlap analytics on Spark: which reads (or texts) overlap, by sketches, by shared k-mers, by position."""

@@ -1,0 +1 @@
+"""Reserved: the engine is batch throughout, so there is no streaming operator."""
