@@ -108,9 +108,9 @@ archive.example.org/papers/1998
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL."""
-    u = F.coalesce(url, F.lit(""))
-    host = F.translate(F.regexp_extract(u, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.regexp_extract(u, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
+    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)
     return host, path
 
 

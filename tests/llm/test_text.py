@@ -110,6 +110,8 @@ def test_languages_odd_rows(clashing, none):
     ("", "", "", None, "allow"),
     ("http://best-online-casino.example/jackpot/win-now", "best-online-casino.example", "/jackpot/win-now", None, "block"),
     ("a://b://c/d", "b:", "//c/d", None, "allow"),
+    ("http://x.org?u=http://y.net/z", "x.org", "", None, "allow"),
+    ("http://a.net/b\nc?d", "a.net", "/b\nc", "net/", "block"),
 ])
 def test_urls(spark, url, host, path, rule, verdict):
     df = spark.createDataFrame([(1, url, "clash"), (1, url, "clash")], "page_id long, url string, host string")
