@@ -10,15 +10,16 @@ shingles) and follows adaptive multi-match prefix filtering:
     list of bounded size; their postings are dealt over all ranges, so no shingle's
     postings have to meet in one task. Likewise, of a text with very many copies
     only one row sends postings.
-3.  *Prefixes.* A node's shingles are ordered by frequency, rare first. Of sets that
-    reach the threshold, at least l of the first n - ceil(t n) + l shingles are the
-    same, for every l. Each node takes the l that costs least by its shingles'
+3.  *Prefixes.* A node's shingles are ordered by frequency, rare first. Two sets of
+    sizes n and m that reach the threshold t share o = ceil(t (n + m) / (1 + t)) or more,
+    so for every l, l of them lie in the first n - o + l of the one and the first
+    m - o + l of the other. Each node takes the l that costs least by its shingles'
     frequencies: a longer prefix brings more postings but needs more matches before
     a pair is verified. A pair uses the smaller l of its two nodes.
 4.  *Links.* Only components are asked for, so pairs inside one component need no
     test. Two rounds link the nodes of each prefix shingle to one centre; then all
-    pairs that still lie in different components and share enough prefix shingles
-    are verified against the whole sets. Components come from alternating large-star
+    pairs that still lie in different components, share enough prefix shingles and
+    don't differ in too many bits of a small map are verified against the whole sets. Components come from alternating large-star
     and small-star steps over written tables.
 
 Null and empty texts have an empty set, size 0 and are linked with nothing: their
@@ -42,12 +43,14 @@ from readweave.session import written
 
 BITS = np.uint64(48)
 MASK = np.uint64((1 << 48) - 1)
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Length of the lists of common shingles and of texts with many copies.
 LISTED = 100_000
 #: What verifying a pair costs, in postings.
 VERIFY = 20.0
 MOST_MATCHES = 4
+#: Words of 64 bits in a node's map of shingles.
+WORDS = 16
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +125,13 @@ def to_blobs(bucket: np.ndarray, token: np.ndarray, node: np.ndarray, n: np.ndar
 
 
 def from_blobs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, nodes, set sizes and frequencies (0 where not known) of all rows' postings."""
+    """Tokens, nodes, set sizes and (if they have them) frequencies of all rows' postings."""
     out: list[tuple[np.ndarray, ...]] = []
     for r in table.select(NAMES).to_pylist():
         place = unpack(r["place"], r["size"], 4).astype(np.int64)
         node = np.frombuffer(r["node"], "<i8")[place]
-        n = unpack(r["n"], r["nodes"], 4).astype(np.int64)[place]
-        df = unpack(r["df"], r["size"], 5).astype(np.int64) if r["df"] else np.zeros(r["size"], np.int64)
+        n = unpack(r["n"], r["nodes"], 4).astype(np.uint32)[place]
+        df = unpack(r["df"], r["size"], 5).astype(np.int64) if r["df"] else np.zeros(0, np.int64)
         out.append((np.cumsum(unpack(r["tokens"], r["size"], 6), dtype=np.uint64), node, n, df))
     if not out:
         z = np.zeros(0, np.int64)
@@ -171,7 +174,7 @@ def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5)
                 docs, size = docs + hi - lo, size + len(tokens)
                 none = pa.nulls(hi - lo, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n), mask=n == 0), none, none], names)
-                if size > 2 * CHUNK:
+                if size > 4 * CHUNK:
                     yield from common()
                     held, docs, size = [], 0, 0
         yield from common()
@@ -241,8 +244,8 @@ def shared(blobs: DataFrame, buckets: int, common) -> DataFrame:
 
 
 def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
-    """Nodes that may have a partner: node, n, matches (their l), weight, tokens and levels of the prefix, and shared (all tokens that other nodes have too, sorted, 6 bytes each)."""
-    schema = "node long, n long, matches int, weight double, tokens array<long>, levels array<int>, shared binary"
+    """Nodes that may have a partner: node, n, alone (tokens that no other node has), matches (their l), weight, tokens of the prefix from place ``alone`` on, shared (all tokens that other nodes have too, sorted, 6 bytes each), and bits (a map of WORDS * 64 bits of these)."""
+    schema = "node long, n long, alone long, matches int, weight double, tokens array<long>, shared binary, bits array<long>"
 
     def run(table: pa.Table) -> pa.Table:
         token, node, n, df = from_blobs(table)
@@ -263,16 +266,21 @@ def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
             k = int(np.argmin(prices))
             p = reach[k]
             whole = np.sort(token[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(node[a]), size, k + 1, float(np.log(df[a:b]).sum() / size), token[a : a + p].astype(np.int64), level[:p].astype(np.int32), np.ascontiguousarray(whole).tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["node", "n", "matches", "weight", "tokens", "levels", "shared"])
+            bits = np.zeros(64 * WORDS, bool)
+            bits[(token[a:b] % np.uint64(64 * WORDS)).astype(np.int64)] = True
+            rows.append((int(node[a]), size, alone, k + 1, float(np.log(df[a:b]).sum() / size), token[a : a + p].astype(np.int64), np.ascontiguousarray(whole).tobytes(), np.packbits(bits, bitorder="little").view("<i8")))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["node", "n", "alone", "matches", "weight", "tokens", "shared", "bits"])
 
     return blobs.groupBy("bucket").applyInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes those whose sets reach the threshold."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"set_{x}"))
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    some = nodes.select("node", "n", "shared").join(asked, "node", "left_semi")  # before sets are moved
+    side = lambda x: some.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
 
     def tokens(blob: bytes) -> np.ndarray:
@@ -321,15 +329,21 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the components of all nodes that are linked with another node."""
-    post = nodes.select("node", "n", "matches", "weight", F.explode(F.arrays_zip("tokens", "levels")).alias("p")).select("node", "n", "matches", "weight", F.col("p.tokens").alias("token"), F.col("p.levels").alias("level"))
+    columns = ["node", "n", "alone", "matches", "weight"]
+    post = nodes.select(*columns, F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("alone") + F.col("place"))
     more = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     post = written(post.join(more, "token"), "prefixes")
-    right = post.select("token", *(F.col(c).alias(f"r_{c}") for c in ("node", "n", "matches", "weight", "level")))
-    fit = f"100 * least(n, r_n) >= {percent} * greatest(n, r_n) and greatest(level, r_level) <= least(matches, r_matches)"
+    right = post.select("token", *(F.col(c).alias(f"r_{c}") for c in (*columns, "place")))
+    # what two sets of these sizes must share, and how far into each the l-th shared token can lie then
+    same = f"({percent} * (n + r_n) + {99 + percent}) div {100 + percent}"
+    fit = (
+        f"100 * least(n, r_n) >= {percent} * greatest(n, r_n) and least(n - alone, r_n - r_alone) >= {same}"
+        f" and greatest(place - n, r_place - r_n) + {same} < least(matches, r_matches)"
+    )
     pair = [F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")]
 
     def centred(labelled: DataFrame, order) -> DataFrame:
-        best = labelled.groupBy("token").agg(F.max(F.struct(order.alias("o"), F.col("node").alias("r_node"), F.col("n").alias("r_n"), F.col("matches").alias("r_matches"), F.col("level").alias("r_level"), F.col("label").alias("r_label"))).alias("s")).select("token", "s.*")
+        best = labelled.groupBy("token").agg(F.max(F.struct(order.alias("o"), *(F.col(c).alias(f"r_{c}") for c in ("node", "n", "alone", "matches", "place", "label")))).alias("s")).select("token", "s.*")
         return labelled.join(best, "token").where("label <> r_label and node <> r_node").where(fit).select(*pair).distinct()
 
     def labelled(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
@@ -344,15 +358,18 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
         labels = written(connected(found), "labels")
     known = labelled(labels, post)
     groups = known.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main")
-    mixed = known.join(groups, "token")
-    few = mixed.where("label <> main")
-    all_ = right.join(labels.withColumnRenamed("node", "r_node").withColumnRenamed("label", "r_label"), "r_node", "left").withColumn("r_label", F.coalesce("r_label", "r_node"))
-    rest = few.join(all_, "token").where("label <> r_label and (r_label = main or node < r_node)").where(fit)
+    bits = nodes.select("node", "bits")
+    few = known.join(groups, "token").where("label <> main").join(bits, "node")
+    all_ = right.join(groups.select("token"), "token", "left_semi").join(bits.select(F.col("node").alias("r_node"), F.col("bits").alias("r_bits")), "r_node").join(labels.withColumnRenamed("node", "r_node").withColumnRenamed("label", "r_label"), "r_node", "left").withColumn("r_label", F.coalesce("r_label", "r_node"))
+    # each bit that one map has over the other is a shingle that the other set lacks
+    over = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (s, p) -> s + p)"
+    near = f"n - alone - ({over('bits', 'r_bits')}) >= {same} and r_n - r_alone - ({over('r_bits', 'bits')}) >= {same}"
+    rest = few.join(all_, "token").where("label <> r_label and (r_label = main or node < r_node)").where(fit).where(near)
     rest = rest.groupBy(*pair).agg(F.count("*").alias("shared"), F.first(F.least("matches", "r_matches")).alias("needed")).where("shared >= needed").select("a", "b")
     return connected(verified(rest, nodes, percent).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
-def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75, bucket_bytes: int = 16 << 20) -> DataFrame:
+def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75, bucket_bytes: int = 6 << 20) -> DataFrame:
     """``key``, n_shingles and component_id of each document."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
