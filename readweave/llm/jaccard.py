@@ -103,6 +103,14 @@ def unpack(blob: bytes, count: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    if not len(values):
+        return []
+    edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]).tolist()
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
+
 POSTINGS = "bucket int, size int, tokens binary, place binary, nodes int, node binary, n binary, df binary"
 NAMES = ["bucket", "size", "tokens", "place", "nodes", "node", "n", "df"]
 
@@ -112,9 +120,8 @@ def to_blobs(bucket: np.ndarray, token: np.ndarray, node: np.ndarray, n: np.ndar
     order = np.lexsort((token, bucket))
     bucket, token, node, n = bucket[order], token[order], node[order], n[order]
     df = df[order] if df is not None else None
-    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     rows = []
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
+    for a, b in runs(bucket):
         own, first, place = np.unique(node[a:b], return_index=True, return_inverse=True)
         rows.append((
             int(bucket[a]), b - a, pack(np.diff(token[a:b], prepend=np.uint64(0)), 6), pack(place.ravel(), 4), len(own),
@@ -230,8 +237,8 @@ def shared(blobs: DataFrame, buckets: int, common) -> DataFrame:
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         token, node, n = token[new], node[new], n[new]
-        edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.r_[edge, len(token)]), np.diff(np.r_[edge, len(token)])) if len(token) else np.zeros(0, np.int64)
+        size = np.array([b - a for a, b in runs(token)], np.int64)
+        df = np.repeat(size, size)
         known, seen = common.value
         hot, where = in_sorted(known, token)
         df[hot] = seen[where[hot]]
@@ -251,9 +258,8 @@ def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
         token, node, n, df = from_blobs(table)
         order = np.lexsort((token, df, node))
         token, node, n, df = token[order], node[order], n[order], df[order]
-        edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
         rows = []
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(node)], strict=True):
+        for a, b in runs(node):
             size = int(n[a])
             need = -(-percent * size // 100)
             alone = size - (b - a)  # shingles of this node only come first
