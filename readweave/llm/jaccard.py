@@ -397,3 +397,17 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: in
     named = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component")
     of_node = groups.join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
     return docs.join(of_node, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+
+
+def oracle(width: int = 5, percent: int = 75) -> str:
+    """The same in DuckDB's SQL, by all shared shingles and a recursive closure; for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + {width - 1}], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - {width - 2}, 2))) AS t(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= {percent} * (p.n + q.n - k)),
+    r(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    m AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON a = doc_id"""

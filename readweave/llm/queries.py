@@ -73,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to archives and read them back."""
     folder = new_folder(spark, "archives")
     warc.write(table(spark, sf_dir, "pages"), folder, least=1000)
-    return warc.read(spark, folder, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return warc.read(spark, folder, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": rules.oracle()}
+    return {"op5_jaccard_join": jaccard.oracle(), "op9_quality_rules": rules.oracle(), "op10_warc": warc.oracle()}

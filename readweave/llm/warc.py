@@ -210,3 +210,11 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
     schema = "key long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, schema)
+
+
+def oracle(least: int = 1000) -> str:
+    """What the archives give back for ``pages``, in DuckDB's SQL."""
+    return f"""
+    WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+    m AS (SELECT *, n >= {least} AND page_id < max(page_id) OVER (PARTITION BY h, n) AS again, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
+    SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM m"""
