@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from readweave.config import RunConfig
 from readweave.functions import ordinals, sequence
 from readweave.operators import evaluate, intervals, lengths, lsh, minhash, shared
+from readweave.session import spread
 from readweave.sources import text
 
 K = 16
@@ -24,7 +25,7 @@ OVERLAP = 20
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
