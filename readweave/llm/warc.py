@@ -1,10 +1,10 @@
 """WARC archives under Zstandard: written and read through Spark's own file sources.
 
 An archive begins with a skippable frame that holds the dictionary; each record is
-one frame. Spark's text sink writes the frames, its line separator being an empty
-skippable frame, which every Zstandard reader passes over; its binary source reads
-whole archives, whose size follows the partitions that they were written from. The
-reader finds each frame's end from its block headers, decodes it with the
+one frame. Spark's text sink writes each archive as one row, its line separator being
+an empty skippable frame, which every Zstandard reader passes over; its binary source
+reads whole archives, of ``archive_bytes`` at most (a larger record has one of its
+own), however much a partition holds. The reader finds each frame's end from its block headers, decodes it with the
 dictionary, and checks version, headers, lengths and the payload's digest: a record
 that fails raises ValueError with the archive's name.
 
@@ -32,6 +32,7 @@ from readweave.llm import flat
 DICTIONARY, SKIPPABLE, FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SEPARATOR = struct.pack("<II", SKIPPABLE, 0)
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 100, 64 << 10, 32 << 10
+ARCHIVE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = 0x52574541 << 96  # the upper half of our record ids
@@ -137,7 +138,7 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:-4]
 
 
-def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000) -> None:
+def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """One record for each row, in archives under ``folder``."""
     spark = df.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
@@ -150,18 +151,25 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
     rows = rows.select("key", "url", F.when(F.col("refers_to").isNull(), F.col("body")).alias("body"), "size", "digest", "refers_to", F.monotonically_increasing_id().alias("serial"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, begun = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words.value), write_checksum=True), False
+        writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words.value), write_checksum=True)
+        first = struct.pack("<II", DICTIONARY, len(words.value)) + words.value
+        out, held = [first], len(first)
         for batch in batches:
             for lo, hi, buf, at in flat.windows(batch.column(2)):
                 data, ends = memoryview(buf), at.tolist()
-                out = [] if begun else [struct.pack("<II", DICTIONARY, len(words.value)) + words.value]
-                begun = True
                 others = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 1, 3, 4, 5, 6))
                 for a, b, (name, target, size, digest, refers_to, serial) in zip(ends[:-1], ends[1:], zip(*others, strict=True), strict=True):
-                    out.append(writer.compress(record(name, serial, target, bytes(data[a:b]), size, digest, refers_to)))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-
-    rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("ascii")).text(folder)
+                    frame = writer.compress(record(name, serial, target, bytes(data[a:b]), size, digest, refers_to))
+                    if len(out) > 1 and held + len(frame) > archive_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+                        out, held = [first], len(first)
+                    out.append(frame)
+                    held += len(frame)
+        if len(out) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
+
+    archives = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.options(lineSep=SEPARATOR.decode("ascii"), maxRecordsPerFile=1).text(folder)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -76,6 +76,20 @@ def test_archives(spark):
     assert all(f["path"].endswith(".warc.zst") and struct.unpack_from("<I", f["content"])[0] == warc.DICTIONARY for f in files if f["length"])
 
 
+def test_archives_have_a_bounded_size(spark):
+    """However much a partition holds, an archive ends at the bound; only a larger record has one of its own."""
+    html = lambda k: "".join(hashlib.sha512(f"{k}-{i}".encode()).hexdigest() for i in range(1000 if k == 50 else 20))
+    rows = [(k, f"http://a/{k}", html(k)) for k in range(100)]
+    folder, bound = new_folder(spark, "test"), 40_000
+    warc.write(pages(spark, rows).coalesce(1), folder, archive_bytes=bound)
+    files = spark.read.format("binaryFile").load(folder).collect()
+    assert 3 < len(files) < 60 and all(struct.unpack_from("<I", f["content"])[0] == warc.DICTIONARY for f in files)
+    one = lambda f: len(list(warc.frames(memoryview(f["content"])))) == 1
+    assert all(f["length"] <= bound + len(warc.SEPARATOR) or one(f) for f in files)
+    got = {r["key"]: bytes(r["payload"]).decode() for r in warc.read(spark, folder).collect()}
+    assert got == {k: text for k, _, text in rows}
+
+
 def test_no_pages(spark):
     folder = new_folder(spark, "test")
     warc.write(pages(spark, [(1, "u", "x")]).where("page_id = 2"), folder)
