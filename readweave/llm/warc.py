@@ -143,7 +143,10 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
     spark = df.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
-    sampled = rows.where(F.octet_length("body").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("key")).limit(SAMPLES).select("body").collect()
+    # a hash picks about 4 * SAMPLES rows of all; taking the first of all rows would send as many from each partition to the driver
+    share = min(1.0, 4 * SAMPLES / max(df.count(), 1))
+    picked = rows.where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 50)) < int(share * (1 << 50))))
+    sampled = picked.where(F.octet_length("body").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("key")).limit(SAMPLES).select("body").collect()
     words = spark.sparkContext.broadcast(dictionary([bytes(r["body"]) for r in sampled]))
     rows = rows.withColumns({"digest": F.sha1("body"), "size": F.octet_length("body").cast("long")})
     twice = rows.where(f"size >= {least} and key is not null").groupBy("digest", "size").agg(F.max("key").alias("response"), F.count("*").alias("c")).where("c > 1").drop("c")
