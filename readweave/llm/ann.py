@@ -125,9 +125,11 @@ def entries(df: DataFrame, vector: str, key: str, k: int) -> tuple[DataFrame, in
     return first.groupBy("v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_set("id")).alias("ids")), d
 
 
-def probes_needed(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim: float) -> int:
-    """The number of axes to probe, from at most SAMPLE queries against all entries."""
-    sample = queries.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("entry", "v").collect()
+def probes_needed(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim: float, asked: int) -> int:
+    """The number of axes to probe, from at most SAMPLE of the ``asked`` queries against all entries."""
+    share = min(1.0, 4 * SAMPLE / asked)  # a threshold first: else each partition would send SAMPLE vectors to the driver
+    picked = queries.where(F.pmod(F.xxhash64("entry"), F.lit(1 << 50)) < int(share * (1 << 50)))
+    sample = picked.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("entry", "v").collect()
     q, names = np.array([list(r["v"]) for r in sample], np.float64), np.array([r["entry"] for r in sample])
     turned = np.stack([np.argsort(t.order(t.unit(q, True), i), axis=1) for i in range(t.tables)])  # place of each axis in each query's order
 
@@ -204,7 +206,7 @@ def search(df: DataFrame, query: F.Column, vector: str = "embedding", key: str =
     asked = queries.count()
     if not asked:
         return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    probes = min(2 * t.axes, probes_needed(index, queries, t, k, aim))
+    probes = min(2 * t.axes, probes_needed(index, queries, t, k, aim, asked))
 
     def answers(near: DataFrame) -> DataFrame:
         near = near.groupBy("q", "entry").agg(F.max("score").alias("score"))
