@@ -23,6 +23,18 @@ NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def lowered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """ASCII letters in lower case, save in pieces with wide characters: NFC comes first, and some marks (U+030C after j) compose with small letters only."""
+    low, wide = flat.LOWER[buf], buf >= 128
+    if wide.any() and len(start):
+        run = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(wide, out=run[1:])
+        mixed = run[end] > run[start]
+        kept = flat.ranges(start[mixed], (end - start)[mixed])
+        low[kept] = buf[kept]
+    return low
+
+
 class Encoder:
     """``source``: the text of a tokenizers JSON file."""
 
@@ -60,9 +72,9 @@ class Encoder:
             whole = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
             return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
-        if b"<|" not in buf.tobytes():  # else lower case could make a special token
-            buf = flat.LOWER[buf]
         start, end, row = flat.token_spans(buf, at, self.specials, keep_space=False)
+        if b"<|" not in buf.tobytes():  # else lower case could make a special token
+            buf = lowered(buf, start, end)
         ids, length = self.table.lookup(buf, start, end)
         return ids, flat.row_sums(length, row, len(at) - 1)
 

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from readweave.llm import bpe, flat, packing, tokenfiles
+from readweave.llm import bpe, flat, packing, tokenfiles, wordpieces
 from readweave.session import new_folder
 from tests_llm_data import ODD
 
@@ -50,6 +50,22 @@ def test_random_texts(library):
     assert got == [e.ids for e in library[BYTES].encode_batch(texts, add_special_tokens=False)]
 
 
+def test_capitals_whose_small_letters_compose(library):
+    """NFC comes before lower case: these six pairs have a composed form in small letters only."""
+    import pyarrow as pa
+
+    pairs = ["T\u0308", "T\u0344", "W\u030a", "Y\u030a", "J\u030c", "H\u0331"]
+    texts = [t for p in pairs for t in (p, p.lower(), f"THE {p}AB, and a{p} Plain")] + ["H\u0302\u0331", "NAI\u0308VE,ABC"]
+    texts += [chr(a) + chr(m) for a in range(65, 91) for m in range(0x300, 0x370)]
+    model = wordpieces.Encoder(open(WORDS, encoding="utf-8").read())
+    assert model.pieces
+    got = []
+    for _, _, buf, at in flat.windows(pa.array(texts), 1 << 12):
+        ids, n = model.encode(buf, at)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [e.ids for e in library[WORDS].encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files(spark, clashing, none, library):
     folder = new_folder(spark, "test")
     tokenfiles.write(clashing, folder, WORDS, 2)
