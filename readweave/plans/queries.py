@@ -18,8 +18,8 @@ from readweave.session import spread
 from readweave.sources import text
 
 K = 16
-SKETCH = RunConfig(kmer=K, block=2, bands=10, seed=1)
-CAPPED = RunConfig(kmer=K, block=2, bands=10, seed=1, max_bucket=3)
+SKETCH = RunConfig(kmer=K)
+CAPPED = RunConfig(kmer=K, max_bucket=3)
 LEAST = 0.3
 OVERLAP = 20
 

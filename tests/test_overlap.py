@@ -1,11 +1,16 @@
 """The small fixture of twelve reads with known positions, and edge cases."""
 
+import hashlib
+import itertools
+import random
+
+import numpy as np
 import pytest
 
 from readweave.config import RunConfig, run_type
 from readweave.functions import ordinals, sequence
 from readweave.operators import evaluate, intervals, lengths, lsh, minhash, shared
-from readweave.plans import runs
+from readweave.plans import queries, runs
 from readweave.sources import text
 
 READS = """
@@ -95,6 +100,39 @@ def test_candidates(reads):
     assert fewer <= found
 
 
+def test_registered_setting_finds_weak_overlaps(spark):
+    """Pairs of Jaccard similarity of about 0.3: the registered setting finds at least 95 of 100."""
+    rng = random.Random(7)
+    bases = lambda n: "".join(rng.choices("ACGT", k=n))
+    rows = []
+    for k in range(100):
+        common = bases(150)
+        rows += [(2 * k, bases(150) + common), (2 * k + 1, common + bases(150))]
+    pairs = spark.createDataFrame(rows, "rid long, seq string")
+    true = got(shared.jaccard_pairs(pairs, queries.K, 0.29))
+    assert len(true) == 100
+    assert len(true & got(lsh.candidates(pairs, queries.SKETCH, portable=True))) >= 95
+
+
+def test_registered_setting_against_brute_force(reads):
+    turn = str.maketrans("ACGT", "TGCA")
+    made, block, buckets = minhash.family(750, 1), 3, {}
+    for k, s in enumerate(READS):
+        kmers = {min(w, w.translate(turn)[::-1]) for w in (s[i : i + 16] for i in range(len(s) - 15))}
+        xs = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) % minhash.P for w in kmers]
+        sig = [min((a * x + b) % minhash.P for x in xs) for a, b in made]
+        for band in range(250):
+            buckets.setdefault((band, *sig[block * band : block * band + block]), []).append(k)
+    pairs = lambda most: {p for rids in buckets.values() if len(rids) <= most for p in itertools.combinations(rids, 2)}
+    assert got(lsh.candidates(reads, queries.SKETCH, portable=True)) == pairs(len(READS))
+    assert got(lsh.candidates(reads, queries.CAPPED, portable=True)) == pairs(3)
+
+
+def test_modulo():
+    h = [0, 1, minhash.P - 1, minhash.P, minhash.P + 1, 2 * minhash.P, (minhash.P - 1) ** 2 + minhash.P - 1, minhash.P**2, *np.random.default_rng(1).integers(0, minhash.P**2, 1000).tolist()]
+    assert minhash.modulo(np.array(h, np.uint64)).tolist() == [x % minhash.P for x in h]
+
+
 def test_strand_and_partitions_do_not_matter(spark, reads):
     turned = reads.withColumn("seq", sequence.reverse_complement(reads["seq"])).repartition(7)
     config = RunConfig(bands=40)
