@@ -14,13 +14,14 @@ their true neighbours. Queries that still meet too few rows are compared with al
 Equal vectors are one entry with its smallest ids, as many as any answer can use, so
 copies cost nothing. Axes and queries are dealt in blocks: no task has to hold all
 of a popular axis. Vectors that are null, empty, zero, or hold nulls or non-finite
-components take no part, nor do null ids and vectors whose length isn't the
-commonest (ties: the longer). Repeated rows count once; a query never meets rows of
+components take no part, nor do null ids. Vectors of each length are searched among
+their own. Repeated rows count once; a query never meets rows of
 its own id. Ties go to the smaller id. Other columns are not carried.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,15 +115,17 @@ def best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))  # type: ignore[return-value]
 
 
-def entries(df: DataFrame, vector: str, key: str, k: int) -> tuple[DataFrame, int]:
-    """(entry, v, ids): distinct vectors, named by their smallest id, with their k + 1 smallest ids; and the dimensions."""
+def sound_rows(df: DataFrame, vector: str, key: str) -> DataFrame:
+    """(id, v) of the rows that take part."""
     v = F.col("v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null and size(v) > 0").where(sound)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    d = sizes["d"] if sizes else 0
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null and size(v) > 0").where(sound)
+
+
+def entries(rows: DataFrame, d: int, k: int) -> DataFrame:
+    """(entry, v, ids): distinct vectors of length d, named by their smallest id, with their k + 1 smallest ids."""
     first = rows.where(F.size("v") == d).distinct().withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
-    return first.groupBy("v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_set("id")).alias("ids")), d
+    return first.groupBy("v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_set("id")).alias("ids"))
 
 
 def probes_needed(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim: float, asked: int) -> int:
@@ -191,12 +194,22 @@ def met(index: DataFrame, queries: DataFrame, t: Tables, probes: int, k: int, en
 
 def search(df: DataFrame, query: F.Column, vector: str = "embedding", key: str = "vec_id", k: int = 20, tables: int = 8, aim: float = 0.97) -> DataFrame:
     """query_id, rank, ``key``, score: for each row that ``query`` marks (a condition on ``key``) its k nearest rows found, nearest first."""
+    rows, schema = sound_rows(df, vector, key), f"query_id long, rank int, `{key}` long, score double"
+    lengths = sorted(r["d"] for r in rows.withColumnRenamed("id", key).where(query).select(F.size("v").alias("d")).distinct().collect())
+    found = [of_length(df, rows, d, query, vector, key, k, tables, aim) for d in lengths]
+    if not found:
+        return df.sparkSession.createDataFrame([], schema)
+    if len(found) == 1:
+        return found[0]
+    both = functools.reduce(DataFrame.unionByName, found).groupBy("query_id", key).agg(F.max("score").alias("score"))  # an id may have vectors of several lengths
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def of_length(df: DataFrame, rows: DataFrame, d: int, query: F.Column, vector: str, key: str, k: int, tables: int, aim: float) -> DataFrame:
+    """``search`` among the vectors of length d, of which some are asked for."""
     out_names = ["query_id", "rank", key, "score"]
     spark = df.sparkSession
-    found, d = entries(df, vector, key, k)
-    if not d:
-        return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    index = written(found, "entries")
+    index = written(entries(rows, d, k), "entries")
     v = F.transform("v", lambda x: x.cast("double"))
     norms = index.agg(F.max(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("hi"), F.min(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("lo"), F.count("*").alias("n")).first()
     t = Tables(d, float(norms["hi"]), norms["lo"] < norms["hi"] * (1 - 1e-5), tables)

@@ -54,6 +54,12 @@ def test_search_odd_rows(spark):
     assert found(df.limit(0)) == {}
 
 
+def test_each_length_among_its_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0]), (20, [1.0, 0.0, 0.0]), (21, [0.5, 0.5, 0.0]), (0, [0.0, 1.0, 0.0])]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got == {0: [(-0.5, 1), (-0.5, 21), (0.0, 2), (0.0, 20)], 20: [(-0.5, 21), (0.0, 0)]}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("x"), "size": F.lit(0), "response": F.lit(1)})
 
