@@ -133,15 +133,9 @@ class Bpe:
         return self.token_bytes[flat.ranges(self.token_start[ids], length)], flat.row_sums(length, row, len(counts))
 
 
-_loaded: dict[int, Bpe] = {}
-
-
 def loaded(source: str) -> Bpe:
     """One vocabulary with its table of pieces for each worker process."""
-    if (k := hash(source)) not in _loaded:
-        _loaded.clear()
-        _loaded[k] = Bpe(source)
-    return _loaded[k]
+    return flat.resident(("Bpe", source), lambda: Bpe(source))  # type: ignore[return-value]
 
 
 def texts_of(data: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -165,6 +165,23 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, length) + np.arange(total)
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in the worker process until another key is asked for: a worker holds one operator's tables at a time."""
+    if key not in _resident:
+        release()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Drop the tables that an earlier task left in this worker process."""
+    _resident.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class PieceTable:
     """Ids of pieces seen so far, by hash, in sorted flat arrays.
 

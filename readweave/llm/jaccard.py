@@ -43,7 +43,9 @@ from readweave.session import written
 
 BITS = np.uint64(48)
 MASK = np.uint64((1 << 48) - 1)
-CHUNK = 1_000_000
+CHUNK = 600_000
+#: Postings of a range: what one group holds, whatever the input.
+RANGE = 400_000
 #: Length of the lists of common shingles and of texts with many copies.
 LISTED = 100_000
 #: What verifying a pair costs, in postings.
@@ -131,19 +133,28 @@ def to_blobs(bucket: np.ndarray, token: np.ndarray, node: np.ndarray, n: np.ndar
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], NAMES)
 
 
-def from_blobs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, nodes, set sizes and (if they have them) frequencies of all rows' postings."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for r in table.select(NAMES).to_pylist():
-        place = unpack(r["place"], r["size"], 4).astype(np.int64)
+def blob_tokens(rows: list[dict]) -> np.ndarray:
+    """Tokens of all rows' postings, one row after another."""
+    out = np.empty(sum(r["size"] for r in rows), np.uint64)
+    at = 0
+    for r in rows:
+        np.cumsum(unpack(r["tokens"], r["size"], 6), out=out[at : at + r["size"]])
+        at += r["size"]
+    return out
+
+
+def blob_rest(rows: list[dict], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, set sizes and (if they have them) frequencies of the postings that ``keep`` marks."""
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    at = 0
+    for r in rows:
+        some = keep[at : at + r["size"]]
+        at += r["size"]
+        place = unpack(r["place"], r["size"], 4)[some].astype(np.int64)
         node = np.frombuffer(r["node"], "<i8")[place]
         n = unpack(r["n"], r["nodes"], 4).astype(np.uint32)[place]
-        df = unpack(r["df"], r["size"], 5).astype(np.int64) if r["df"] else np.zeros(0, np.int64)
-        out.append((np.cumsum(unpack(r["tokens"], r["size"], 6), dtype=np.uint64), node, n, df))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))  # type: ignore[return-value]
+        out.append((node, n, unpack(r["df"], r["size"], 5)[some].astype(np.int64) if r["df"] else np.zeros(0, np.int64)))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))  # type: ignore[return-value]
 
 
 def in_sorted(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +173,7 @@ def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5)
     """A row for each document (key, n, node), and rows (token, seen) of shingles that are common within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat.release()
         held: list[np.ndarray] = []
         docs = size = 0
 
@@ -181,7 +193,7 @@ def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5)
                 docs, size = docs + hi - lo, size + len(tokens)
                 none = pa.nulls(hi - lo, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n), mask=n == 0), none, none], names)
-                if size > 4 * CHUNK:
+                if size > 2 * CHUNK:
                     yield from common()
                     held, docs, size = [], 0, 0
         yield from common()
@@ -193,11 +205,13 @@ def postings(df: DataFrame, buckets: int, common, copied, key: str, text: str, w
     """Blobs of the postings of all nodes. ``common``: sorted tokens; ``copied``: sorted nodes and the key of the row that sends them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat.release()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             token, node, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+            held.clear()
             bucket = ((token >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
             hot, _ = in_sorted(common.value, token)
             bucket[hot] = (flat.mix(token[hot] ^ node[hot].view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -220,7 +234,7 @@ def postings(df: DataFrame, buckets: int, common, copied, key: str, text: str, w
                 size += int(keep.sum())
                 if size > CHUNK:
                     yield out()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield out()
 
@@ -231,7 +245,13 @@ def shared(blobs: DataFrame, buckets: int, common) -> DataFrame:
     """Postings of shingles that several nodes have, with their frequencies, as blobs by node."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, n, _ = from_blobs(table)
+        flat.release()
+        rows, (known, seen) = table.select(NAMES).to_pylist(), common.value
+        token = blob_tokens(rows)
+        twice = np.sort(token)
+        twice = twice[1:][twice[1:] == twice[:-1]]  # most shingles have one node and end here, before nodes are unpacked
+        keep = in_sorted(twice, token)[0] | in_sorted(known, token)[0]
+        token, (node, n, _) = token[keep], blob_rest(rows, keep)
         order = np.lexsort((node, token))
         token, node, n = token[order], node[order], n[order]
         new = np.ones(len(token), bool)
@@ -239,7 +259,6 @@ def shared(blobs: DataFrame, buckets: int, common) -> DataFrame:
         token, node, n = token[new], node[new], n[new]
         size = np.array([b - a for a, b in runs(token)], np.int64)
         df = np.repeat(size, size)
-        known, seen = common.value
         hot, where = in_sorted(known, token)
         df[hot] = seen[where[hot]]
         keep = df >= 2
@@ -255,7 +274,9 @@ def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
     schema = "node long, n long, alone long, matches int, weight double, tokens array<long>, shared binary, bits array<long>"
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, n, df = from_blobs(table)
+        parts = table.select(NAMES).to_pylist()
+        token = blob_tokens(parts)
+        node, n, df = blob_rest(parts, np.ones(len(token), bool))
         order = np.lexsort((token, df, node))
         token, node, n, df = token[order], node[order], n[order], df[order]
         rows = []
@@ -375,21 +396,22 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     return connected(verified(rest, nodes, percent).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
-def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75, bucket_bytes: int = 6 << 20) -> DataFrame:
+def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
     """``key``, n_shingles and component_id of each document."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     told = written(sets(df, key, text, width), "sets")
     docs = told.where("n is not null").select("key", "n", "node")
     common = told.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(LISTED).toPandas().sort_values("token")
-    groups = docs.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
+    groups = docs.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    groups = written(groups, "groups")
     copied = groups.where("copies >= 32").orderBy(F.desc("copies"), "node").limit(LISTED).toPandas().sort_values("node")
     tokens = common["token"].to_numpy(np.int64).view(np.uint64)
     known = sc.broadcast(tokens)
     frequent = sc.broadcast((tokens, common["seen"].to_numpy(np.int64)))
     senders = sc.broadcast((copied["node"].to_numpy(np.int64), copied["least"].fillna(-1).to_numpy(np.int64)))
-    size = int(str(df.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bucket_bytes, 1 << 20), 1)
+    sent = (groups.agg(F.sum(F.col("copies") * F.col("n"))).first()[0] or 0) - int(((copied["copies"] - 1) * copied["n"]).sum())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // RANGE))
     blobs = postings(df, buckets, known, senders, key, text, width)
     nodes = written(prefixes(shared(blobs, buckets, frequent), percent), "nodes")
     labels = links(nodes, percent)

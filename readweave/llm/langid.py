@@ -48,16 +48,12 @@ def subwords(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (h[order] & np.uint64(BUCKETS - 1)).astype(np.uint32), np.bincount(owner, minlength=len(pieces)).astype(np.int64)
 
 
-_table: list[flat.PieceTable] = []
-
-
 def buckets(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all subwords of a window's texts, flat, and each text's number of them. A-Z count as a-z."""
-    if not _table:
-        _table.append(flat.PieceTable(subwords, limit=400_000, id_limit=10_000_000))
+    table = flat.resident("subwords", lambda: flat.PieceTable(subwords, limit=400_000, id_limit=10_000_000))
     low = flat.LOWER[buf]
     start, end, row = flat.word_spans(low, at)
-    ids, n = _table[0].lookup(low, start, end)
+    ids, n = table.lookup(low, start, end)  # type: ignore[attr-defined]
     return ids, flat.row_sums(n, row, len(at) - 1)
 
 

@@ -84,15 +84,9 @@ class Encoder:
         return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
 
 
-_loaded: dict[int, Encoder] = {}
-
-
 def loaded(source: str) -> Encoder:
     """One encoder with its table of pieces for each worker process."""
-    if (k := hash(source)) not in _loaded:
-        _loaded.clear()
-        _loaded[k] = Encoder(source)
-    return _loaded[k]
+    return flat.resident(("Encoder", source), lambda: Encoder(source))  # type: ignore[return-value]
 
 
 def source_of(spark: SparkSession, vocabulary: str):
