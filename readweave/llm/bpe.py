@@ -126,9 +126,11 @@ class Bpe:
         return ids, flat.row_sums(length, row, len(at) - 1)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat bytes of the texts, and each text's number of bytes. Unknown ids spell nothing."""
-        ids = np.where(ids < self.size, ids, 0)
-        length = np.where(ids < self.size, self.token_length[ids], 0)
+        """Flat bytes of the texts, and each text's number of bytes. Ids that the vocabulary doesn't have spell nothing."""
+        ids = ids.astype(np.int64)
+        known = (ids >= 0) & (ids < self.size)
+        ids = np.where(known, ids, 0)
+        length = np.where(known, self.token_length[ids], 0)
         row = np.repeat(np.arange(len(counts)), counts)
         return self.token_bytes[flat.ranges(self.token_start[ids], length)], flat.row_sums(length, row, len(counts))
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 WINDOW = 2 << 20
 
@@ -32,9 +33,8 @@ LOWER[65:91] += 32
 #: White space beyond ASCII, as UTF-8.
 WIDE_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans longer than this are hashed one by one.
+LONG = 64
 
 
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,25 +71,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        m = max(n, 2 * len(_powers[0]))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(m, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def eights(buf: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as one number, low byte first; beyond the end they are 0."""
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 8, "<u8", padded, strides=(1,))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from one running polynomial sum over all bytes."""
+    """A 64-bit hash of each span's bytes, eight bytes a round; spans of ``LONG`` bytes and more by XXH3.
+
+    Each round mixes the state with eight bytes by a bijection, so of equally long
+    spans of eight bytes or fewer no two have the same hash, and longer ones meet by chance alone.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
-    power, inverse = _power(len(buf) + 1)
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=run[1:])
-    h = (run[end] - run[start]) * inverse[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    words, length = eights(buf), end - start
+    h = (length.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = mix(h ^ (words[start] & _MASKS[np.minimum(length, 8)]))
+    more = np.flatnonzero((length > 8) & (length < LONG))
+    at = 8
+    while len(more):
+        left = length[more] - at
+        h[more] = mix(h[more] * np.uint64(0xA24BAED4963EE407) ^ (words[start[more] + at] & _MASKS[np.minimum(left, 8)]))
+        at += 8
+        more = more[left > 8]
+    data = memoryview(np.ascontiguousarray(buf))
+    for k in np.flatnonzero(length >= LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]], 0x9FB21C651E98DF25)
+    return h
+
+
+def equal_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each span of ``buf`` has the bytes of its span of ``other``."""
+    length = end - start
+    same = length == other_end - other_start
+    x, y = eights(buf), eights(other)
+    more, at = np.flatnonzero(same & (length > 0)), 0
+    while len(more):
+        left = length[more] - at
+        mask = _MASKS[np.minimum(left, 8)]
+        differ = (x[start[more] + at] ^ y[other_start[more] + at]) & mask != 0
+        same[more[differ]] = False
+        at += 8
+        more = more[~differ & (left > 8)]
+    return same
 
 
 def word_spans(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,21 +211,36 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+class Store:
+    """A growing flat array."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(self.used, len(values)) + (1 << 16), self.data.dtype)])
+        self.data[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class PieceTable:
-    """Ids of pieces seen so far, by hash, in sorted flat arrays.
+    """Ids of pieces seen so far, by hash, in sorted flat arrays, with the pieces' bytes.
 
-    ``encode`` turns a list of byte pieces into (flat ids, lengths). Pieces are held
-    to be equal when their 64-bit hashes are. Beyond ``limit`` pieces or
-    ``id_limit`` ids the table starts anew, so its memory is bounded.
+    ``encode`` turns a list of byte pieces into (flat ids, lengths). A piece takes
+    ids from the table only if its bytes are those of the piece there; others of the same
+    hash are encoded by themselves. Beyond ``limit`` pieces or ``id_limit`` ids the
+    table starts anew, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_200_000, id_limit: int = 12_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, id_limit: int = 8_000_000):
         self.encode, self.limit, self.id_limit = encode, limit, id_limit
         self._clear()
 
     def _clear(self) -> None:
         self.key, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.bytes = Store(np.uint32), Store(np.uint8)
 
     def lookup(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pieces in order, and each piece's number of ids."""
@@ -204,28 +248,40 @@ class PieceTable:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         h = hash_spans(buf, start, end)
         unique, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.key) + len(unique) > self.limit or self.used > self.id_limit:
+        if len(self.key) + len(unique) > self.limit or self.ids.used > self.id_limit:
             self._clear()
         at = np.searchsorted(self.key, unique)
         new = np.ones(len(unique), bool)
         if len(self.key):
             new = self.key[np.minimum(at, len(self.key) - 1)] != unique
         if new.any():
-            pick = first[new]
-            pieces = [buf[s:e].tobytes() for s, e in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
-            ids, length = self.encode(pieces)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, len(ids)) + (1 << 16), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            where = at[new]
-            self.key = np.insert(self.key, where, unique[new])
-            self.start = np.insert(self.start, where, self.used + np.cumsum(length) - length)
-            self.length = np.insert(self.length, where, length)
-            self.used += len(ids)
+            self._learn(buf, start[first[new]], end[first[new]], unique[new], at[new])
             at = np.searchsorted(self.key, unique)
         row = at[back.ravel()]
         length = self.length[row].astype(np.int64)
-        return self.ids[ranges(self.start[row], length)], length
+        ids = self.ids.data[ranges(self.start[row], length)]
+        other = ~equal_spans(buf, start, end, self.bytes.data[: self.bytes.used], self.at[row], self.at[row] + self.size[row])
+        return self._apart(buf, start, end, ids, length, other) if other.any() else (ids, length)
+
+    def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, where: np.ndarray) -> None:
+        ids, length = self.encode([buf[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+        size = end - start
+        self.key = np.insert(self.key, where, keys)
+        self.start = np.insert(self.start, where, self.ids.used + np.cumsum(length) - length)
+        self.length = np.insert(self.length, where, length)
+        self.at = np.insert(self.at, where, self.bytes.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, where, size)
+        self.ids.add(ids)
+        self.bytes.add(buf[ranges(start, size)])
+
+    def _apart(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, length: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the marked pieces encoded by themselves."""
+        own, n = self.encode([buf[s:e].tobytes() for s, e in zip(start[other].tolist(), end[other].tolist(), strict=True)])
+        begin = np.cumsum(length) - length
+        begin[other] = len(ids) + np.cumsum(n) - n
+        length = length.copy()
+        length[other] = n
+        return np.concatenate([ids, own.astype(ids.dtype)])[ranges(begin, length)], length
 
 
 def row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:

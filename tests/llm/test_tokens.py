@@ -3,13 +3,15 @@
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from readweave.llm import bpe, flat, packing, tokenfiles, wordpieces
+from readweave.llm import bpe, flat, jaccard, packing, tokenfiles, wordpieces
 from readweave.session import new_folder
 from tests_llm_data import ODD
 
@@ -50,6 +52,41 @@ def test_random_texts(library):
     assert got == [e.ids for e in library[BYTES].encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    """Two words of n letters that polynomial hashes modulo a power of two can't tell apart."""
+    x = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_words_that_simple_hashes_confuse(library, n):
+    import pyarrow as pa
+
+    texts = list(thue_morse(n))
+    for file, model in ((BYTES, bpe.Bpe(open(BYTES, encoding="utf-8").read())), (WORDS, wordpieces.Encoder(open(WORDS, encoding="utf-8").read()))):
+        (_, _, buf, at), = flat.windows(pa.array(texts))
+        ids, counts = model.encode(buf, at)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in library[file].encode_batch(texts, add_special_tokens=False)]
+    tokens, size = jaccard.shingles(buf, at)
+    assert size.tolist() == [1, 1] and tokens[0] != tokens[1]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """With all hashes equal the table still gives each piece its own ids."""
+    encode = lambda pieces: (np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32), np.array([len(p) for p in pieces], np.int64))
+    monkeypatch.setattr(flat, "hash_spans", lambda buf, start, end: np.zeros(len(start), np.uint64))
+    table, buf = flat.PieceTable(encode), np.frombuffer(b"abcabdlonger-than-eight-bytes", np.uint8)
+    start, end = np.array([0, 3, 6, 0]), np.array([3, 6, 29, 3])
+    for _ in range(2):
+        ids, n = table.lookup(buf, start, end)
+        assert n.tolist() == [3, 3, 23, 3] and ids.astype(np.uint8).tobytes() == b"abcabdlonger-than-eight-bytesabc"
+
+
+def test_unknown_ids_spell_nothing(spark):
+    df = spark.createDataFrame([(1, [-1, 0, 50257, 1, 2**30]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {(r["doc_id"], r["text"]) for r in bpe.decode(df, BYTES).collect()} == {(1, '!"'), (2, ""), (3, "")}
+
+
 def test_capitals_whose_small_letters_compose(library):
     """NFC comes before lower case: these six pairs have a composed form in small letters only."""
     import pyarrow as pa
@@ -85,6 +122,27 @@ def test_token_files(spark, clashing, none, library):
     assert tokenfiles.with_crc32(tokenfiles.read(spark, empty)).count() == 0
 
 
+def test_token_files_are_read_selectively(spark, library):
+    """Encodings, row groups and page indexes of the files, and a read of a few keys and of the counts alone."""
+    folder = new_folder(spark, "test")
+    rows = [(k, f"document number {k} " + "the cat sat on the mat " * 40) for k in range(9000)]
+    tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, WORDS, 2)
+    files = sorted(Path(folder.removeprefix("file://")).glob("*.parquet"))
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    for meta in groups:
+        for g in range(meta.num_row_groups):
+            columns = {c.path_in_schema.split(".")[0]: c for c in map(meta.row_group(g).column, range(meta.num_columns))}
+            assert columns["tokens"].has_dictionary_page and columns["tokens"].compression == "ZSTD"
+            assert not columns["doc_id"].has_dictionary_page or "RLE_DICTIONARY" in columns["doc_id"].encodings
+            assert all(c.has_column_index and c.has_offset_index for n, c in columns.items() if n in ("doc_id", "n_tokens", "part_start"))
+            assert meta.row_group(g).total_byte_size <= 2 * int(tokenfiles.FORMAT["parquet.block.size"])
+    some = spark.read.parquet(folder).where("doc_id between 500 and 510").select("doc_id", "tokens")
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,500), LessThanOrEqual(doc_id,510)]" in some._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["tokens"] for r in some.collect()} == {k: [*library[WORDS].encode(t, add_special_tokens=False).ids, 2] for k, t in rows[500:511]}
+    counts = tokenfiles.read(spark, folder).select("doc_id", "start", "n_tokens")
+    assert "tokens:array" not in counts._jdf.queryExecution().executedPlan().toString().split("ReadSchema", 1)[1]
+
+
 def check_places(rows, capacity):
     by = {}
     for r in rows:
