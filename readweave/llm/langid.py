@@ -10,7 +10,10 @@ exceed is the bar below which an answer counts as rejected.
 
 A text that is null or has no letter gets ``und`` and score 0. Every other text gets
 the likeliest language; whether it is rejected stands in a column of its own. With
-no labelled row at all, every text gets ``und``.
+no labelled row at all, every text gets ``und``. Whole texts count, however long. Equally
+likely languages: the one first in alphabetical order. Rows are judged alone, so
+repeated rows get the same answer; an empty table gives none. Columns that bear the
+results' names are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readweave.llm import flat
+from readweave.session import remove, written
 
 BUCKETS, N, DIMENSIONS = 1 << 16, (3, 4), 12
 LETTER = regex.compile(r"\p{L}")
@@ -122,11 +126,14 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
     model = Model(languages, (embed @ layer).astype(np.float32), bias, 1.0, 0.0)
     if len(kept):
         logits = np.stack([(pooled(k)[1] @ model.table[samples[k][0]]) + bias for k in kept])
+        doubt = 1 / (len(kept) + 2)  # no answer counts as certain, else scores would all be 1 where every answer is right
+        target = np.full((len(kept), c), doubt / max(c - 1, 1))
+        target[np.arange(len(kept)), y[kept]] = 1 - doubt if c > 1 else 1
 
         def loss(t: float) -> float:
             z = logits / t
             z = z - z.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(kept)), y[kept]]).mean())
+            return float((np.log(np.exp(z).sum(axis=1)) - (target * z).sum(axis=1)).mean())
 
         model.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
         z = np.exp(logits / model.temperature - (logits / model.temperature).max(axis=1, keepdims=True))
@@ -136,28 +143,36 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
     return model
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, max_languages: int = 200) -> Model | None:
-    """Fit on about ``per_language`` rows of each of the commonest ``max_languages`` languages, chosen by a hash of the key.
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, sample_rows: int = 120_000) -> Model | None:
+    """Fit on ``per_language`` rows of each language, those with the least hashes of their keys; with very many languages on fewer of each.
 
-    The sample has at most 2 * per_language * max_languages rows; only counts of subwords reach the driver.
+    The sample has ``sample_rows`` rows at most (and one of each language), however many there are; only
+    counts of subwords reach the driver. It is put in the order of the hashes, so the same
+    rows give the same model however they are partitioned. Rows of one key are taken in the order of their subwords.
     """
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    sizes = rows.groupBy(F.col(lang).cast("string").alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()
-    if not sizes:
-        return None
-    wanted = F.lit(False)
-    for r in sizes:
-        wanted = wanted | ((F.col(lang).cast("string") == r["l"]) & (F.pmod(F.xxhash64(key), F.lit(1 << 24)) < int(min(1.0, per_language / r["n"]) * (1 << 24))))
+    rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"), F.col(key).alias("key"))
+    rows = rows.where("lang is not null and text is not null and key is not null").drop("key")
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    quota = max(1, min(per_language, sample_rows // max(sizes.count(), 1)))
+    # a hash threshold that several times the quota pass, so that ranks are taken of few rows
+    part = F.pmod(F.col("h"), F.lit(1 << 40)) < F.least(F.lit(1.0), (4 * quota + 32) / F.col("n")) * (1 << 40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, at in flat.windows(batch.column(1)):
+            for lo, hi, buf, at in flat.windows(batch.column(2)):
                 ids, counts = buckets(buf, at)
                 parts = [np.unique(x, return_counts=True) for x in np.split(ids, np.cumsum(counts)[:-1])]
                 n = np.array([len(p[0]) for p in parts])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), flat.binary_rows(np.concatenate([p[0] for p in parts]).astype(np.uint32), n), flat.binary_rows(np.concatenate([p[1] for p in parts]).astype(np.uint32), n)], ["lang", "ids", "n"])
-
-    got = rows.where(wanted).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).limit(2 * per_language * len(sizes)).mapInArrow(run, "lang string, ids binary, n binary").toPandas()
+                first = [batch.column(k).slice(lo, hi - lo) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*first, flat.binary_rows(np.concatenate([p[0] for p in parts]).astype(np.uint32), n), flat.binary_rows(np.concatenate([p[1] for p in parts]).astype(np.uint32), n)], ["lang", "h", "ids", "n"])
+
+    chosen = rows.join(sizes, "lang").where(part).select("lang", "h", "text").mapInArrow(run, "lang string, h long, ids binary, n binary")
+    order = ["h", "ids", "n"]
+    ranked = chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= quota)
+    got = ranked.drop("r").toPandas().sort_values(["lang", *order], kind="stable")
+    remove(sizes)
+    if not len(got):
+        return None
     samples = [(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32).astype(np.float64)) for a, b in zip(got["ids"], got["n"], strict=True)]
     return fit(samples, got["lang"].tolist())
 

@@ -11,7 +11,9 @@ The model is fitted on the driver from a bounded sample (``per_label`` documents
 each label, by a hash of the key); scoring is one narrow pass. Null and empty texts
 have a vector of zeros and get a score. Labelled keys without a document, and null
 labels, are left out; a key with labels of both kinds counts as both. Without any
-pair of labels all scores are ``cut``.
+pair of labels all scores are ``cut``. Whole texts count, however long; rows are judged
+alone, so repeated rows get the same score and an empty table none. Documents that
+tie at the threshold are all taken for good.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readweave.llm import flat
@@ -172,17 +174,19 @@ def scored_vectors(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", per_label: int = 4000, cut: float = 0.3) -> Model:
-    """Fit on about ``per_label`` documents of each label outside the held-out fold; twice as many is the hard bound."""
+    """Fit on ``per_label`` labelled keys of each label outside the held-out fold, those with the least hashes; ``4 * per_label`` documents are the bound where keys repeat."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).where(~held_out("__k")).distinct()
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return fit(np.zeros((0, len(MEASURES))), np.zeros(0, int), 0.0, cut)
     wanted = F.lit(False)
     for y, n in counts.items():
-        wanted = wanted | ((F.col("__y") == y) & (F.pmod(F.xxhash64("__k"), F.lit(1 << 20)) < int(min(1.0, per_label / n) * (1 << 20))))
-    chosen = known.where(wanted).limit(4 * per_label)
+        wanted = wanted | ((F.col("__y") == y) & (F.pmod(F.col("__h"), F.lit(1 << 40)) < int(min(1.0, (2 * per_label + 32) / n) * (1 << 40))))
+    least = Window.partitionBy("__y").orderBy("__h", "__k")
+    chosen = known.withColumn("__h", F.xxhash64("__k")).where(wanted).withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= per_label).drop("__r")
     sample = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__k")
-    got = scored_vectors(sample, "__t", ["__y"]).limit(4 * per_label).toPandas()
+    # in the order of hashes, whatever the partitions; the limit binds only where keys repeat
+    got = scored_vectors(sample, "__t", ["__y", "__h"]).orderBy("__h", "__y", "vector").limit(4 * per_label).toPandas()
     x = np.array(got["vector"].tolist(), np.float64).reshape(-1, len(MEASURES))
     return fit(x, got["__y"].to_numpy(), counts[0] / (counts[0] + counts[1]), cut)
 
