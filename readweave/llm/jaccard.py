@@ -17,10 +17,12 @@ shingles) and follows adaptive multi-match prefix filtering:
     frequencies: a longer prefix brings more postings but needs more matches before
     a pair is verified. A pair uses the smaller l of its two nodes.
 4.  *Links.* Only components are asked for, so pairs inside one component need no
-    test. Two rounds link the nodes of each prefix shingle to one centre; then all
-    pairs that still lie in different components, share enough prefix shingles and
-    don't differ in too many bits of a small map are verified against the whole sets. Components come from alternating large-star
-    and small-star steps over written tables.
+    test. First each prefix token links its nodes to two centres; then, for tokens
+    whose nodes still lie in different components, all pairs of those meet block by
+    block, unless sizes, places or a small map of bits rule them out. In both rounds a pair is
+    verified against the whole sets only if it shares l prefix tokens. Components come from alternating large-star
+    and small-star steps over written tables. l is 4 at most (MOST_MATCHES), which
+    bounds how much longer a prefix gets and loses no pair.
 
 Null and empty texts have an empty set, size 0 and are linked with nothing: their
 component is their own key. With fewer words than the shingle's width the whole
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readweave.llm import flat
-from readweave.session import written
+from readweave.session import remove, written
 
 BITS = np.uint64(48)
 MASK = np.uint64((1 << 48) - 1)
@@ -50,7 +52,10 @@ RANGE = 400_000
 LISTED = 100_000
 #: What verifying a pair costs, in postings.
 VERIFY = 20.0
+#: Largest l that is weighed for a node.
 MOST_MATCHES = 4
+#: Rows of a token that meet at once.
+BLOCK = 256
 #: Words of 64 bits in a node's map of shingles.
 WORDS = 16
 
@@ -165,16 +170,20 @@ def in_sorted(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray
     return sorted_values[at] == values, at
 
 
-def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def _texts(df: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
 
 
-def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """A row for each document (key, n, node), and rows (token, seen) of shingles that are common within a task."""
+def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document (key, n, node, ``carry`` columns as c0, c1, ...), and rows (token, seen) of shingles that are common within a task."""
+    source = _texts(df, key, text, carry)
+    fields = source.schema.fields[2:]
+    names = ["key", "n", "node", "token", "seen", *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat.release()
         held: list[np.ndarray] = []
+        kinds: list[pa.DataType] = []
         docs = size = 0
 
         def common() -> Iterator[pa.RecordBatch]:
@@ -183,22 +192,23 @@ def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5)
                 often = np.flatnonzero(seen >= max(16, docs // 200))
                 often = often[np.argsort(-seen[often], kind="stable")][: LISTED // 10]
                 none = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token[often].astype(np.int64)), pa.array(seen[often])], names)
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token[often].astype(np.int64)), pa.array(seen[often]), *(pa.nulls(len(often), k) for k in kinds)], names)
 
-        names = ["key", "n", "node", "token", "seen"]
         for batch in batches:
+            kinds[:] = batch.schema.types[2:]
             for lo, hi, buf, at in flat.windows(batch.column(1)):
                 tokens, n = shingles(buf, at, width)
                 held.append(tokens)
                 docs, size = docs + hi - lo, size + len(tokens)
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n), mask=n == 0), none, none], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n), mask=n == 0), none, none, *(c.slice(lo, hi - lo) for c in batch.columns[2:])], names)
                 if size > 2 * CHUNK:
                     yield from common()
                     held, docs, size = [], 0, 0
         yield from common()
 
-    return _texts(df, key, text).mapInArrow(run, "key long, n long, node long, token long, seen long")
+    schema = ", ".join(["key long, n long, node long, token long, seen long", *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
+    return source.mapInArrow(run, schema)
 
 
 def postings(df: DataFrame, buckets: int, common, copied, key: str, text: str, width: int) -> DataFrame:
@@ -302,13 +312,28 @@ def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, schema)
 
 
+def intersection(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose sets reach the threshold."""
-    pairs = written(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    some = nodes.select("node", "n", "shared").join(asked, "node", "left_semi")  # before sets are moved
-    side = lambda x: some.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"set_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+    """Of pairs (a, b, parts) of nodes those whose sets reach the threshold, as a written table.
+
+    A node with very many partners is met in ``parts`` parts, dealt by its partner's
+    hash: its set goes once to each part, and no part has to hold all its pairs.
+    """
+    part_of = lambda other: F.pmod(F.xxhash64(other), F.col("parts"))
+    pairs = written(pairs.withColumns({"a_part": part_of("b"), "b_part": part_of("a")}), "pairs")
+
+    def side(x: str) -> DataFrame:
+        asked = pairs.select(F.col(x).alias("node"), "parts", f"{x}_part").distinct()
+        found = asked.join(nodes.select("node", "n", "shared"), "node")
+        return found.select(F.col("node").alias(x), "parts", f"{x}_part", F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"set_{x}"))
+
+    both = pairs.join(side("a"), ["a", "parts", "a_part"]).join(side("b"), ["b", "parts", "b_part"])
 
     def tokens(blob: bytes) -> np.ndarray:
         out = np.zeros((len(blob) // 6, 8), np.uint8)
@@ -320,21 +345,21 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             keep = np.zeros(batch.num_rows, bool)
             columns = [batch.column(k).to_numpy() for k in range(4)]
             for k in range(batch.num_rows):
-                x, y = tokens(batch.column(4)[k].as_buffer()), tokens(batch.column(5)[k].as_buffer())
-                if len(x) > len(y):
-                    x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                same = intersection(tokens(batch.column(4)[k].as_buffer()), tokens(batch.column(5)[k].as_buffer()))
                 keep[k] = 100 * same >= percent * (int(columns[2][k]) + int(columns[3][k]) - same)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0][keep]), pa.array(columns[1][keep])], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    found = written(both.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
+    remove(pairs)
+    return found
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of ``edges`` (a, b); the label is the component's smallest node.
+    """(node, label) of all nodes of ``edges`` (a, b), a written table; the label is the component's smallest node.
 
     Alternating large-star and small-star steps. A step only takes minima of
-    neighbourhoods, so no neighbourhood is ever gathered; each round is a written table.
+    neighbourhoods, so no neighbourhood is ever gathered; each round is a written
+    table, and the one before is deleted then.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -345,63 +370,105 @@ def connected(edges: DataFrame) -> DataFrame:
             return moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    e = written(edges.select("a", "b").where("a <> b"), "edges")
     sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = None
+    e, before = edges, None
     while (now := sign(e)) != before:
-        before = now
-        e = written(star(star(e, True), False), "edges")
+        e, last, before = written(star(star(e, True), False), "edges"), e, now
+        remove(last)
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def links(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the components of all nodes that are linked with another node."""
-    columns = ["node", "n", "alone", "matches", "weight"]
-    post = nodes.select(*columns, F.posexplode("tokens").alias("place", "token")).withColumn("place", F.col("alone") + F.col("place"))
-    more = post.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    post = written(post.join(more, "token"), "prefixes")
-    right = post.select("token", *(F.col(c).alias(f"r_{c}") for c in (*columns, "place")))
-    # what two sets of these sizes must share, and how far into each the l-th shared token can lie then
-    same = f"({percent} * (n + r_n) + {99 + percent}) div {100 + percent}"
-    fit = (
+#: What a node brings to a comparison, besides its name.
+SIZES = ["n", "alone", "matches"]
+
+
+def prefix_postings(nodes: DataFrame, *more: str) -> DataFrame:
+    """(token, node, sizes, place): a row for each token of each prefix; ``place`` counts from the start of the node's order."""
+    post = nodes.select("node", *SIZES, *more, F.posexplode("tokens").alias("place", "token"))
+    return post.withColumn("place", F.col("alone") + F.col("place"))
+
+
+def overlap_needed(percent: int) -> str:
+    """What sets of n and r_n shingles share at least if they reach the threshold."""
+    return f"(({percent} * (n + r_n) + {99 + percent}) div {100 + percent})"
+
+
+def fits(percent: int) -> str:
+    """Whether a token that two prefixes share counts for the pair: by their sizes, and by how far into each the l-th shared token can lie."""
+    same = overlap_needed(percent)
+    return (
         f"100 * least(n, r_n) >= {percent} * greatest(n, r_n) and least(n - alone, r_n - r_alone) >= {same}"
         f" and greatest(place - n, r_place - r_n) + {same} < least(matches, r_matches)"
     )
-    pair = [F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")]
 
-    def centred(labelled: DataFrame, order) -> DataFrame:
-        best = labelled.groupBy("token").agg(F.max(F.struct(order.alias("o"), *(F.col(c).alias(f"r_{c}") for c in ("node", "n", "alone", "matches", "place", "label")))).alias("s")).select("token", "s.*")
-        return labelled.join(best, "token").where("label <> r_label and node <> r_node").where(fit).select(*pair).distinct()
-
-    def labelled(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
-        if labels is None:
-            return rows.withColumn("label", F.col("node"))
-        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    found, labels = None, None
-    for order in (F.col("weight"), F.xxhash64("token", "node").cast("double")):
-        new = verified(centred(labelled(labels, post), order), nodes, percent)
-        found = new if found is None else new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = written(connected(found), "labels")
-    known = labelled(labels, post)
-    groups = known.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main")
-    bits = nodes.select("node", "bits")
-    few = known.join(groups, "token").where("label <> main").join(bits, "node")
-    all_ = right.join(groups.select("token"), "token", "left_semi").join(bits.select(F.col("node").alias("r_node"), F.col("bits").alias("r_bits")), "r_node").join(labels.withColumnRenamed("node", "r_node").withColumnRenamed("label", "r_label"), "r_node", "left").withColumn("r_label", F.coalesce("r_label", "r_node"))
+
+def enough(rows: DataFrame, parts: F.Column) -> DataFrame:
+    """Pairs (a, b, parts) that share as many prefix tokens as the smaller l of the two asks for. ``rows`` has a pair once for each token."""
+    pair = [F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")]
+    counted = rows.groupBy(*pair).agg(F.count("*").alias("shared"), F.first(F.least("matches", "r_matches")).alias("needed"), F.max(parts.cast("long")).alias("parts"))
+    return counted.where("shared >= needed").select("a", "b", "parts")
+
+
+def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each node with two centres of each of its prefix tokens: the node with the rarest shingles, and one by a hash."""
+    post = prefix_postings(nodes, "weight")
+    columns = ["node", *SIZES, "place"]
+    first = lambda order: F.max(F.struct(order, *columns))
+    heads = post.groupBy("token").agg(F.count("*").alias("c"), first(F.col("weight").alias("o")).alias("x"), first(F.xxhash64("token", "node").alias("o")).alias("y")).where("c > 1")
+    bare = lambda s: F.struct(*(F.col(f"{s}.{c}").alias(c) for c in columns))
+    heads = heads.select("token", "c", F.col("x.node").alias("head"), F.array_distinct(F.array(bare("x"), bare("y"))).alias("centres"))
+    # a row of the first centre itself brings nothing: the second one's row has that pair
+    met = post.join(heads, "token").where("node <> head").select("token", "c", *columns, F.explode("centres").alias("r"))
+    met = met.select("c", *columns, *(F.col(f"r.{c}").alias(f"r_{c}") for c in columns)).where("node <> r_node").where(fits(percent))
+    return enough(met, F.ceil(F.col("c") / BLOCK))
+
+
+def block_pairs(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes with a common prefix token that lie in different components (``label``).
+
+    For each token all nodes outside its largest component meet all nodes. Both sides
+    are dealt into blocks of about BLOCK rows and meet block by block, so no token's
+    rows come together in one task; pairs that sizes, places or the maps of
+    shingles rule out are never rows.
+    """
+    post = prefix_postings(known, "label", "bits")
+    groups = post.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
+    groups = groups.agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    groups = groups.select("token", F.col("top.label").alias("main"), blocks(F.col("all") - F.col("top.c")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    rows = post.join(groups, "token")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["node", *SIZES, "place", "label", "bits"]
+    left = rows.where("label <> main").select("token", *columns, "main", "rights", place("lefts").alias("l"), every("rights").alias("r"))
+    right = rows.select("token", *(F.col(c).alias(f"r_{c}") for c in columns), place("rights").alias("r"), every("lefts").alias("l"))
     # each bit that one map has over the other is a shingle that the other set lacks
-    over = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (s, p) -> s + p)"
+    over = lambda x, y: " + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(WORDS))
+    same = overlap_needed(percent)
     near = f"n - alone - ({over('bits', 'r_bits')}) >= {same} and r_n - r_alone - ({over('r_bits', 'bits')}) >= {same}"
-    rest = few.join(all_, "token").where("label <> r_label and (r_label = main or node < r_node)").where(fit).where(near)
-    rest = rest.groupBy(*pair).agg(F.count("*").alias("shared"), F.first(F.least("matches", "r_matches")).alias("needed")).where("shared >= needed").select("a", "b")
-    return connected(verified(rest, nodes, percent).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    met = left.join(right, ["token", "l", "r"]).where("label <> r_label and (r_label = main or node < r_node)").where(fits(percent)).where(near)
+    return enough(met, F.col("rights"))
 
 
-def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
-    """``key``, n_shingles and component_id of each document."""
+def links(nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the components of all nodes that are linked with another node."""
+    labels = connected(verified(star_pairs(nodes, percent), nodes, percent))
+    known = nodes.select("node", *SIZES, "tokens", "bits").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = written(known, "known")
+    new = verified(block_pairs(known, percent), nodes, percent)
+    remove(known)
+    if new.isEmpty():
+        return labels
+    edges = new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b"))
+    return connected(written(edges, "edges"))
+
+
+def members(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, n_shingles, component_id, ``component`` (a number of the component's own, null for empty sets) and the ``carry`` columns of each row."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
-    told = written(sets(df, key, text, width), "sets")
-    docs = told.where("n is not null").select("key", "n", "node")
+    told = written(sets(df, key, text, width, carry), "sets")
+    docs = told.where("n is not null").drop("token", "seen")
     common = told.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(LISTED).toPandas().sort_values("token")
     groups = docs.where("node is not null").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     groups = written(groups, "groups")
@@ -415,10 +482,16 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: in
     blobs = postings(df, buckets, known, senders, key, text, width)
     nodes = written(prefixes(shared(blobs, buckets, frequent), percent), "nodes")
     labels = links(nodes, percent)
+    remove(nodes)
     named = labels.join(groups, "node").select("node", "label", "least")
-    named = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component")
-    of_node = groups.join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    return docs.join(of_node, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    named = named.join(named.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", "label", "first")
+    of_node = groups.join(named, "node", "left").select("node", F.coalesce("first", "least").alias("first"), F.coalesce("label", "node").alias("component"))
+    return docs.join(of_node, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id"), "component", *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
+
+
+def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
+    """``key``, n_shingles and component_id of each document."""
+    return members(df, text, key, width, percent).select(key, "n_shingles", "component_id")
 
 
 def oracle(width: int = 5, percent: int = 75) -> str:
