@@ -2,18 +2,23 @@
 
 Vectors are scaled to unit length (or, where their norms differ, lifted to it by one
 more coordinate, which turns the largest inner product into the smallest angle).
-Each table turns them by a pseudo-rotation - three rounds of random signs and a fast
-Hadamard transform - and files them under the nearest signed axis. A query looks
-into the axes nearest to it, in the order of its own coordinates, in each table, and
-what it meets is ranked by the exact inner product of the original vectors.
-
-How many axes are probed comes from the data: a bounded sample of queries is
-compared with all rows, and the number is the least that finds the share ``aim`` of
-their true neighbours. Queries that still meet too few rows are compared with all.
-
+Each table turns them by pseudo-rotations - three rounds of random signs and a fast
+Hadamard transform each - and files them under the nearest signed axes of as many rotations as
+it takes for cells of ROWS vectors or fewer on average: the number of
+cells grows with the rows. A query probes, in each table, all cells whose axes together
+lie within a penalty of its own nearest ones: the sum over the rotations of the squared
+gaps between its largest coordinate and the one on the cell's axis. What it meets
+is ranked by the exact inner product of the original vectors.
+
+The penalty comes from the data: a bounded sample of queries is compared with all
+rows, and it is the least that finds the share ``aim`` of their true neighbours.
+Queries that still meet too few rows are compared with all.
+
+Vectors move once a table, to the group of cells that agree in all rotations but
+the last; a query goes to the groups within its penalty. Groups with very many rows
+or queries are dealt in blocks, by their counted sizes, so no task has to hold all of a popular one.
 Equal vectors are one entry with its smallest ids, as many as any answer can use, so
-copies cost nothing. Axes and queries are dealt in blocks: no task has to hold all
-of a popular axis. Vectors that are null, empty, zero, or hold nulls or non-finite
+copies cost nothing. Vectors that are null, empty, zero, or hold nulls or non-finite
 components take no part, nor do null ids. Vectors of each length are searched among
 their own. Repeated rows count once; a query never meets rows of
 its own id. Ties go to the smaller id. Other columns are not carried.
@@ -21,6 +26,7 @@ its own id. Ties go to the smaller id. Other columns are not carried.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +40,8 @@ from pyspark.sql import functions as F
 from readweave.session import written
 
 SAMPLE = 64
-BLOCK, QUERY_BLOCK = 20_000, 4_000
+#: Vectors of a cell, on average, at most; rows and queries of a group that meet in one task.
+ROWS, BLOCK, QUERY_BLOCK = 64, 8_000, 4_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,14 +57,22 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tables:
-    """``dimensions`` of the vectors, ``largest`` norm of all, ``lift``: norms differ."""
+    """``dimensions`` of the vectors, ``largest`` norm of all, ``lift``: norms differ; ``rotations`` in a table."""
 
     dimensions: int
     largest: float
     lift: bool
     tables: int
+    rotations: int = 1
     seed: int = 11
 
+    def for_rows(self, rows: int) -> Tables:
+        """With cells of ROWS vectors on average, or fewer."""
+        rotations = 1
+        while (2 * self.axes) ** rotations * ROWS < rows:
+            rotations += 1
+        return dataclasses.replace(self, rotations=rotations)
+
     @property
     def axes(self) -> int:
         return 1 << int(np.ceil(np.log2(max(self.dimensions + self.lift, 2))))
@@ -70,22 +85,45 @@ class Tables:
             out[:, self.dimensions] = np.sqrt(np.maximum(0, 1 - (norm[:, 0] / self.largest) ** 2))
         return out
 
-    def turned(self, unit: np.ndarray, table: int) -> np.ndarray:
-        rng = np.random.default_rng([self.seed, table])
+    def turned(self, unit: np.ndarray, table: int, rotation: int) -> np.ndarray:
+        rng = np.random.default_rng([self.seed, table, rotation])
         for _ in range(3):
             unit = hadamard(unit * rng.choice([-1.0, 1.0], self.axes))
         return unit
 
-    def bucket(self, unit: np.ndarray, table: int) -> np.ndarray:
+    def nearest(self, unit: np.ndarray, table: int, rotation: int) -> np.ndarray:
         """The nearest signed axis: twice its number, and one more for the negative side."""
-        y = self.turned(unit, table)
+        y = self.turned(unit, table, rotation)
         axis = np.abs(y).argmax(axis=1)
         return 2 * axis + (y[np.arange(len(y)), axis] < 0)
 
-    def order(self, unit: np.ndarray, table: int) -> np.ndarray:
-        """All signed axes, nearest first."""
-        y = self.turned(unit, table)
-        return np.argsort(-np.stack([y, -y], axis=2).reshape(len(y), -1), axis=1, kind="stable")
+    def penalties(self, unit: np.ndarray, table: int, rotation: int) -> np.ndarray:
+        """What each signed axis costs a query: the squared gap to its nearest one."""
+        y = self.turned(unit, table, rotation)
+        y = np.stack([y, -y], axis=2).reshape(len(y), -1)
+        return (y.max(axis=1, keepdims=True) - y) ** 2
+
+    def filed(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each vector's group (all rotations but the last, and the table) and its cell there."""
+        group = np.zeros(len(unit), np.int64)
+        for k in range(self.rotations - 1):
+            group = group * 2 * self.axes + self.nearest(unit, table, k)
+        return group * self.tables + table, self.nearest(unit, table, self.rotations - 1).astype(np.int32)
+
+    def probed(self, unit: np.ndarray, table: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of ``unit``, group, what is left of the penalty ``most``) of all groups within it."""
+        row, group, left = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.full(len(unit), most)
+        for k in range(self.rotations - 1):
+            cost = self.penalties(unit, table, k)
+            rows, groups, rest = [], [], []
+            for lo in range(0, len(row), 4096):
+                after = left[lo : lo + 4096, None] - cost[row[lo : lo + 4096]]
+                a, axis = np.nonzero(after >= 0)
+                rows.append(row[lo + a])
+                groups.append(group[lo + a] * 2 * self.axes + axis)
+                rest.append(after[a, axis])
+            row, group, left = np.concatenate(rows), np.concatenate(groups), np.concatenate(rest)
+        return row, group * self.tables + table, left
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -104,15 +142,17 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1)
 
 
+def top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of scores its k largest and all that tie with the last: (row, column); minus infinity stands for nothing."""
+    bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    bar = np.where(np.isfinite(bar), bar - 1e-9 * (1 + np.abs(bar)), np.finfo(np.float64).min)
+    return np.nonzero(s >= bar[:, None])
+
+
 def best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of q its k best rows of x and all that tie with the last: (row of q, row of x, score)."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for lo in range(0, len(q), 256):
-        s = q[lo : lo + 256] @ x.T
-        bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        a, b = np.nonzero(s >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None])
-        out.append((a + lo, b, products(q[a + lo], x[b])))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))  # type: ignore[return-value]
+    a, b = top(q @ x.T, k)
+    return a, b, products(q[a], x[b])
 
 
 def sound_rows(df: DataFrame, vector: str, key: str) -> DataFrame:
@@ -128,71 +168,90 @@ def entries(rows: DataFrame, d: int, k: int) -> DataFrame:
     return first.groupBy("v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_set("id")).alias("ids"))
 
 
-def probes_needed(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim: float, asked: int) -> int:
-    """The number of axes to probe, from at most SAMPLE of the ``asked`` queries against all entries."""
+def penalty_needed(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim: float, asked: int) -> float:
+    """The penalty to probe within, from at most SAMPLE of the ``asked`` queries against all entries."""
     share = min(1.0, 4 * SAMPLE / asked)  # a threshold first: else each partition would send SAMPLE vectors to the driver
     picked = queries.where(F.pmod(F.xxhash64("entry"), F.lit(1 << 50)) < int(share * (1 << 50)))
     sample = picked.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("entry", "v").collect()
+    if not sample:
+        return np.inf
     q, names = np.array([list(r["v"]) for r in sample], np.float64), np.array([r["entry"] for r in sample])
-    turned = np.stack([np.argsort(t.order(t.unit(q, True), i), axis=1) for i in range(t.tables)])  # place of each axis in each query's order
+    unit_q = t.unit(q, True)
+    cost = [[t.penalties(unit_q, i, r) for r in range(t.rotations)] for i in range(t.tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 x = matrix(batch.column(1).slice(lo, BLOCK))
-                unit = t.unit(x, False)
-                filed = [t.bucket(unit, i) for i in range(t.tables)]
                 a, b, s = best(q, x, k + 1)
                 own = names[a] == batch.column(0).slice(lo, BLOCK).to_numpy()[b]
                 a, b, s = a[~own], b[~own], s[~own]
-                need = np.min([turned[i][a, filed[i][b]] for i in range(t.tables)], axis=0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(need)], ["q", "score", "need"])
+                near, where = np.unique(b, return_inverse=True)
+                unit = t.unit(x[near], False)
+                need = [sum(cost[i][r][a, t.nearest(unit, i, r)[where]] for r in range(t.rotations)) for i in range(t.tables)]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(np.min(need, axis=0))], ["q", "score", "need"])
 
-    near = index.select("entry", "v").mapInArrow(run, "q long, score double, need long")
+    near = index.select("entry", "v").mapInArrow(run, "q long, score double, need double")
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "need"))).where(F.col("r") <= k)
     need = np.array([r["need"] for r in ranked.select("need").collect()])  # at most SAMPLE * k numbers
-    return int(np.ceil(np.quantile(need, aim))) if len(need) else 2 * t.axes
+    return float(np.quantile(need, aim)) * (1 + 1e-9) if len(need) else np.inf
 
 
-def met(index: DataFrame, queries: DataFrame, t: Tables, probes: int, k: int, entries_: int, asked: int) -> DataFrame:
+def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, k: int) -> DataFrame:
     """(q, entry, score): for each query's entry the best of what its probes meet."""
     kind = dict(index.dtypes)["v"]
     like = pa.float32() if "float" in kind else pa.float64()
-    blocks = -(-entries_ // (2 * t.axes * BLOCK)) or 1
-    query_blocks = -(-asked * probes // (2 * t.axes * QUERY_BLOCK)) or 1
 
     def deal(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    name, x = batch.column(0).slice(lo, 2048).to_numpy(), matrix(batch.column(1).slice(lo, 2048))
+                for lo in range(0, batch.num_rows, 512):
+                    name, x = batch.column(0).slice(lo, 512).to_numpy(), matrix(batch.column(1).slice(lo, 512))
                     unit = t.unit(x, query)
-                    own, others = (query_blocks, blocks) if query else (blocks, query_blocks)
-                    mine = (name * 2654435761 % (1 << 31)) % own
                     for table in range(t.tables):
-                        axis = t.order(unit, table)[:, :probes] if query else t.bucket(unit, table)[:, None]
-                        row = np.repeat(np.arange(len(x)), axis.shape[1])
-                        for other in range(others):
-                            cell = mine[row] * blocks + other if query else other * blocks + mine[row]
-                            place = (cell * t.tables + table) * 2 * t.axes + axis.ravel()
-                            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(name[row]), lists(x[row], like)], ["place", "name", "v"])
+                        if query:
+                            row, group, more = t.probed(unit, table, most)
+                        else:
+                            row, (group, more) = np.arange(len(x)), t.filed(unit, table)
+                        for at in range(0, len(row), 8192):
+                            part = slice(at, at + 8192)
+                            yield pa.RecordBatch.from_arrays([pa.array(group[part]), pa.array(name[row[part]]), pa.array(more[part]), lists(x[row[part]], like)], ["group", "name", "more", "v"])
 
         return run
 
-    schema = f"place long, name long, v {kind}"
-    left = queries.select("entry", "v").mapInArrow(deal(True), schema)
-    right = index.select("entry", "v").mapInArrow(deal(False), schema)
+    left = queries.select("entry", "v").mapInArrow(deal(True), f"group long, name long, more double, v {kind}")
+    right = index.select("entry", "v").mapInArrow(deal(False), f"group long, name long, more int, v {kind}")
+    count = lambda rows, size, name: rows.groupBy("group").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = written(count(left, QUERY_BLOCK, "lefts").join(count(right, BLOCK, "rights"), "group"), "blocks")
+    mine = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(blocks, "group").select("group", mine("lefts").alias("l"), every("rights").alias("r"), "name", "more", "v")
+    right = right.join(blocks, "group").select("group", every("lefts").alias("l"), mine("rights").alias("r"), "name", "more", "v")
 
     def rank(q: pa.Table, x: pa.Table) -> pa.Table:
-        if not q.num_rows or not x.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b, s = best(matrix(q["v"]), matrix(x["v"]), k + 1)
-        return pa.table({"q": q["name"].to_numpy()[a], "entry": x["name"].to_numpy()[b], "score": s})
-
-    return left.groupBy("place").cogroup(right.groupBy("place")).applyInArrow(rank, "q long, entry long, score double")
-
-
-def search(df: DataFrame, query: F.Column, vector: str = "embedding", key: str = "vec_id", k: int = 20, tables: int = 8, aim: float = 0.97) -> DataFrame:
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if q.num_rows and x.num_rows:
+            table, cell = q["group"][0].as_py() % t.tables, x["more"].to_numpy()
+            order = np.argsort(cell, kind="stable")
+            rows, names, edge = matrix(x["v"])[order], x["name"].to_numpy()[order], np.searchsorted(cell[order], np.arange(2 * t.axes + 1))
+            for lo in range(0, q.num_rows, 256):
+                part = q.slice(lo, 256)
+                asking = matrix(part["v"])
+                open_ = t.penalties(t.unit(asking, True), table, t.rotations - 1) <= part["more"].to_numpy()[:, None]
+                s = np.full((len(asking), len(rows)), -np.inf)
+                for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+                    who, own = np.flatnonzero(open_[:, c]), slice(edge[c], edge[c + 1])
+                    if len(who):
+                        s[who, own] = asking[who] @ rows[own].T
+                a, b = top(s, k + 1)
+                out.append((part["name"].to_numpy()[a], names[b], products(asking[a], rows[b])))
+        return pa.table([np.concatenate([o[i] for o in out]) for i in range(3)], ["q", "entry", "score"])
+
+    keys = ["group", "l", "r"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "q long, entry long, score double")
+
+
+def search(df: DataFrame, query: F.Column, vector: str = "embedding", key: str = "vec_id", k: int = 20, tables: int = 8, aim: float = 0.96) -> DataFrame:
     """query_id, rank, ``key``, score: for each row that ``query`` marks (a condition on ``key``) its k nearest rows found, nearest first."""
     rows, schema = sound_rows(df, vector, key), f"query_id long, rank int, `{key}` long, score double"
     lengths = sorted(r["d"] for r in rows.withColumnRenamed("id", key).where(query).select(F.size("v").alias("d")).distinct().collect())
@@ -212,14 +271,14 @@ def of_length(df: DataFrame, rows: DataFrame, d: int, query: F.Column, vector: s
     index = written(entries(rows, d, k), "entries")
     v = F.transform("v", lambda x: x.cast("double"))
     norms = index.agg(F.max(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("hi"), F.min(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("lo"), F.count("*").alias("n")).first()
-    t = Tables(d, float(norms["hi"]), norms["lo"] < norms["hi"] * (1 - 1e-5), tables)
+    t = Tables(d, float(norms["hi"]), norms["lo"] < norms["hi"] * (1 - 1e-5), tables).for_rows(norms["n"])
     asking = df.select(F.col(key).cast("long").alias(key), F.col(vector).alias("v")).where(query).where(F.size("v") == d).select(F.col(key).alias("query_id"), "v").distinct()
     asking = written(asking.join(index.select("v", "entry"), "v").select("query_id", F.col("entry").alias("q")), "asking")
     queries = written(index.join(asking.select(F.col("q").alias("entry")).distinct(), "entry", "left_semi").select("entry", "v"), "queries")
     asked = queries.count()
     if not asked:
         return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    probes = min(2 * t.axes, probes_needed(index, queries, t, k, aim, asked))
+    most = penalty_needed(index, queries, t, k, aim, asked)
 
     def answers(near: DataFrame) -> DataFrame:
         near = near.groupBy("q", "entry").agg(F.max("score").alias("score"))
@@ -228,12 +287,12 @@ def of_length(df: DataFrame, rows: DataFrame, d: int, query: F.Column, vector: s
         each = each.groupBy("query_id", "id").agg(F.max("score").alias("score"))
         return each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
-    got = written(answers(met(index, queries, t, probes, k, norms["n"], asked)), "neighbours")
+    got = written(answers(met(index, queries, t, most, k)), "neighbours")
     full = got.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("query_id")
     short = asking.join(full, "query_id", "left_anti")
-    if probes < 2 * t.axes and not short.isEmpty():
+    if most < np.inf and not short.isEmpty():
         again = written(queries.join(short.select(F.col("q").alias("entry")).distinct(), "entry", "left_semi"), "short")
-        rest = answers(met(index, again, Tables(t.dimensions, t.largest, t.lift, 1, t.seed), 2 * t.axes, k, norms["n"], again.count()))
+        rest = answers(met(index, again, dataclasses.replace(t, tables=1), np.inf, k))
         rest = written(rest.join(short.select("query_id"), "query_id", "left_semi"), "rest")
         got = got.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
     return got.select("query_id", F.col("rank").cast("int"), F.col("id").alias(key), "score").toDF(*out_names)
