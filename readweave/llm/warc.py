@@ -1,7 +1,8 @@
 """WARC archives under Zstandard: written and read through Spark's own file sources.
 
 An archive begins with a skippable frame that holds the dictionary; each record is
-one frame. Spark's text sink writes each archive as one row, its line separator being
+one frame. Frames are made before anything is shuffled; which records are revisits
+is found from keys and digests alone and joined to the compressed frames by key. Spark's text sink writes each archive as one row, its line separator being
 an empty skippable frame, which every Zstandard reader passes over; its binary source
 reads whole archives, of ``archive_bytes`` at most (a larger record has one of its
 own), however much a partition holds. The reader finds each frame's end from its block headers, decodes it with the
@@ -10,8 +11,9 @@ that fails raises ValueError with the archive's name.
 
 Payloads of ``least`` bytes or more that are equal (by SHA-1 and length) have one
 response, the one with the largest key, and revisits that refer to it. Null payloads
-count as empty. Rows with equal payloads that tie for the largest key are all
-responses; a row without a key is a response of its own.
+count as empty, null URLs too. Rows with equal payloads that tie for the largest key are all
+responses; a row without a key is a response of its own. Repeated rows have a record each.
+No rows make no archives. Other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """One record for each row, in archives under ``folder``."""
+    """One record for each row, in archives under ``folder``. The files keep the names that Spark's text sink gives them, so nothing is renamed one by one."""
     spark = df.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
@@ -149,20 +151,32 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
     sampled = picked.where(F.octet_length("body").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("key")).limit(SAMPLES).select("body").collect()
     words = spark.sparkContext.broadcast(dictionary([bytes(r["body"]) for r in sampled]))
     rows = rows.withColumns({"digest": F.sha1("body"), "size": F.octet_length("body").cast("long")})
-    twice = rows.where(f"size >= {least} and key is not null").groupBy("digest", "size").agg(F.max("key").alias("response"), F.count("*").alias("c")).where("c > 1").drop("c")
-    rows = rows.join(twice, ["digest", "size"], "left").withColumn("refers_to", F.when(F.col("key") < F.col("response"), F.col("response"))).drop("response")
-    rows = rows.select("key", "url", F.when(F.col("refers_to").isNull(), F.col("body")).alias("body"), "size", "digest", "refers_to", F.monotonically_increasing_id().alias("serial"))
+    ids = rows.where(f"size >= {least} and key is not null").select("key", "digest", "size")
+    twice = ids.groupBy("digest", "size").agg(F.max("key").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
+    again = ids.join(twice, ["digest", "size"]).where("key < refers_to").distinct().withColumnRenamed("key", "own").withColumnRenamed("digest", "whole")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words.value), write_checksum=True)
+    def frames_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = _writer(words.value)
+        for batch in batches:
+            for lo, hi, buf, at in flat.windows(batch.column(2)):
+                others = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, 3, 4, 5)]
+                made = [writer.compress(record(name, serial, target, buf[a:b].tobytes(), size, digest, None)) for a, b, name, target, size, digest, serial in zip(at[:-1].tolist(), at[1:].tolist(), *(o.to_pylist() for o in others), strict=True)]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(made, pa.binary())], ["key", "url", "size", "digest", "serial", "frame"])
+
+    made = rows.select("key", "url", "body", "size", "digest", F.monotonically_increasing_id().alias("serial")).mapInArrow(frames_of, "key long, url string, size long, digest string, serial long, frame binary")
+    # rows without a key are dealt by their own numbers and match nothing
+    made = made.withColumns({"own": F.coalesce("key", "serial"), "whole": F.when(F.col("key").isNull(), "").otherwise(F.col("digest"))})
+    made = made.join(again, ["own", "whole", "size"], "left").select("key", "url", "size", "digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("frame")).alias("frame"))
+
+    def archives_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer = _writer(words.value)
         first = struct.pack("<II", DICTIONARY, len(words.value)) + words.value
         out, held = [first], len(first)
         for batch in batches:
-            for lo, hi, buf, at in flat.windows(batch.column(2)):
-                data, ends = memoryview(buf), at.tolist()
-                others = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 1, 3, 4, 5, 6))
-                for a, b, (name, target, size, digest, refers_to, serial) in zip(ends[:-1], ends[1:], zip(*others, strict=True), strict=True):
-                    frame = writer.compress(record(name, serial, target, bytes(data[a:b]), size, digest, refers_to))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                for (key, url, size, digest, refers_to), frame in zip(zip(*(part.column(k).to_pylist() for k in range(5)), strict=True), part.column(5), strict=True):
+                    frame = frame.as_py() if refers_to is None else writer.compress(record(key, 0, url, b"", size, digest, refers_to))
                     if len(out) > 1 and held + len(frame) > archive_bytes:
                         yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
                         out, held = [first], len(first)
@@ -171,15 +185,12 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
         if len(out) > 1:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])
 
-    archives = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives = made.mapInArrow(archives_of, "archive binary").select(F.col("archive").cast("string").alias("value"))
     archives.write.options(lineSep=SEPARATOR.decode("ascii"), maxRecordsPerFile=1).text(folder)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(path):  # names alone: one for each archive
-        name = status.getPath().getName()
-        if name.startswith("part-"):
-            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(path, name.removesuffix(".txt") + ".warc.zst"))
+
+
+def _writer(words: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words), write_checksum=True)
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:

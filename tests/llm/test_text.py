@@ -1,5 +1,6 @@
 """Rules, classifier, languages, URLs, near duplicates."""
 
+import math
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readweave.llm import jaccard, langid, quality, queries, rules, urls
+from readweave.llm import flat, jaccard, langid, quality, queries, rules, urls
 from tests_llm_data import ODD
 
 D = "/root/testdata/sf0.001"
@@ -96,6 +97,110 @@ def test_languages_odd_rows(clashing, none):
     assert {r["lang_pred"] for r in langid.predict(clashing, None).collect()} == {"und"}
 
 
+def one_hash(data):
+    return int(flat.hash_spans(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0])
+
+
+def test_languages_against_plain_python(spark):
+    """Scores are a softmax over the average of the subwords' rows; the sample's order doesn't depend on partitions."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    model, other = (langid.train(docs.repartition(n)) for n in (3, 7))
+    assert (model.table == other.table).all() and (model.bias == other.bias).all() and (model.temperature, model.bar) == (other.temperature, other.bar)
+    assert 0 < model.bar < 1
+    rows = docs.orderBy("doc_id").limit(12).collect()
+    got = {r["doc_id"]: r for r in langid.predict(docs, model, keep=["doc_id"]).collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in rows:
+        total, n = [0.0] * len(model.languages), 0
+        for word in re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate(lower)):
+            marked = b"<" + word.encode() + b">"
+            for part in [marked] + [marked[k : k + size] for size in langid.N for k in range(len(marked) - size + 1)]:
+                row = model.table[one_hash(part) % langid.BUCKETS]
+                total, n = [t + float(x) for t, x in zip(total, row, strict=True)], n + 1
+        if not n or not any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        z = [(t / n + b) / model.temperature for t, b in zip(total, model.bias, strict=True)]
+        p = [math.exp(v - max(z)) for v in z]
+        assert got[r["doc_id"]]["score"] == pytest.approx(max(p) / sum(p), abs=1e-4)
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[p.index(max(p))]
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} " * 9, f"l{k % 260}") for k in range(1040)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(df).languages) == 260
+    assert len(langid.train(df, sample_rows=300).languages) == 260
+
+
+def test_quality_against_plain_python(spark):
+    """A score is a logistic curve over the weighted sum of standardised and binned measures; the sample's order doesn't depend on partitions."""
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    model, other = (quality.train(docs.repartition(n), labels.repartition(n)) for n in (3, 7))
+    assert (model.weights == other.weights).all() and (model.threshold, model.slope) == (other.threshold, other.slope)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model, keep=["doc_id"]).collect()}
+    measured = quality.scored_vectors(docs, "text", ["doc_id"]).orderBy("doc_id").limit(50).collect()
+    m, inner = len(quality.MEASURES), quality.BINS - 1
+    for r in measured:
+        u = 0.0
+        for k, x in enumerate(r["vector"]):
+            u += model.weights[k] * min(max((x - model.mean[k]) / model.scale[k], -5), 5)
+            u += sum(model.weights[m + k * inner + b] for b in range(inner) if x > model.edges[k][b])
+        z = model.slope * (u - model.threshold) + math.log(model.cut / (1 - model.cut))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(min(z, 50), -50))), abs=1e-6)
+
+
+def test_pairs_rank_what_is_preferred():
+    """Bradley-Terry on a measure that alone decides, among noise."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, len(quality.MEASURES)))
+    y = (x[:, 4] + 0.1 * rng.normal(size=600) > 0.5).astype(int)
+    model = quality.fit(x[:400], y[:400], 1 - y[:400].mean())
+    assert auc(model.utility(x[400:]), y[400:]) > 0.97
+
+
+BAD_HOSTS = ["m.casino-win.example.com", "free-bets.example.com", "m.ads-track.example.com", "www.spam-farm.example.com", "www.cheap-pills.example.com", "blog.adult-x.example.net"]
+
+
+def test_labelled_urls():
+    """Prefixes and suffixes don't tell the labels apart, and hosts of the corpus aren't among them."""
+    rows = urls.labelled()
+    assert len({(h, p) for h, p, _ in rows}) == len(rows) and not {h for h, *_ in rows} & set(BAD_HOSTS)
+    for s in urls.SUFFIXES:
+        ends = lambda h, s=s: max((x for x in urls.SUFFIXES if h.endswith(x)), key=len) == s
+        assert {sum(ends(h) for h, _, y in rows if y == label) * len(urls.SUFFIXES) == sum(y == label for *_, y in rows) for label in (0, 1)} == {True}
+
+
+def test_urls_kept_back():
+    rows = urls.labelled()
+    right = {0: [], 1: []}
+    for fold in range(5):
+        model, kept = urls.train([r for k, r in enumerate(rows) if k % 5 != fold]), rows[fold::5]
+        for (*_, label), p in zip(kept, model.score([r[0] for r in kept], [r[1] for r in kept]), strict=True):
+            right[label].append((p >= 0.5) == label)
+    assert np.mean(right[1]) > 0.85 and np.mean(right[0]) > 0.92
+
+
+def test_urls_of_unseen_hosts(spark):
+    """Bad hosts under good suffixes and the reverse; and all hosts of the corpus."""
+    model = urls.train(urls.labelled())
+    bad, good = ["xxx-videos.example.org", "poker-night-casino.com", "viagra-online.org", "torrent-porn.net"], ["cooking.example", "city-library.net", "universitypress.example", "ththst.example.com"]
+    assert (model.score(bad, ["/a"] * 4) >= 0.5).all() and (model.score(good, ["/a"] * 4) < 0.5).all()
+    got = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("host <> ''").select("host", (F.col("score") >= 0.5).alias("blocked")).distinct().collect()
+    assert {r["host"] for r in got if r["blocked"]} == set(BAD_HOSTS) and not {r["host"] for r in got if not r["blocked"]} & set(BAD_HOSTS)
+
+
+def test_urls_against_plain_python():
+    model = urls.train(urls.labelled())
+    host, path = "www.Some-host.org".lower(), "/En/12é"
+    z = model.bias
+    for mark, text in ((0, f"^{host}$"), (urls.BUCKETS // 2, path.lower() + "$")):
+        data = text.encode()
+        grams = [data[k : k + n] for n in urls.N for k in range(len(data) - n + 1)]
+        z += sum(model.weights[one_hash(g) % urls.BUCKETS ^ mark] for g in grams) / math.sqrt(len(grams))
+    assert model.score([host, ""], [path, ""]).tolist() == [pytest.approx(1 / (1 + math.exp(-z))), 0.0]
+
+
 @pytest.mark.parametrize("url, host, path, rule, verdict", [
     ("http://a.net", "a.net", "", None, "allow"),
     ("http://a.net/", "a.net", "/", "net/", "block"),
@@ -153,6 +258,34 @@ def test_near_duplicates_odd_rows(clashing, none):
     assert components(none) == []
 
 
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    """With blocks of few rows every token of a group is dealt over many blocks; links stay the same."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    common, rows = [f"c{k}" for k in range(40)], []
+    for k in range(60):  # 40 shared words and a few of their own: some pairs reach the threshold, others just don't
+        own = [f"o{k}-{i}" for i in range(rng.integers(0, 9))]
+        rows.append((k, " ".join(common + own)))
+        rows.append((100 + k, " ".join(common[: rng.integers(20, 40)] + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert components(df) == brute_components(rows)
+
+
+def test_components_have_numbers_of_their_own(spark):
+    """Null and repeated keys: the number tells components apart where keys don't."""
+    base = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (7, " ".join(base[:39])), (7, "another text of seven words in all"), (None, None), (3, "")]
+    got = jaccard.members(spark.createDataFrame(rows, "doc_id long, text string").withColumn("md5", F.md5("text")), carry=("md5",)).collect()
+    of = {r["md5"]: (r["doc_id"], r["component_id"], r["component"]) for r in got}
+    import hashlib
+
+    digest = lambda t: t and hashlib.md5(t.encode()).hexdigest()
+    near = [of[digest(t)] for _, t in rows[:3]]
+    assert {c for _, c, _ in near} == {7} and len({n for *_, n in near}) == 1
+    assert of[digest(rows[3][1])][:2] == (7, 7) and of[digest(rows[3][1])][2] != near[0][2]
+    assert of[None] == (None, None, None) and len(got) == 6
+
+
 def test_near_duplicates_planted(spark):
     """Exact copies, chains of edits, a passage in many texts, and a group of near copies of one text."""
     rng = np.random.default_rng(1)
