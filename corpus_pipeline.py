@@ -9,37 +9,56 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readweave.llm import jaccard, packing, quality, rules
-from readweave.session import written
+from readweave.session import remove, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep.
+
+    Null and empty texts have no words and go; very long texts are judged whole. Rows are
+    judged alone: repeated rows all stay or all go, null keys don't matter. An empty
+    table gives one. Columns beside those of ``documents`` are dropped first, whatever their names.
+    """
     return rules.judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled documents outside the held-out fold, takes for good."""
+    """Documents that the classifier, learnt from the labelled documents outside the held-out fold, takes for good.
+
+    Null and empty texts have a score like others; very long texts count whole. A score that ties with
+    the bar is good. Rows are judged alone; an empty table gives one; further columns are dropped first.
+    """
     model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(COLUMNS), model).where("predicted = 1").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id.
+    """One row of each component of near duplicates: that with the smallest doc_id, null ones last; of those the one with the least digest.
 
-    Rows equal in doc_id and text are one document. Of rows that share a doc_id but
-    not the text, all stay whose doc_id names a component.
+    Rows equal in doc_id and text are one document, of which one row stays. Null and empty
+    texts are linked with nothing: one row stays for each doc_id and text. Very long texts
+    count whole; an empty table gives one; further columns are dropped first. Rows are found again by a
+    digest of 128 bits of doc_id and text.
     """
-    named = jaccard.components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    left = docs.select(COLUMNS).alias("d").join(named.alias("n"), docs["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"])
+    text = F.coalesce(F.md5("text"), F.lit("-"))
+    docs = docs.select(*COLUMNS, F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)).alias("__row"))
+    group = F.coalesce(F.col("component").cast("string"), F.col("__row")).alias("group")
+    first = jaccard.members(docs, carry=("__row",)).groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("s"))
+    return docs.join(first.select("s.__row"), "__row", "left_semi").dropDuplicates(["__row"]).select(COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens and their places in sequences.
+
+    Null and empty texts are pieces of their end token alone; only texts of more than 4096 tokens are
+    cut. Rows with equal doc_ids are packed apart, also repeated ones; null keys stay null. An empty table gives
+    no pieces; further columns are not carried.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
@@ -57,5 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, before = written(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
+        remove(before)
     return docs
