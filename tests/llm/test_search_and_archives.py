@@ -3,14 +3,20 @@
 import hashlib
 import importlib
 import struct
+from collections import Counter
 
+import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from readweave.llm import ann, jaccard, quality, queries, rules, warc
+from readweave.llm import ann, quality, queries, rules, warc
 from readweave.session import new_folder
+from tests_llm_brute import brute_components, check_places
+from tests_llm_data import ODD, SCHEMA
+from tokenizers import Tokenizer
 
 
 def brute(rows, query, k):
@@ -170,17 +176,49 @@ def test_a_broken_archive_is_refused(spark, tmp_path, broken):
 
 
 def test_pipeline(spark):
-    """Each stage keeps exactly what its operator decides on what the stage before kept."""
+    """Each stage keeps exactly what brute force over the stage before gives."""
     pipeline, d = importlib.import_module("corpus_pipeline"), "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").cache()
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
     ruled = pipeline.quality_rules(spark, docs, d).cache()
-    assert ids(ruled) == ids(rules.judge(docs).where("kept")) and ruled.columns == docs.columns
+    assert ids(ruled) == sorted(k for (k,) in con.execute(f"select doc_id from ({rules.oracle()}) where kept").fetchall()) and ruled.columns == docs.columns
     good = pipeline.quality_classifier(spark, ruled, d).cache()
     model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
-    assert ids(good) == ids(quality.score(ruled, model).where("predicted = 1")) and good.columns == docs.columns
+    measured = quality.scored_vectors(ruled, "text", ["doc_id"]).collect()
+    assert ids(good) == sorted(r["doc_id"] for r in measured if model.utility(np.array([r["vector"]]))[0] >= model.threshold) and good.columns == docs.columns
     unique = pipeline.near_duplicates(spark, good, d).cache()
-    assert ids(unique) == ids(jaccard.components(good).where("doc_id = component_id")) and unique.columns == docs.columns
-    packed = pipeline.best_fit_packing(spark, unique, d)
-    assert sorted({r["doc_id"] for r in packed.select("doc_id").collect()}) == ids(unique)
-    assert pipeline.run(spark, d).count() == packed.count()
+    assert ids(unique) == sorted(k for k, _, c in brute_components([(r["doc_id"], r["text"]) for r in good.collect()]) if k == c) and unique.columns == docs.columns
+    packed = pipeline.best_fit_packing(spark, unique, d).collect()
+    library, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for r in unique.collect():
+        n = len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        want.update((r["doc_id"], p // 4096, min(4096, n - p)) for p in range(0, n, 4096))
+    assert Counter((r["doc_id"], r["piece"], r["length"]) for r in packed) == want
+    check_places(packed, 4096)
+    assert pipeline.run(spark, d).count() == len(packed)
+
+
+def test_pipeline_stages_on_odd_rows(spark, clashing, none):
+    pipeline, d = importlib.import_module("corpus_pipeline"), "/root/testdata/sf0.001"
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, d).count() == 0
+        got = stage(spark, clashing, d)
+        if name != pipeline.STAGES[-1][0]:
+            assert got.columns == pipeline.COLUMNS and {r["doc_id"] for r in got.collect()} <= {k for k, *_ in ODD}
+    near = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, clashing, d).collect()), key=str)
+    want = {(k, t) for k, t, *_ in ODD} - {(5, "One  two\nthree")}
+    assert near == sorted(want, key=str)
+
+
+def test_near_copies_without_keys(spark):
+    """Of a component one row stays, also where keys are null or stand for several texts."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    base, other = [f"w{k}" for k in range(60)], " ".join(f"v{k}" for k in range(60))
+    texts = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (None, " ".join(["y", *base])), (4, other), (4, other + " more"), (4, "short text"), (4, "short text")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, df, "").collect()]
+    assert len(got) == 3 and {k for k, _ in got} == {None, 4} and (4, "short text") in got
+    keyed = df.union(spark.createDataFrame([(9, " ".join(base[1:]), "en", "s", 0)], SCHEMA))
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, keyed, "").collect()} == {4, 9}

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readweave.llm import flat, jaccard, langid, quality, queries, rules, urls
+from tests_llm_brute import brute_components
 from tests_llm_data import ODD
 
 D = "/root/testdata/sf0.001"
@@ -224,31 +225,6 @@ def test_urls(spark, url, host, path, rule, verdict):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
 
 
-def brute_components(rows, width=5, percent=75):
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for _, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
-        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
-    parent = list(range(len(rows)))
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, x in enumerate(sets):
-        for j in range(i):
-            same = len(x & sets[j])
-            if same and 100 * same >= percent * (len(x) + len(sets[j]) - same):
-                parent[top(i)] = top(j)
-    least = {}
-    for i, (k, _) in enumerate(rows):
-        if k is not None:
-            least[top(i)] = min(k, least.get(top(i), k))
-    return sorted(((k, len(sets[i]), least.get(top(i))) for i, (k, _) in enumerate(rows)), key=str)
-
-
 def components(df):
     return sorted((tuple(r) for r in jaccard.components(df).collect()), key=str)
 

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from readweave.llm import bpe, flat, jaccard, packing, tokenfiles, wordpieces
 from readweave.session import new_folder
+from tests_llm_brute import check_places
 from tests_llm_data import ODD
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -143,19 +144,6 @@ def test_token_files_are_read_selectively(spark, library):
     assert "tokens:array" not in counts._jdf.queryExecution().executedPlan().toString().split("ReadSchema", 1)[1]
 
 
-def check_places(rows, capacity):
-    by = {}
-    for r in rows:
-        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for places in by.values():
-        end = 0
-        for offset, length in sorted(places):
-            assert offset == end
-            end += length
-        assert end <= capacity
-    return len(by)
-
-
 def test_packing(clashing, none, library):
     rows = packing.pack(clashing, WORDS, 1, 256).collect()
     want = Counter()
