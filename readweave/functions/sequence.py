@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Nucleotide codes and their complements (S, W and N are their own).
@@ -13,11 +13,6 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 AS_BASES = ("ACGT" * 7)[:26]
 
 
-def bases(seq: Column) -> Column:
-    """Upper-case symbols without line ends or other white space."""
-    return F.upper(F.regexp_replace(seq, r"\s+", ""))
-
-
 def text_as_bases(text: Column) -> Column:
     """A text as a pseudo-read: its ASCII letters, each standing for one of four bases."""
     return F.translate(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "")), LETTERS, AS_BASES)
@@ -58,11 +53,6 @@ def canonical_kmers(seq: Column, k: int) -> Column:
     return _bound(both, lambda x: _windows(x["s"], k, cut(x)))
 
 
-def postings(reads: DataFrame, k: int, rid: str = "rid", seq: str = "seq") -> DataFrame:
-    """(kmer, rid) for every window of every read, repeats included."""
-    return reads.select(F.col(rid).alias("rid"), F.explode(canonical_kmers(F.col(seq), k)).alias("kmer")).select("kmer", "rid")
-
-
 def normalised(a: Column, b: Column) -> tuple[Column, Column]:
     """A pair with the smaller id first."""
     return F.least(a, b), F.greatest(a, b)

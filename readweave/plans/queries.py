@@ -1,7 +1,7 @@
 """The registered queries: every operator over whole tables, each with its SQL.
 
 Documents serve as pseudo-reads (their ASCII letters mapped to four bases), events
-as positioned reads.
+as positioned reads. Sketches have RunConfig's defaults, 250 bands of 3 hashes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readweave.config import RunConfig
-from readweave.functions import ordinals, sequence
+from readweave.functions import kmers, ordinals, sequence
 from readweave.operators import evaluate, intervals, lengths, lsh, minhash, shared
 from readweave.session import spread
 from readweave.sources import text
@@ -59,11 +59,13 @@ def kmer_windows_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_kmers(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.postings(reads(spark, d), K).distinct()
+    return kmers.postings(reads(spark, d), K).distinct().select(kmers.spelled(F.col("kmer"), K).alias("kmer"), "rid")
 
 
 def kmer_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.postings(reads(spark, d), K).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("rid").alias("n_reads"))
+    each = kmers.postings(reads(spark, d), K).groupBy("kmer", "rid").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_reads"))
+    return sizes.select(kmers.spelled(F.col("kmer"), K).alias("kmer"), "n", "n_reads")
 
 
 def kmer_index_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -78,24 +80,30 @@ def shared_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
     return shared.shared_counts(reads(spark, d), K)
 
 
+def kmer_pair_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs before and after they are made distinct, and the commonest k-mer."""
+    return shared.pair_stats(reads(spark, d), K)
+
+
 def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return minhash.signatures(reads(spark, d), SKETCH, portable=True).select("rid", F.posexplode("sig").alias("i", "h")).select("rid", F.col("i").cast("long"), "h")
+    return minhash.signatures(reads(spark, d), SKETCH).select("rid", F.posexplode("sig").alias("i", "h")).select("rid", F.col("i").cast("long"), "h")
 
 
 def _bands(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.bands(minhash.signatures(reads(spark, d), SKETCH, portable=True), SKETCH)
+    return lsh.bands(reads(spark, d), SKETCH)
 
 
 def lsh_bands(spark: SparkSession, d: str) -> DataFrame:
-    return _bands(spark, d).select("rid", F.col("band").cast("long"), F.array_join(F.col("key").cast("array<string>"), "-").alias("key"))
+    return _bands(spark, d).select("rid", F.col("band").cast("long"), lsh.key_text(SKETCH).alias("key"))
 
 
 def lsh_bucket_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return _bands(spark, d).groupBy("band", "key").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("n_buckets"))
+    banded = _bands(spark, d)
+    return banded.groupBy(*lsh.bucket_keys(banded)).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("n_buckets"))
 
 
 def lsh_band_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.band_stats(_bands(spark, d), SKETCH).withColumn("band", F.col("band").cast("long"))
+    return lsh.band_stats(reads(spark, d), SKETCH).withColumn("band", F.col("band").cast("long"))
 
 
 def lsh_band_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -103,11 +111,11 @@ def lsh_band_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.candidates(reads(spark, d), SKETCH, portable=True)
+    return lsh.candidates(reads(spark, d), SKETCH)
 
 
 def lsh_candidates_capped(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.candidates(reads(spark, d), CAPPED, portable=True)
+    return lsh.candidates(reads(spark, d), CAPPED)
 
 
 def interval_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +158,7 @@ def candidate_annotated(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     read_ordinals, read_lengths, length_histogram, reverse_complement, kmer_windows_count, canonical_kmers, kmer_frequency, kmer_index_stats,
-    shared_kmer_pairs, shared_kmer_counts, minhash_signatures, lsh_bands, lsh_bucket_sizes, lsh_band_stats, lsh_band_pairs, lsh_candidates,
+    shared_kmer_pairs, shared_kmer_counts, kmer_pair_stats, minhash_signatures, lsh_bands, lsh_bucket_sizes, lsh_band_stats, lsh_band_pairs, lsh_candidates,
     lsh_candidates_capped, interval_pairs, interval_pairs_uniform, positions_unpivot, pair_normalise_distinct, pairs_flagged, eval_report, candidate_annotated,
 )
 
@@ -159,51 +167,141 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+READS = f"""
+    reads AS (
+        SELECT doc_id AS rid, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{sequence.LETTERS}', '{sequence.AS_BASES}') AS seq
+        FROM documents
+    )"""
+
+POSTINGS = f"""{READS},
+    windows AS (SELECT rid, substr(seq, i, {K}) AS w FROM reads, unnest(range(1, length(seq) - {K} + 2)) AS t(i)),
+    posts AS (SELECT rid, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM windows)"""
+
+DISTINCT = f"""{POSTINGS},
+    one AS (SELECT DISTINCT kmer, rid FROM posts)"""
+
+COUNTS = f"""{DISTINCT},
+    counts AS (
+        SELECT l.rid AS a, r.rid AS b, count(*) AS n_shared
+        FROM one l JOIN one r ON l.kmer = r.kmer AND l.rid < r.rid
+        GROUP BY 1, 2
+    )"""
+
+
+def _mixed(x: str, shift: int, factor: int) -> str:
+    return f"((xor({x}, {x} >> {shift})::HUGEINT * {factor}::HUGEINT) % {1 << 62}::HUGEINT)::BIGINT"
+
+
+def _sketches() -> str:
+    """The least value of each hash over a read's k-mers, as lists."""
+    number = " + ".join(f"(strpos('ACGT', kmer[{i + 1}]) - 1) * {4 ** (K - 1 - i)}" for i in range(K))
+    made = minhash.family(SKETCH.bands * SKETCH.block, SKETCH.seed)
+    least = ", ".join(f"min(({a} * x + {b}) % {minhash.P})" for a, b in made)
+    return f"""{DISTINCT},
+    numbers AS (SELECT rid, ({number})::BIGINT AS x FROM one),
+    once AS (SELECT rid, {_mixed("x", 29, kmers.FACTORS[0])} AS x FROM numbers),
+    twice AS (SELECT rid, {_mixed("x", 32, kmers.FACTORS[1])} AS x FROM once),
+    xs AS (SELECT rid, xor(x, x >> 29) % {minhash.P} AS x FROM twice),
+    sigs AS (SELECT rid, [{least}] AS sig FROM xs GROUP BY 1)"""
+
+
+def _banded() -> str:
+    key = " || '-' || ".join(f"sig[band * {SKETCH.block} + {j + 1}]" for j in range(SKETCH.block))
+    return f"""{_sketches()},
+    banded AS (SELECT rid, band, {key} AS key FROM sigs, unnest(range(0, {SKETCH.bands})) AS t(band)),
+    sizes AS (SELECT band, key, count(*) AS n FROM banded GROUP BY 1, 2),
+    met AS (
+        SELECT l.band, l.key, l.rid AS a, r.rid AS b
+        FROM banded l JOIN banded r ON l.band = r.band AND l.key = r.key AND l.rid < r.rid
+    )"""
+
+
+def _evaluated() -> str:
+    return f"""{_banded()},
+    {COUNTS.removeprefix(DISTINCT).lstrip(", ")},
+    k AS (SELECT rid, count(*) AS size FROM one GROUP BY 1),
+    c AS (SELECT DISTINCT a, b FROM met),
+    t AS (
+        SELECT a, b FROM counts JOIN k x ON x.rid = a JOIN k y ON y.rid = b
+        WHERE n_shared >= {LEAST} * (x.size + y.size - n_shared)::DOUBLE
+    ),
+    f AS (
+        SELECT a, b, max(c) AS in_candidate, max(t) AS in_true
+        FROM (SELECT a, b, true AS c, false AS t FROM c UNION ALL SELECT a, b, false, true FROM t)
+        GROUP BY a, b
+    )"""
+
+
+POSITIONS = "pos AS (SELECT event_id AS rid, epoch_us(ts) // 1000000 AS rpos, ceil(value)::BIGINT AS rlen FROM events)"
+UNIFORM = f"""{POSITIONS},
+    uni AS (SELECT rid, rpos, 100::BIGINT AS rlen FROM pos)"""
+
+
+def _meeting(table: str) -> str:
+    return f"""
+    SELECT DISTINCT least(u.rid, v.rid) AS a, greatest(u.rid, v.rid) AS b
+    FROM {table} u JOIN {table} v
+        ON u.rid <> v.rid AND u.rpos <= v.rpos AND v.rpos <= u.rpos + u.rlen - {OVERLAP} AND (u.rpos < v.rpos OR u.rid < v.rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    reads_ = f"reads AS (SELECT doc_id AS rid, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{sequence.LETTERS}', '{sequence.AS_BASES}') AS seq FROM documents)"
-    posts = f"{reads_}, posts AS (SELECT rid, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT rid, substr(seq, i, {K}) AS w FROM reads, unnest(range(1, length(seq) - {K} + 2)) AS t(i)))"
-    distinct = f"{posts}, one AS (SELECT DISTINCT kmer, rid FROM posts)"
-    counts = f"{distinct}, counts AS (SELECT l.rid AS a, r.rid AS b, count(*) AS n_shared FROM one l JOIN one r ON l.kmer = r.kmer AND l.rid < r.rid GROUP BY 1, 2)"
-    made = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(minhash.family(SKETCH.bands * SKETCH.block, SKETCH.seed)))
-    sigs = (
-        f"{distinct}, xs AS (SELECT DISTINCT rid, (('0x' || substr(md5(kmer), 1, 15))::BIGINT) % {minhash.P} AS x FROM one),"
-        f" sigs AS (SELECT rid, i::BIGINT AS i, min((a * x + b) % {minhash.P})::BIGINT AS h FROM xs, (SELECT i, a::BIGINT AS a, b::BIGINT AS b FROM (VALUES {made}) AS f(i, a, b)) GROUP BY 1, 2)"
-    )
-    banded = f"{sigs}, banded AS (SELECT rid, i // {SKETCH.block} AS band, string_agg(h::VARCHAR, '-' ORDER BY i) AS key FROM sigs GROUP BY 1, 2), sizes AS (SELECT band, key, count(*) AS n FROM banded GROUP BY 1, 2)"
-    in_bucket = "SELECT {} FROM banded l JOIN banded r ON l.band = r.band AND l.key = r.key AND l.rid < r.rid"
-    cand = in_bucket.format("DISTINCT l.rid AS a, r.rid AS b")
-    pos = "pos AS (SELECT event_id AS rid, epoch_us(ts) // 1000000 AS rpos, ceil(value)::BIGINT AS rlen FROM events)"
-    meet = "SELECT DISTINCT least(u.rid, v.rid) AS a, greatest(u.rid, v.rid) AS b FROM {0} u JOIN {0} v ON u.rid <> v.rid AND u.rpos <= v.rpos AND v.rpos <= u.rpos + u.rlen - " + str(OVERLAP) + " AND (u.rpos < v.rpos OR u.rid < v.rid)"
-    same = f"{pos}, uni AS (SELECT rid, rpos, 100::BIGINT AS rlen FROM pos)"
-    sides = (
-        f"{banded}, counts AS (SELECT l.rid AS a, r.rid AS b, count(*) AS n_shared FROM one l JOIN one r ON l.kmer = r.kmer AND l.rid < r.rid GROUP BY 1, 2),"
-        f" k AS (SELECT rid, count(*) AS size FROM one GROUP BY 1), c AS ({cand}),"
-        f" t AS (SELECT a, b FROM counts JOIN k x ON x.rid = a JOIN k y ON y.rid = b WHERE n_shared >= {LEAST} * (x.size + y.size - n_shared)::DOUBLE),"
-        f" f AS (SELECT a, b, max(c) AS in_candidate, max(t) AS in_true FROM (SELECT a, b, true AS c, false AS t FROM c UNION ALL SELECT a, b, false, true FROM t) GROUP BY a, b)"
-    )
+    banded, evaluated = _banded(), _evaluated()
     return {
-        "read_ordinals": f"WITH {reads_}, o AS (SELECT row_number() OVER (ORDER BY rid) - 1 AS n, rid AS doc_id, seq FROM reads) SELECT n AS rid, doc_id, length(seq)::BIGINT AS len FROM o WHERE length(seq) >= 10",
-        "read_lengths": f"WITH {reads_} SELECT rid, length(seq)::BIGINT AS len FROM reads",
-        "length_histogram": f"WITH {reads_} SELECT (length(seq) // 100 * 100)::BIGINT AS bin, count(*) AS n_reads FROM reads GROUP BY 1",
-        "reverse_complement": f"WITH {reads_} SELECT rid, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5 FROM reads",
-        "kmer_windows_count": f"WITH {reads_} SELECT rid, greatest(length(seq) - {K} + 1, 0)::BIGINT AS n_kmers FROM reads",
-        "canonical_kmers": f"WITH {distinct} SELECT kmer, rid FROM one",
-        "kmer_frequency": f"WITH {posts} SELECT kmer, count(*) AS n, count(DISTINCT rid) AS n_reads FROM posts GROUP BY 1",
-        "kmer_index_stats": f"WITH {posts}, s AS (SELECT kmer, count(*) AS p, count(DISTINCT rid) AS n FROM posts GROUP BY 1) SELECT (SELECT count(*) FROM reads) AS n_reads, sum(p)::BIGINT AS n_postings, count(*) AS n_kmers, max(n) AS max_bucket, sum(n * (n - 1) // 2)::BIGINT AS n_incidences FROM s",
-        "shared_kmer_pairs": f"WITH {counts} SELECT a, b FROM counts",
-        "shared_kmer_counts": f"WITH {counts} SELECT a, b, n_shared FROM counts",
-        "minhash_signatures": f"WITH {sigs} SELECT rid, i, h FROM sigs",
+        "read_ordinals": f"""WITH {READS}, o AS (SELECT row_number() OVER (ORDER BY rid) - 1 AS n, rid AS doc_id, seq FROM reads)
+            SELECT n AS rid, doc_id, length(seq)::BIGINT AS len FROM o WHERE length(seq) >= 10""",
+        "read_lengths": f"WITH {READS} SELECT rid, length(seq)::BIGINT AS len FROM reads",
+        "length_histogram": f"WITH {READS} SELECT (length(seq) // 100 * 100)::BIGINT AS bin, count(*) AS n_reads FROM reads GROUP BY 1",
+        "reverse_complement": f"WITH {READS} SELECT rid, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5 FROM reads",
+        "kmer_windows_count": f"WITH {READS} SELECT rid, greatest(length(seq) - {K} + 1, 0)::BIGINT AS n_kmers FROM reads",
+        "canonical_kmers": f"WITH {DISTINCT} SELECT kmer, rid FROM one",
+        "kmer_frequency": f"WITH {POSTINGS} SELECT kmer, count(*) AS n, count(DISTINCT rid) AS n_reads FROM posts GROUP BY 1",
+        "kmer_index_stats": f"""WITH {POSTINGS}, s AS (SELECT kmer, count(*) AS p, count(DISTINCT rid) AS n FROM posts GROUP BY 1)
+            SELECT (SELECT count(*) FROM reads) AS n_reads, sum(p)::BIGINT AS n_postings, count(*) AS n_kmers, max(n) AS max_bucket,
+                sum(n * (n - 1) // 2)::BIGINT AS n_incidences
+            FROM s""",
+        "shared_kmer_pairs": f"WITH {COUNTS} SELECT a, b FROM counts",
+        "shared_kmer_counts": f"WITH {COUNTS} SELECT a, b, n_shared FROM counts",
+        "kmer_pair_stats": f"""WITH {COUNTS}, top AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM one GROUP BY kmer))
+            SELECT sum(n_shared)::BIGINT AS total_pairs, count(*) AS unique_pairs, (SELECT m FROM top) AS max_bucket FROM counts""",
+        "minhash_signatures": f"""WITH {_sketches()}
+            SELECT rid, i, sig[i + 1]::BIGINT AS h FROM sigs, unnest(range(0, {SKETCH.bands * SKETCH.block})) AS t(i)""",
         "lsh_bands": f"WITH {banded} SELECT rid, band, key FROM banded",
         "lsh_bucket_sizes": f"WITH {banded} SELECT n, count(*) AS n_buckets FROM sizes GROUP BY 1",
-        "lsh_band_stats": f"WITH {banded} SELECT band, sum(n)::BIGINT AS n_rows, count(*) AS n_buckets, max(n) AS max_bucket, sum(n * (n - 1) // 2)::BIGINT AS n_pairs FROM sizes GROUP BY 1",
-        "lsh_band_pairs": f"WITH {banded} " + in_bucket.format("l.band, l.rid AS a, r.rid AS b"),
-        "lsh_candidates": f"WITH {banded} {cand}",
-        "lsh_candidates_capped": f"WITH {banded} {cand} JOIN sizes s ON s.band = l.band AND s.key = l.key WHERE s.n <= {CAPPED.max_bucket}",
-        "interval_pairs": f"WITH {pos} " + meet.format("pos"),
-        "interval_pairs_uniform": f"WITH {same} " + meet.format("uni"),
-        "positions_unpivot": "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line, o_orderkey, o_custkey, count(*) OVER () AS n FROM orders) SELECT line AS rid, o_orderkey AS rpos, 100::BIGINT AS rlen FROM o UNION ALL SELECT line + n, o_custkey, 100 FROM o",
-        "pair_normalise_distinct": "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey",
-        "pairs_flagged": f"WITH {sides} SELECT a, b, in_candidate, in_true FROM f",
-        "eval_report": f'WITH {sides}, n AS (SELECT count(*) FILTER (in_candidate AND NOT in_true) AS cand_only, count(*) FILTER (in_true AND NOT in_candidate) AS true_only, count(*) FILTER (in_candidate AND in_true) AS "both" FROM f) SELECT cand_only, true_only, "both", "both" / nullif("both" + true_only, 0)::DOUBLE AS tp, true_only / nullif("both" + true_only, 0)::DOUBLE AS fn, cand_only / nullif("both", 0)::DOUBLE AS fp FROM n',
-        "candidate_annotated": f"WITH {same}, p AS ({meet.format('uni')}), j AS (SELECT p.a, p.b, x.rpos AS a_pos, x.rlen AS a_len, y.rpos AS b_pos, y.rlen AS b_len, CASE WHEN x.rpos < y.rpos OR (x.rpos = y.rpos AND a < b) THEN x.rpos + x.rlen - y.rpos ELSE y.rpos + y.rlen - x.rpos END AS reach FROM p JOIN pos x ON x.rid = a JOIN pos y ON y.rid = b) SELECT a, b, a_pos, a_len, b_pos, b_len, greatest(0, reach) AS overlap, reach >= {OVERLAP} AS is_true FROM j",
+        "lsh_band_stats": f"""WITH {banded},
+            counts AS (
+                SELECT band, sum(n)::BIGINT AS n_rows, count(*) AS n_buckets, max(n) AS max_bucket, sum(n * (n - 1) // 2)::BIGINT AS n_pairs
+                FROM sizes GROUP BY 1
+            ),
+            firsts AS (SELECT band, count(*) AS new FROM (SELECT a, b, min(band) AS band FROM met GROUP BY 1, 2) GROUP BY 1)
+            SELECT band, (SELECT count(*) FROM reads) AS n_reads, n_rows, n_buckets, max_bucket, n_pairs,
+                sum(coalesce(new, 0)) OVER (ORDER BY band)::BIGINT AS unique_pairs
+            FROM counts LEFT JOIN firsts USING (band)""",
+        "lsh_band_pairs": f"WITH {banded} SELECT band, a, b FROM met",
+        "lsh_candidates": f"WITH {banded} SELECT DISTINCT a, b FROM met",
+        "lsh_candidates_capped": f"WITH {banded} SELECT DISTINCT a, b FROM met JOIN sizes USING (band, key) WHERE n <= {CAPPED.max_bucket}",
+        "interval_pairs": f"WITH {POSITIONS} {_meeting('pos')}",
+        "interval_pairs_uniform": f"WITH {UNIFORM} {_meeting('uni')}",
+        "positions_unpivot": """WITH o AS (
+                SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line, o_orderkey, o_custkey, count(*) OVER () AS n FROM orders
+            )
+            SELECT line AS rid, o_orderkey AS rpos, 100::BIGINT AS rlen FROM o
+            UNION ALL SELECT line + n, o_custkey, 100 FROM o""",
+        "pair_normalise_distinct": """SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b
+            FROM lineitem WHERE l_partkey <> l_suppkey""",
+        "pairs_flagged": f"WITH {evaluated} SELECT a, b, in_candidate, in_true FROM f",
+        "eval_report": f"""WITH {evaluated}, n AS (
+                SELECT count(*) FILTER (in_candidate AND NOT in_true) AS cand_only, count(*) FILTER (in_true AND NOT in_candidate) AS true_only,
+                    count(*) FILTER (in_candidate AND in_true) AS "both"
+                FROM f
+            )
+            SELECT cand_only, true_only, "both", "both" / nullif("both" + true_only, 0)::DOUBLE AS tp,
+                true_only / nullif("both" + true_only, 0)::DOUBLE AS fn, cand_only / nullif("both", 0)::DOUBLE AS fp
+            FROM n""",
+        "candidate_annotated": f"""WITH {UNIFORM}, p AS ({_meeting("uni")}),
+            j AS (
+                SELECT p.a, p.b, x.rpos AS a_pos, x.rlen AS a_len, y.rpos AS b_pos, y.rlen AS b_len,
+                    CASE WHEN x.rpos < y.rpos OR (x.rpos = y.rpos AND a < b) THEN x.rpos + x.rlen - y.rpos ELSE y.rpos + y.rlen - x.rpos END AS reach
+                FROM p JOIN pos x ON x.rid = a JOIN pos y ON y.rid = b
+            )
+            SELECT a, b, a_pos, a_len, b_pos, b_len, greatest(0, reach) AS overlap, reach >= {OVERLAP} AS is_true FROM j""",
     }
