@@ -1,37 +1,220 @@
 """Text formats: FASTQ and FASTA reads, positions, pairs, lengths.
 
-Reads get dense ids from 0 in file order, over all files in the order given. All
-lines are trimmed and blank lines dropped.
+Reads get dense ids from 0 in file order, over all files in the order given. Lines are
+trimmed. Blank lines are dropped, save in FASTQ, whose records are four lines each.
+
+Lines are numbered without moving them: a first pass counts the lines of each file split,
+and the number of lines before each split (a row for each split) goes to the second pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-READS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("name", T.StringType()), T.StructField("seq", T.StringType()), T.StructField("qual", T.StringType())])
-_LINES = T.StructType([T.StructField("value", T.StringType()), T.StructField("line", T.LongType())])
+from readweave.session import written
 
+READS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("name", T.StringType()), T.StructField("seq", T.StringType()), T.StructField("qual", T.StringType())])
+FIELDS = 4
+_BLANKS = " \t\n\r\x0b\x0c"
 
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(value, line): trimmed non-blank lines numbered in file order over all paths.
 
-    Hadoop's text input keeps argument and split order, which Spark's own text source
-    doesn't; zipWithIndex numbers rows without bringing them to one task.
-    """
+def _lines(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(turn, file, block, value): lines by split, in order within each; and the files (turn, file) in order. ``file`` is a hash of the path."""
     if not paths:
         raise ValueError("no input files")
-    lines = spark.sparkContext.textFile(",".join(paths)).map(str.strip).filter(bool)
-    return spark.createDataFrame(lines.zipWithIndex(), _LINES)
+    seen: Counter[str] = Counter()
+    turns: list[list[str]] = []
+    order: list[tuple[int, str]] = []
+    for p in paths:  # a path that is given again is read again
+        turn, seen[p] = seen[p], seen[p] + 1
+        turns += [[]] * (turn == len(turns))
+        turns[turn] = [*turns[turn], p]
+        order += [(turn, f) for f in sorted(spark.read.text(p).inputFiles())]
+    bare = r"^file:/+"  # local paths are spelt with one slash or three
+    parts = [
+        spark.read.text(own).select(F.lit(turn).alias("turn"), F.xxhash64(F.regexp_replace("_metadata.file_path", bare, "/")).alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        for turn, own in enumerate(turns)
+    ]
+    lines = parts[0]
+    for other in parts[1:]:
+        lines = lines.union(other)
+    names = spark.createDataFrame([(k, t, re.sub(bare, "/", f)) for k, (t, f) in enumerate(order)], "k int, turn int, path string")
+    hashed = names.select("k", "turn", F.xxhash64("path").alias("file")).orderBy("k").collect()
+    return lines, [(r["turn"], r["file"]) for r in hashed]
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Array]]:
+    """((turn, file, block), trimmed lines) of runs of lines of one split."""
+    for batch in batches:
+        turn, file, block = (batch.column(k).to_numpy() for k in range(3))
+        edge = np.flatnonzero(np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1]) | (turn[1:] != turn[:-1]), True])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b > a:
+                yield (int(turn[a]), int(file[a]), int(block[a])), pc.utf8_trim(batch.column(3).slice(a, b - a), _BLANKS)
+
+
+def _full(lines: pa.Array) -> pa.Array:
+    return lines.filter(pc.not_equal(lines, ""))
+
+
+_SPLITS = "turn int, file long, block long, n long, blank long, head array<string>, tail array<string>"
+
+
+def _counted(lines: DataFrame, blank: bool) -> DataFrame:
+    """A row for each split: n lines, how many of the last three are blank at its end, its first and last three. Without ``blank`` only lines that aren't blank count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, n, head, tail = None, 0, [], []
+
+        def row() -> pa.RecordBatch:
+            ends = 0
+            while ends < len(tail) and not tail[-1 - ends]:
+                ends += 1
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*split, n, ends, head, tail), kinds, strict=True)], ["turn", "file", "block", "n", "blank", "head", "tail"])
+
+        for own, got in _by_split(batches):
+            if own != split:
+                if split is not None:
+                    yield row()
+                split, n, head, tail = own, 0, [], []
+            got = got if blank else _full(got)
+            n += len(got)
+            if blank:
+                head = head + got.slice(0, 3 - len(head)).to_pylist() if len(head) < 3 else head
+                tail = (tail + got.slice(max(0, len(got) - 3)).to_pylist())[-3:]
+        if split is not None:
+            yield row()
+
+    return written(lines.mapInArrow(run, _SPLITS), "splits")
+
+
+def _begins(splits: DataFrame, files: list[tuple[int, int]]) -> tuple[dict, dict, int]:
+    """First line of each split, counted over all files; the first line and number of lines of each file, and of how many lines at its end all are blank (three at most); and the number of all lines."""
+    place = {f: k for k, f in enumerate(files)}
+    rows = sorted(splits.select("turn", "file", "block", "n", "blank").collect(), key=lambda r: (place[r["turn"], r["file"]], r["block"]))
+    begin: dict[tuple[int, int, int], int] = {}
+    of_file: dict[tuple[int, int], list[int]] = {f: [0, 0, 0] for f in files}
+    at, last = 0, None
+    for r in rows:
+        file = (r["turn"], r["file"])
+        if file != last:
+            of_file[file], last = [at, 0, 0], file
+        begin[*file, r["block"]] = at
+        known = of_file[file]
+        known[1] += r["n"]
+        known[2] = min(3, known[2] + r["blank"]) if r["blank"] == r["n"] else r["blank"]
+        at += r["n"]
+    return begin, of_file, at
+
+
+def _numbered(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int]:
+    lines, files = _lines(spark, paths)
+    begin, _, total = _begins(_counted(lines, False), files)
+    sent = spark.sparkContext.broadcast(begin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, at = None, 0
+        for own, got in _by_split(batches):
+            if own != split:
+                split, at = own, sent.value[own]
+            got = _full(got)
+            yield pa.RecordBatch.from_arrays([got, pa.array(np.arange(at, at + len(got)))], ["value", "line"])
+            at += len(got)
+
+    return lines.mapInArrow(run, "value string, line long"), total
+
+
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(value, line): trimmed non-blank lines numbered in file order over all paths."""
+    return _numbered(spark, paths)[0]
 
 
 def fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Reads of four-line FASTQ records."""
-    lines = numbered_lines(spark, paths).select(F.expr("line div 4").alias("rid"), (F.col("line") % 4).alias("field"), "value")
-    part = lambda k: F.max(F.when(F.col("field") == k, F.col("value")))
-    got = lines.groupBy("rid").agg(F.regexp_replace(part(0), "^@", "").alias("name"), F.upper(part(1)).alias("seq"), part(3).alias("qual"))
-    return got.select("rid", "name", "seq", "qual")
+    """Reads of four-line FASTQ records.
+
+    Records are framed within splits, over Arrow batches; only the few lines of records that lie
+    across the ends of splits are put together by a shuffle. Empty reads are records of
+    two blank lines. A record whose first line doesn't begin with @ or whose third doesn't
+    with +, whose sequence and qualities differ in length, or that is cut short, raises an
+    error that names its line (from 1, over all files). Up to three blank lines may end a file.
+    """
+    lines, files = _lines(spark, paths)
+    splits = _counted(lines, True)
+    begin, of_file, _ = _begins(splits, files)
+    ends, first, at, short = {}, {}, 0, []
+    for file, (start, n, blank) in of_file.items():
+        if n % FIELDS > blank:
+            short.append(start + n - n % FIELDS + 1)
+        first[file], ends[file] = at, start + n // FIELDS * FIELDS
+        at += n // FIELDS
+    if short:
+        raise ValueError(f"the record at line {short[0]} is cut short")
+    # for each split: its first line within the file, lines of the file's records after that, and the file's first record
+    starts = {k: (b - of_file[k[:2]][0], ends[k[:2]] - b, first[k[:2]], b) for k, b in begin.items()}
+    sent = spark.sparkContext.broadcast(starts)
+    names = ["rid", "name", "seq", "plus", "qual", "at"]
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, done, held, line, left, rid, number = None, 0, None, 0, 0, 0, 0
+        for own, got in _by_split(batches):
+            if own != split:
+                split, done, held = own, 0, None
+                line, left, rid, number = sent.value[own]
+            skip = max(0, (-line) % FIELDS - done)  # of a record that began in an earlier split
+            done_after = done + len(got)
+            got = got.slice(0, max(0, left - done)).slice(skip) if left - done > 0 else got.slice(0, 0)
+            seen = max(done, (-line) % FIELDS) - (len(held) if held is not None else 0)
+            rows = pa.concat_arrays([held, got]) if held is not None else got
+            m = len(rows) // FIELDS
+            if m:
+                k = np.arange(m) * FIELDS
+                ids = rid + (line + seen + k) // FIELDS
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(rows.take(pa.array(k + f)) for f in range(FIELDS)), pa.array(number + seen + k + 1)], names)
+            held, done = rows.slice(m * FIELDS), done_after
+
+    kinds = "rid long, name string, seq string, plus string, qual string, at long"
+    whole = lines.mapInArrow(framed, kinds)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                line, left, rid, number = sent.value[r["turn"], r["file"], r["block"]]
+                n, head = min(r["n"], max(left, 0)), (-line) % FIELDS
+                # its last lines as they stand in the split, without what follows the file's last record
+                tail = r["tail"][: len(r["tail"]) - (r["n"] - n)] if r["n"] - n else r["tail"]
+                some = list(enumerate(r["head"][: min(head, n)]))
+                if n > head:
+                    loose = (n - head) % FIELDS
+                    some += [(n - loose + k, v) for k, v in enumerate(tail[len(tail) - loose :])] if loose else []
+                rows += [(rid + (line + k) // FIELDS, (line + k) % FIELDS, v, number + k + 1) for k, v in some]
+            kinds_ = (pa.int64(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds_)], ["rid", "field", "value", "at"])
+
+    field = lambda k: F.max(F.when(F.col("field") == k, F.col("value")))
+    pieces = splits.mapInArrow(across, "rid long, field int, value string, at long").groupBy("rid")
+    put = pieces.agg(field(0).alias("name"), field(1).alias("seq"), field(2).alias("plus"), field(3).alias("qual"), F.min("at").alias("at"))
+    return _checked(whole.union(put.select(*names)))
+
+
+def _checked(records: DataFrame) -> DataFrame:
+    def unless(sound: Column, what: str, value: Column) -> Column:
+        return F.when(sound, value).otherwise(F.raise_error(F.concat(F.lit("FASTQ record at line "), F.col("at").cast("string"), F.lit(f": {what}"))).cast("string"))
+
+    name = unless(F.coalesce(F.col("name").startswith("@"), F.lit(False)), "no @ at its beginning", F.expr("substring(name, 2)"))
+    seq = unless(F.coalesce(F.col("plus").startswith("+"), F.lit(False)), "no + on its third line", F.upper("seq"))
+    qual = unless(F.coalesce(F.length("seq") == F.length("qual"), F.lit(False)), "sequence and qualities differ in length", F.col("qual"))
+    return records.select("rid", name.alias("name"), seq.alias("seq"), qual.alias("qual"))
 
 
 def fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -40,8 +223,6 @@ def fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     A record's lines are found by the number of headers up to each line: counted
     within ranges of lines, then added up over the ranges.
     """
-    from pyspark.sql import Window
-
     span = 100_000
     lines = numbered_lines(spark, paths).select("line", "value", F.col("value").startswith(">").cast("long").alias("head"), F.expr(f"line div {span}").alias("range"))
     within = lines.withColumn("n", F.sum("head").over(Window.partitionBy("range").orderBy("line")))
@@ -67,13 +248,15 @@ def _numbers(df: DataFrame, names: list[str]) -> DataFrame:
 
 def simulated_positions(spark: SparkSession, path: str, read_length: int = 100) -> DataFrame:
     """(rid, rpos, rlen) of mates: of N lines, line i holds the starts of reads i and i + N."""
-    return unpivoted(_numbers(numbered_lines(spark, [path]), ["left", "right"]), read_length)
+    lines, total = _numbered(spark, [path])
+    return unpivoted(_numbers(lines, ["left", "right"]), read_length, F.lit(total))
 
 
-def unpivoted(lines: DataFrame, read_length: int) -> DataFrame:
-    """Rows (line, left, right) as two reads each."""
-    n = lines.count()
-    return lines.select(F.expr(f"stack(2, line, left, line + {n}, right) as (rid, rpos)"), F.lit(read_length).cast("long").alias("rlen"))
+def unpivoted(lines: DataFrame, read_length: int, total: Column | None = None) -> DataFrame:
+    """Rows (line, left, right) as two reads each. ``total``: the number of lines (else a scalar subquery)."""
+    total = lines.agg(F.count("*")).scalar() if total is None else total
+    mates = F.array(F.struct(F.col("line").alias("rid"), F.col("left").alias("rpos")), F.struct((F.col("line") + total).alias("rid"), F.col("right").alias("rpos")))
+    return lines.select(F.inline(mates), F.lit(read_length).cast("long").alias("rlen"))
 
 
 def mapped_positions(spark: SparkSession, path: str) -> DataFrame:
@@ -99,3 +282,21 @@ def write_pairs(df: DataFrame, path: str) -> None:
 def write_lengths(df: DataFrame, path: str) -> None:
     """One length a line, ascending over the files in order of their names."""
     df.orderBy("len").select(F.col("len").cast("string").alias("value")).write.text(path)
+
+
+def is_sorted(df: DataFrame, column: str) -> bool:
+    """Whether a column ascends over the rows as they lie, partition by partition: each partition tells if it does, and its first and last value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sound, first, last = True, None, None
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            if len(x):
+                sound = sound and bool((x[1:] >= x[:-1]).all()) and (last is None or bool(last <= x[0]))
+                first, last = (int(x[0]) if first is None else first), int(x[-1])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([sound]), pa.array([first]), pa.array([last])], ["sound", "first", "last"])
+
+    told = df.select(F.col(column).cast("long")).mapInArrow(run, "sound boolean, first long, last long").withColumn("part", F.spark_partition_id()).collect()
+    told.sort(key=lambda r: r["part"])
+    return all(r["sound"] for r in told) and all(x["last"] <= y["first"] for x, y in zip(told[:-1], told[1:], strict=True))
