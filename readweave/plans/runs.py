@@ -6,7 +6,6 @@ import argparse
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from readweave import session
 from readweave.config import RunConfig, run_type
@@ -14,6 +13,18 @@ from readweave.operators import evaluate, intervals, lengths, lsh, shared
 from readweave.sources import text
 
 
+class Phases:
+    """Seconds of the phases of a run, in order."""
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+        self.began = time.perf_counter()
+
+    def ended(self, name: str) -> None:
+        now = time.perf_counter()
+        self.seconds[name], self.began = round(now - self.began, 3), now
+
+
 def candidate(spark: SparkSession, files: list[str], config: RunConfig) -> DataFrame:
     return lsh.candidates(text.reads(spark, files), config)
 
@@ -39,38 +50,87 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-r", "--read_length", type=int, default=100)
     p.add_argument("-C", "--candidate_file", default="")
     p.add_argument("-R", "--true_file", default="")
+    p.add_argument("-w", "--bin_width", type=int, default=100, help="width of the bins of a lengths run's histogram")
+    p.add_argument("-s", "--statistics", action="store_true", help="also print counters: of each band (candidate), of pairs (kmer)")
+    p.add_argument("-a", "--annotate", action="store_true", help="write candidates with both reads' positions (needs a position file)")
     p.add_argument("files", nargs="*")
     return p
 
 
+def configured(args: argparse.Namespace) -> RunConfig:
+    return RunConfig(
+        kmer=args.kmer_length, block=args.block_size, bands=args.block_count, max_bucket=args.max_bucket_size if args.max_bucket_size > 0 else None,
+        min_overlap=args.overlap_threshold, read_length=args.read_length,
+    )
+
+
+def run_lengths(spark: SparkSession, args: argparse.Namespace, config: RunConfig, phases: Phases) -> dict:
+    """The histogram of lengths (a row for each bin); the listing goes to the output."""
+    if args.bin_width < 1:
+        raise ValueError("the bin width must be positive")
+    reads = text.reads(spark, args.files)
+    phases.ended("read_files")
+    if args.output_prefix:
+        text.write_lengths(lengths.lengths(reads), args.output_prefix)
+        phases.ended("sort_lengths")
+    bins = {r["bin"]: r["n_reads"] for r in lengths.histogram(reads, args.bin_width).orderBy("bin").collect()}
+    phases.ended("histogram")
+    return {"reads": sum(bins.values()), "histogram": bins}
+
+
+def run_eval(spark: SparkSession, args: argparse.Namespace, config: RunConfig, phases: Phases) -> dict:
+    found = evaluate.evaluation(text.pairs(spark, args.candidate_file), text.pairs(spark, args.true_file)).first().asDict()
+    phases.ended("compare_overlaps")
+    return found
+
+
+def run_pairs(spark: SparkSession, args: argparse.Namespace, config: RunConfig, phases: Phases) -> dict:
+    """Candidate, shared k-mer and true pairs; with a position file candidates are compared with the true pairs."""
+    kind, reads = args.run_type, None
+    if kind == "true":
+        pairs = true(spark, args.position_file, config)
+    else:
+        reads = text.reads(spark, args.files)
+        pairs = lsh.candidates(reads, config) if kind == "candidate" else shared.shared_pairs(reads, config.kmer, config.max_bucket)
+    phases.ended("read_files")
+    pairs = session.written(pairs, "pairs")
+    out: dict = {"pairs": pairs.count()}
+    phases.ended("all_pairs")
+    if args.output_prefix:
+        if args.annotate:
+            placed = intervals.annotated(pairs, text.positions(spark, args.position_file, config.read_length), config.min_overlap)
+            placed.write.csv(args.output_prefix, sep=" ", header=True)
+        else:
+            text.write_pairs(pairs, args.output_prefix)
+        phases.ended("write_output")
+    if kind == "candidate" and args.position_file:
+        out |= evaluate.evaluation(pairs, true(spark, args.position_file, config)).first().asDict()
+        phases.ended("compare_overlaps")
+    if args.statistics and kind == "candidate":
+        out["bands"] = [r.asDict() for r in lsh.band_stats(reads, config).orderBy("band").collect()]  # a row for each band
+    if args.statistics and kind == "kmer":
+        out |= shared.pair_stats(reads, config.kmer, config.max_bucket).first().asDict()
+    if args.statistics:
+        phases.ended("statistics")
+    session.remove(pairs)
+    return out
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
     """Run from a command line; returns what it also prints."""
     args = parser().parse_args(argv)
-    kind = run_type(args.run_type)
-    config = RunConfig(kmer=args.kmer_length, block=args.block_size, bands=args.block_count, max_bucket=args.max_bucket_size if args.max_bucket_size > 0 else None, min_overlap=args.overlap_threshold, read_length=args.read_length)
+    kind, config = run_type(args.run_type), configured(args)
     need = {"candidate": "files", "kmer": "files", "lengths": "files", "true": "position_file"}.get(kind)
     if need and not getattr(args, need):
         raise ValueError(f"a {kind} run needs {need.replace('_', ' ')}")
     if kind == "eval" and not (args.candidate_file and args.true_file):
         raise ValueError("an eval run needs a candidate file and a true file")
-    spark = spark or session.build()
-    began, out = time.perf_counter(), {"run_type": kind}
-    if kind == "lengths":
-        found = lengths.lengths(text.reads(spark, args.files))
-        if args.output_prefix:
-            text.write_lengths(found, args.output_prefix)
-        out["reads"] = found.count()
-    elif kind == "eval":
-        out |= evaluate.evaluation(text.pairs(spark, args.candidate_file), text.pairs(spark, args.true_file)).first().asDict()
-    else:
-        pairs = {"candidate": lambda: candidate(spark, args.files, config), "kmer": lambda: kmer(spark, args.files, config), "true": lambda: true(spark, args.position_file, config)}[kind]()
-        pairs = session.written(pairs, "pairs")
-        if args.output_prefix:
-            text.write_pairs(pairs, args.output_prefix)
-        out["pairs"] = pairs.count()
-        if kind == "candidate" and args.position_file:
-            out |= evaluate.evaluation(pairs, true(spark, args.position_file, config)).first().asDict()
-    out["seconds"] = round(time.perf_counter() - began, 3)
+    if args.annotate and not (args.position_file and args.output_prefix):
+        raise ValueError("annotated pairs need a position file and an output")
+    spark, phases = spark or session.build(), Phases()
+    run = {"lengths": run_lengths, "eval": run_eval}.get(kind, run_pairs)
+    out = {"run_type": kind} | run(spark, args, config, phases)
+    out |= {"phases": phases.seconds, "seconds": round(sum(phases.seconds.values()), 3)}
     print(out)
     return out
 

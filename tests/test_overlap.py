@@ -1,18 +1,19 @@
 """The small fixture of twelve reads with known positions, and edge cases."""
 
-import hashlib
 import itertools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readweave.config import RunConfig, run_type
-from readweave.functions import ordinals, sequence
+from readweave.functions import kmers, ordinals, sequence
 from readweave.operators import evaluate, intervals, lengths, lsh, minhash, shared
 from readweave.plans import queries, runs
 from readweave.sources import text
 
+#: Twelve reads and their positions, as the fixture gives them.
 READS = """
 TTCTGACTGCAACGGGCAATATGTCTCTGTGTGGATTAAAAAAAGAGTGTCTGATAGCAGCTTCTGAACTGGTTACCTGCCGTGAGTAAATTAAAATTTT
 CCTAAGCCAATAAAATTTTAATTTACTCACGGCAGGTAACCAGTTCAGAAGCTGCTATCAGACACTCTTTTTTTAATCCACACAGAGACATATTGCCCGT
@@ -28,6 +29,7 @@ AGGTAACGGTGCGGGCTGACGCGTACAGGAAACACAGAAAAAAGCCCGCACCTGACAGTGCGGGCTTTTTTTTTCGACCA
 TAACGGTGCGGGCTGACGCGTACAGGAAACACAGAAAAAAGCCCGCACCTGACAGTGCGGGCTTTTTTTTTCGACCAAAGGTAACGAGGTAACAACCATG
 """.split()
 POSITIONS = "9 163\n20 166 R\n\n34 176\n80 220 R P junk\n86 236\n94 239\n"
+#: Pairs that overlap by 20 bases, and pairs close enough for any sketch.
 TRUE_20 = "0-1 0-2 0-3 0-4 1-2 1-3 1-4 1-5 2-3 2-4 2-5 3-4 3-5 4-5 4-6 4-7 5-6 5-7 6-7 6-8 6-9 6-10 6-11 7-8 7-9 7-10 7-11 8-9 8-10 8-11 9-10 9-11 10-11"
 CLOSE = "0-1 0-2 1-2 3-4 3-5 4-5 6-7 6-8 7-8 9-10 9-11 10-11"
 
@@ -68,6 +70,50 @@ def test_reads_keep_file_order(spark, files, reads):
     assert [(r["rid"], r["name"], r["seq"]) for r in fa] == [(k, f"r{k}", s) for k, s in enumerate(READS)]
 
 
+def fastq_text(rows):
+    return "".join(f"@{n}\n{s}\n+{n}\n{q}\n" for n, s, q in rows)
+
+
+@pytest.mark.parametrize("split", ["30b", "150b", "1m"])
+def test_fastq_over_split_ends(spark, tmp_path, split):
+    """Empty reads, @ and + as first qualities, CR at line ends, blank lines at a file's end, a file given twice; whatever the splits."""
+    rng = random.Random(split)
+    rows = []
+    for k in range(16):
+        n = rng.choice([0, 1, 3, 30])
+        rows.append((f"r {k}", "".join(rng.choices("acgtn", k=n)), "".join(rng.choices("@+I#", k=n))))
+    rows[9] = ("last", "ACG", "@@@")  # its file ends without a line end
+    one, two = tmp_path / "one file.fastq", tmp_path / "two.fastq"
+    one.write_text(fastq_text(rows[:10]).removesuffix("\n"))
+    two.write_bytes(fastq_text(rows[10:]).replace("\n", "\r\n").encode() + b"\n\n")
+    (tmp_path / "empty.fastq").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        paths = [str(one), str(tmp_path / "empty.fastq"), str(two), str(one)]
+        got_ = [(r["rid"], r["name"], r["seq"], r["qual"]) for r in text.fastq(spark, paths).orderBy("rid").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got_ == [(k, n, s.upper(), q) for k, (n, s, q) in enumerate(rows + rows[:10])]
+
+
+@pytest.mark.parametrize("content, says", [
+    ("@a\nAC\n+\nII\nb\nAC\n+\nII\n", "line 5: no @"), ("@a\nAC\n-\nII\n", "line 1: no \\+"), ("@a\nAC\n+\nI\n", "line 1: sequence and qualities"),
+    ("@a\nAC\n+\nII\n@b\nAC\n", "line 5 is cut short"), ("@a\n\nAC\n+\nII\n", "cut short"),
+])
+def test_fastq_that_is_malformed(spark, tmp_path, content, says):
+    (tmp_path / "a.fastq").write_text(content)
+    with pytest.raises(Exception, match=says):
+        text.fastq(spark, [str(tmp_path / "a.fastq")]).collect()
+
+
+def test_is_sorted(spark):
+    df = spark.range(0, 1000, 1, 5)
+    assert text.is_sorted(df, "id") and not text.is_sorted(df.selectExpr("-id as id"), "id") and text.is_sorted(df.limit(0), "id")
+    assert not text.is_sorted(df.selectExpr("id % 200 as id"), "id")
+    assert text.is_sorted(df.selectExpr("id % 7 as id").orderBy("id"), "id")
+
+
 def test_positions(spark, files, positions):
     rows = sorted((r["rid"], r["rpos"], r["rlen"]) for r in positions.collect())
     assert rows == [(k, p, 100) for k, p in enumerate([9, 20, 34, 80, 86, 94, 163, 166, 176, 220, 236, 239])]
@@ -88,6 +134,9 @@ def test_shared_kmers(reads, positions):
     assert len(got(shared.shared_pairs(reads, 8))) == 57 and len(got(shared.shared_pairs(reads, 21))) == 30
     stats = shared.index_stats(reads, 16).first()
     assert (stats["n_reads"], stats["n_postings"], stats["n_kmers"]) == (12, 1020, 329)
+    pairs = shared.pair_stats(reads, 16).first()
+    counts = [r["n_shared"] for r in shared.shared_counts(reads, 16).collect()]
+    assert (pairs["unique_pairs"], pairs["total_pairs"], pairs["max_bucket"]) == (34, sum(counts), stats["max_bucket"]) and sum(counts) == stats["n_incidences"]
     report = evaluate.evaluation(shared.shared_pairs(reads, 16), intervals.overlap_pairs(positions, 20)).first()
     assert (report["cand_only"], report["true_only"], report["both"]) == (2, 1, 32)
     assert report["tp"] == 32 / 33 and report["fn"] == 1 / 33 and report["fp"] == 2 / 32
@@ -111,21 +160,34 @@ def test_registered_setting_finds_weak_overlaps(spark):
     pairs = spark.createDataFrame(rows, "rid long, seq string")
     true = got(shared.jaccard_pairs(pairs, queries.K, 0.29))
     assert len(true) == 100
-    assert len(true & got(lsh.candidates(pairs, queries.SKETCH, portable=True))) >= 95
+    assert len(true & got(lsh.candidates(pairs, queries.SKETCH))) >= 95
+
+
+def brute_kmers(s, k):
+    turn = str.maketrans(sequence.CODES, sequence.COMPLEMENTS)
+    return [min(w, w.translate(turn)[::-1]) for w in (s[i : i + k] for i in range(len(s) - k + 1))]
 
 
-def test_registered_setting_against_brute_force(reads):
-    turn = str.maketrans("ACGT", "TGCA")
+def brute_signature(s, k, made):
+    """In whole numbers of any size: a k-mer's number to the base of 4, mixed, under each hash function."""
+    xs = set()
+    for w in brute_kmers(s, k):
+        x = sum("ACGT".index(c) * 4 ** (k - 1 - i) for i, c in enumerate(w))
+        for shift, factor in ((29, kmers.FACTORS[0]), (32, kmers.FACTORS[1])):
+            x = (x ^ (x >> shift)) * factor % 2**62
+        xs.add((x ^ (x >> 29)) % minhash.P)
+    return [min((a * x + b) % minhash.P for x in xs) for a, b in made]
+
+
+def test_registered_setting_against_brute_force(spark, reads):
     made, block, buckets = minhash.family(750, 1), 3, {}
     for k, s in enumerate(READS):
-        kmers = {min(w, w.translate(turn)[::-1]) for w in (s[i : i + 16] for i in range(len(s) - 15))}
-        xs = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) % minhash.P for w in kmers]
-        sig = [min((a * x + b) % minhash.P for x in xs) for a, b in made]
+        sig = brute_signature(s, 16, made)
         for band in range(250):
             buckets.setdefault((band, *sig[block * band : block * band + block]), []).append(k)
     pairs = lambda most: {p for rids in buckets.values() if len(rids) <= most for p in itertools.combinations(rids, 2)}
-    assert got(lsh.candidates(reads, queries.SKETCH, portable=True)) == pairs(len(READS))
-    assert got(lsh.candidates(reads, queries.CAPPED, portable=True)) == pairs(3)
+    assert got(lsh.candidates(reads, queries.SKETCH)) == pairs(len(READS))
+    assert got(lsh.candidates(reads, queries.CAPPED)) == pairs(3)
 
 
 def test_modulo():
@@ -140,11 +202,88 @@ def test_strand_and_partitions_do_not_matter(spark, reads):
     assert got(shared.shared_pairs(turned, 16)) == got(shared.shared_pairs(reads, 16))
 
 
-@pytest.mark.parametrize("portable", [False, True])
-def test_signature_forms_agree(reads, portable):
-    config = RunConfig(bands=7, block=3)
-    rows = lambda df: sorted((r["rid"], list(r["sig"])) for r in df.collect())
-    assert rows(minhash.signatures(reads, config, portable)) == rows(minhash.signatures_by_expressions(reads, config, portable))
+@pytest.mark.parametrize("block", [2, 3, 4, 5])
+def test_signatures_and_bands_against_brute_force(reads, block):
+    config = RunConfig(kmer=21, bands=7, block=block)
+    want = {k: brute_signature(s, 21, minhash.family(7 * block, 1)) for k, s in enumerate(READS)}
+    assert {r["rid"]: list(r["sig"]) for r in minhash.signatures(reads, config).collect()} == want
+    keys = {(r["rid"], r["band"]): r["key"] for r in lsh.bands(reads, config).select("rid", "band", lsh.key_text(config).alias("key")).collect()}
+    assert keys == {(k, b): "-".join(map(str, sig[b * block : b * block + block])) for k, sig in want.items() for b in range(7)}
+
+
+@pytest.mark.parametrize("k", [8, 16, 21])
+def test_kmers_against_brute_force(spark, monkeypatch, k):
+    """Also with other symbols, and for reads that come in several slices."""
+    monkeypatch.setattr(kmers, "SLICE", 50)
+    rng = random.Random(k)
+    rows = [(j, "".join(rng.choices("ACGT", k=n))) for j, n in enumerate((0, 5, k - 1, k, k + 1, 40, 400, 3000))]
+    rows += [(20 + j, "".join(rng.choices("ACGTNRY-x", k=n))) for j, n in enumerate((k, 60, 700))] + [(30, None)]
+    reads = spark.createDataFrame(rows, "rid long, seq string")
+    got = {}
+    for r in kmers.postings(reads, k).select("rid", "kmer", kmers.spelled(F.col("kmer"), k).alias("s")).collect():
+        got.setdefault(r["rid"], []).append((r["kmer"], r["s"]))
+    sizes = {r["rid"]: r["size"] for r in kmers.set_sizes(reads.where("seq is not null"), k).collect()}
+    named = {}
+    for j, s in rows:
+        want = brute_kmers(s or "", k)
+        assert len(got.get(j, [])) == len(want) and sizes.get(j, 0) == len(set(want))
+        for (number, spelt), w in zip(got.get(j, []), want, strict=True):
+            plain = set(w) <= set("ACGT")
+            assert spelt == (w if plain else None) and (number >= 0) == plain
+            assert named.setdefault(number, w) == w
+    assert len(named) == len({w for _, s in rows for w in brute_kmers(s or "", k)})
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    """A bucket of many rows meets block by block; its pairs stay the same, each once."""
+    from readweave.operators import buckets
+
+    monkeypatch.setattr(buckets, "BLOCK", 4)
+    rows = [(7, r) for r in range(30)] + [(8, 1), (8, 2), (9, 5)]
+    df = spark.createDataFrame(rows, "kmer long, rid long")
+    made = [(r["kmer"], r["a"], r["b"]) for r in buckets.pairs(buckets.repeated(df, ["kmer"]), ["kmer"]).collect()]
+    assert sorted(made) == sorted([(7, *p) for p in itertools.combinations(range(30), 2)] + [(8, 1, 2)])
+
+
+def test_no_windows_in_plans(reads):
+    for df in (shared.shared_pairs(reads, 16), lsh.candidates(reads, RunConfig(bands=5))):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_found_share_follows_the_curve(spark):
+    """Pairs of one Jaccard similarity J meet in some of B bands of T hashes with chance 1 - (1 - J^T)^B."""
+    rng = random.Random(11)
+    bases = lambda n: "".join(rng.choices("ACGT", k=n))
+    rows = []
+    for k in range(300):
+        common = bases(135)
+        rows += [(2 * k, bases(120) + common), (2 * k + 1, common + bases(120))]
+    pairs = spark.createDataFrame(rows, "rid long, seq string").cache()
+    want = {(2 * k, 2 * k + 1) for k in range(300)}
+    j = 120 / (2 * 240 - 120)
+    for bands in (5, 20, 60):
+        found = len(want & got(lsh.candidates(pairs, RunConfig(bands=bands)))) / 300
+        assert found == pytest.approx(1 - (1 - j**3) ** bands, abs=0.09)
+
+
+def test_fewer_pairs_the_more_must_overlap(positions):
+    last = None
+    for d in range(10, 100, 15):
+        found = got(intervals.overlap_pairs(positions, d))
+        assert last is None or found <= last
+        last = found
+
+
+def test_intervals_of_all_lengths_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.randrange(-3000, 3000), int(rng.choice([30, 100, 129, 1000, 70_000]) * rng.random()) + 1) for k in range(150)] + [(999, -100, 10**9)]
+    want = set()
+    for (u, up, ul), (v, vp, _) in itertools.permutations(rows, 2):
+        if (up < vp or (up == vp and u < v)) and vp <= up + ul - 20 and ul >= 20:
+            want.add((min(u, v), max(u, v)))
+    df = spark.createDataFrame(rows, "rid long, rpos long, rlen long").repartition(3)
+    assert got(intervals.overlap_pairs(df, 20)) == want
+    assert got(intervals.overlap_pairs(df.limit(0), 20)) == set()
 
 
 def test_edge_cases_of_intervals(spark):
@@ -157,12 +296,20 @@ def test_edge_cases_of_intervals(spark):
 
 
 def test_buckets_and_caps(spark):
-    rows = [(k, 0, [1, 1]) for k in range(3)] + [(k, 0, [2, 2]) for k in range(3, 7)] + [(8, 0, [3, 3]), (9, 0, [3, 3])]
-    banded = spark.createDataFrame(rows, "rid long, band int, key array<long>")
+    rows = [(k, 0, 1) for k in range(3)] + [(k, 0, 2) for k in range(3, 7)] + [(8, 0, 3), (9, 0, 3)]
+    banded = spark.createDataFrame(rows, "rid long, band int, k0 long")
     free, capped = RunConfig(bands=1, block=2), RunConfig(bands=1, block=2, max_bucket=3)
     assert lsh.bucket_pairs(banded, free).count() == 3 + 6 + 1
     assert got(lsh.bucket_pairs(banded, capped)) == {(0, 1), (0, 2), (1, 2), (8, 9)}
-    assert lsh.band_stats(banded, capped).first()["n_pairs"] == 4
+
+
+def test_band_statistics(spark):
+    df = spark.createDataFrame([*((k, READS[0]) for k in range(3)), (3, "ACG"), (4, READS[11]), (5, READS[11])], "rid long, seq string")
+    rows = [r.asDict() for r in lsh.band_stats(df, RunConfig(bands=4)).orderBy("band").collect()]
+    assert [r["band"] for r in rows] == [0, 1, 2, 3]
+    assert all(r | {"band": 0} == {"band": 0, "n_reads": 6, "n_rows": 5, "n_buckets": 2, "max_bucket": 3, "n_pairs": 4, "unique_pairs": 4} for r in rows)
+    capped = lsh.band_stats(df, RunConfig(bands=4, max_bucket=2)).first()
+    assert (capped["n_pairs"], capped["unique_pairs"], capped["max_bucket"]) == (1, 1, 3)
 
 
 def test_short_reads_keep_their_ordinal(spark):
@@ -202,6 +349,17 @@ def test_command_line(spark, files, tmp_path):
     again = runs.main(["-t", "eval", "-C", str(tmp_path / "cand"), "-R", str(tmp_path / "true")], spark)
     assert {k: again[k] for k in ("both", "cand_only", "true_only")} == {k: out[k] for k in ("both", "cand_only", "true_only")}
     assert runs.main(["-t", "kmer", *fastq], spark)["pairs"] == 34
-    assert runs.main(["-t", "lengths", "-O", str(tmp_path / "len"), *fastq], spark)["reads"] == 12
+    counted = runs.main(["-t", "kmer", "-s", *fastq], spark)
+    assert counted["unique_pairs"] == 34 <= counted["total_pairs"] and set(counted["phases"]) == {"read_files", "all_pairs", "statistics"}
+    listed = runs.main(["-t", "lengths", "-w", "30", "-O", str(tmp_path / "len"), *fastq], spark)
+    assert listed["reads"] == 12 and listed["histogram"] == {90: 12}
+    lines = [x for f in sorted((tmp_path / "len").glob("part-*")) for x in f.read_text().split()]
+    assert lines == sorted(lines, key=int) and len(lines) == 12
+    bands = runs.main(["-t", "candidate", "-s", "-B", "6", "-a", "-p", str(files / "meta.txt"), "-O", str(tmp_path / "placed"), *fastq], spark)
+    assert len(bands["bands"]) == 6 and bands["bands"][-1]["unique_pairs"] == bands["pairs"]
+    placed = spark.read.csv(str(tmp_path / "placed"), sep=" ", header=True, inferSchema=True)
+    assert placed.count() == bands["pairs"] and placed.where("is_true").count() == bands["both"] and placed.where("is_true and overlap < 20").isEmpty()
+    with pytest.raises(ValueError):
+        runs.main(["-t", "candidate", "-a", *fastq], spark)
     with pytest.raises(ValueError):
         runs.main(["-t", "candidate"], spark)
