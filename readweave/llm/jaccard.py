@@ -33,7 +33,7 @@ Other columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,9 @@ BITS = np.uint64(48)
 MASK = np.uint64((1 << 48) - 1)
 CHUNK = 600_000
 #: Postings of a range: what one group holds, whatever the input.
-RANGE = 400_000
+RANGE = 2_000_000
+#: Ranges that postings are dealt to at once; with more of them they go there in two steps.
+FAN = 4096
 #: Length of the lists of common shingles and of texts with many copies.
 LISTED = 100_000
 #: What verifying a pair costs, in postings.
@@ -162,6 +164,52 @@ def blob_rest(rows: list[dict], keep: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))  # type: ignore[return-value]
 
 
+def dealt(blobs: DataFrame, step: int, bucket_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Blobs of ``step`` buckets each, cut into blobs of single buckets.
+
+    A task that dealt its postings to very many buckets at once would send a few in each
+    blob. So they go to groups of buckets first, and are dealt out there, as many as a task holds at a time.
+    """
+    if step == 1:
+        return blobs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat.release()
+        held: list[dict] = []
+
+        def out() -> pa.RecordBatch:
+            token = blob_tokens(held)
+            node, n, df = blob_rest(held, np.ones(len(token), bool))
+            held.clear()
+            return to_blobs(bucket_of(token, node), token, node, n, df if len(df) else None)
+
+        for batch in batches:
+            for r in pa.Table.from_batches([batch]).select(NAMES).to_pylist():
+                if held and (r["bucket"] != held[0]["bucket"] or sum(h["size"] for h in held) > CHUNK):
+                    yield out()
+                held.append(r)
+        if held:
+            yield out()
+
+    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, POSTINGS)
+
+
+def by_token(buckets: int, common: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The bucket of each posting by ranges of tokens; postings of ``common`` tokens are dealt over all buckets."""
+
+    def bucket_of(token: np.ndarray, node: np.ndarray) -> np.ndarray:
+        bucket = ((token >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
+        hot, _ = in_sorted(common, token)
+        bucket[hot] = (flat.mix(token[hot] ^ node[hot].view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        return bucket.astype(np.int64)
+
+    return bucket_of
+
+
+def by_node(buckets: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return lambda token, node: ((flat.mix(node.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def in_sorted(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each value is there, and where."""
     if not len(sorted_values):
@@ -211,8 +259,8 @@ def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
     return source.mapInArrow(run, schema)
 
 
-def postings(df: DataFrame, buckets: int, common, copied, key: str, text: str, width: int) -> DataFrame:
-    """Blobs of the postings of all nodes. ``common``: sorted tokens; ``copied``: sorted nodes and the key of the row that sends them."""
+def postings(df: DataFrame, buckets: int, step: int, common, copied, key: str, text: str, width: int) -> DataFrame:
+    """Blobs of the postings of all nodes, ``step`` buckets in each. ``common``: sorted tokens; ``copied``: sorted nodes and the key of the row that sends them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat.release()
@@ -222,10 +270,7 @@ def postings(df: DataFrame, buckets: int, common, copied, key: str, text: str, w
         def out() -> pa.RecordBatch:
             token, node, n = (np.concatenate([h[k] for h in held]) for k in range(3))
             held.clear()
-            bucket = ((token >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
-            hot, _ = in_sorted(common.value, token)
-            bucket[hot] = (flat.mix(token[hot] ^ node[hot].view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            return to_blobs(bucket.astype(np.int64), token, node, n, None)
+            return to_blobs(by_token(buckets, common.value)(token, node) // step, token, node, n, None)
 
         for batch in batches:
             for lo, hi, buf, at in flat.windows(batch.column(1)):
@@ -248,10 +293,11 @@ def postings(df: DataFrame, buckets: int, common, copied, key: str, text: str, w
         if size:
             yield out()
 
-    return _texts(df, key, text).mapInArrow(run, POSTINGS)
+    blobs = _texts(df, key, text).mapInArrow(run, POSTINGS)
+    return dealt(blobs, step, lambda token, node: by_token(buckets, common.value)(token, node))
 
 
-def shared(blobs: DataFrame, buckets: int, common) -> DataFrame:
+def shared(blobs: DataFrame, buckets: int, step: int, common) -> DataFrame:
     """Postings of shingles that several nodes have, with their frequencies, as blobs by node."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -273,10 +319,9 @@ def shared(blobs: DataFrame, buckets: int, common) -> DataFrame:
         df[hot] = seen[where[hot]]
         keep = df >= 2
         token, node, n, df = token[keep], node[keep], n[keep], df[keep]
-        bucket = (flat.mix(node.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        return pa.Table.from_batches([to_blobs(bucket.astype(np.int64), token, node, n, df)])
+        return pa.Table.from_batches([to_blobs(by_node(buckets)(token, node) // step, token, node, n, df)])
 
-    return blobs.groupBy("bucket").applyInArrow(run, POSTINGS)
+    return dealt(blobs.groupBy("bucket").applyInArrow(run, POSTINGS), step, by_node(buckets))
 
 
 def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
@@ -479,13 +524,15 @@ def members(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     senders = sc.broadcast((copied["node"].to_numpy(np.int64), copied["least"].fillna(-1).to_numpy(np.int64)))
     sent = (groups.agg(F.sum(F.col("copies") * F.col("n"))).first()[0] or 0) - int(((copied["copies"] - 1) * copied["n"]).sum())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent // RANGE))
-    blobs = postings(df, buckets, known, senders, key, text, width)
-    nodes = written(prefixes(shared(blobs, buckets, frequent), percent), "nodes")
+    step = -(-buckets // FAN)
+    blobs = postings(df, buckets, step, known, senders, key, text, width)
+    nodes = written(prefixes(shared(blobs, buckets, step, frequent), percent), "nodes")
     labels = links(nodes, percent)
     remove(nodes)
     named = labels.join(groups, "node").select("node", "label", "least")
     named = named.join(named.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", "label", "first")
     of_node = groups.join(named, "node", "left").select("node", F.coalesce("first", "least").alias("first"), F.coalesce("label", "node").alias("component"))
+    of_node = written(of_node, "members")  # both sides of the last join then come straight from shuffles, which adaptive execution can split at a text with very many copies
     return docs.join(of_node, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id"), "component", *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
 
 

@@ -247,6 +247,19 @@ def test_large_groups_meet_in_blocks(spark, monkeypatch):
     assert components(df) == brute_components(rows)
 
 
+def test_postings_dealt_in_two_steps(spark, monkeypatch):
+    """With few postings in a range and few ranges at once, postings go over groups of ranges; links stay the same."""
+    monkeypatch.setattr(jaccard, "RANGE", 50)
+    monkeypatch.setattr(jaccard, "FAN", 7)
+    monkeypatch.setattr(jaccard, "CHUNK", 300)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 300, 30)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join([*base[:-1], "end"])), (3 * k + 2, " ".join(base[: rng.integers(5, 30)]))]
+    assert components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_components(rows)
+
+
 def test_components_have_numbers_of_their_own(spark):
     """Null and repeated keys: the number tells components apart where keys don't."""
     base = [f"w{k}" for k in range(40)]
