@@ -9,14 +9,13 @@ Null texts count as empty.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 
-WINDOW = 2 << 20
+from readweave.functions.batches import WINDOW, ranges, windows  # noqa: F401 (operators use them as flat.windows)
 
 #: Classes of bytes. White space is 0x20 and 0x09-0x0D.
 SPACE, LETTER, DIGIT, OTHER, QUOTE, WIDE, WIDE_SPACE = range(7)
@@ -33,35 +32,10 @@ LOWER[65:91] += 32
 #: White space beyond ASCII, as UTF-8.
 WIDE_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
-#: Spans longer than this are hashed one by one.
+#: Spans of this many bytes and more are hashed one by one.
 LONG = 64
 
 
-def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and int64 row offsets of a string or binary column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    buf = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
-    return buf, at - at[0]
-
-
-def windows(column: pa.Array, size: int = WINDOW) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about ``size`` bytes."""
-    buf, at = flat_text(column)
-    rows, lo = len(at) - 1, 0
-    while lo < rows:
-        hi = max(lo + 1, min(int(np.searchsorted(at, at[lo] + size, "right")) - 1, lo + 20_000, rows))
-        yield lo, hi, buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-        lo = hi
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
     h = h ^ (h >> np.uint64(32))
@@ -185,15 +159,6 @@ def token_spans(buf: np.ndarray, at: np.ndarray, specials: list[bytes], keep_spa
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Indices start[i] .. start[i] + length[i] - 1 of all i, one after another."""
-    total = int(length.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    before = np.cumsum(length) - length
-    return np.repeat(start - before, length) + np.arange(total)
-
-
 _resident: dict[object, object] = {}
 
 
