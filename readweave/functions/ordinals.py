@@ -15,7 +15,9 @@ def with_ordinal(df: DataFrame, by: str, name: str = "rid") -> DataFrame:
     one row for each partition tells how many come before. Only that small table is
     ever in one task, and only it is broadcast.
     """
-    placed = df.repartitionByRange(by).sortWithinPartitions(by).withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    placed = df.repartitionByRange(by).sortWithinPartitions(by).withColumns(
+        {"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    )
     table = written(placed, "ordinals")
     counts = table.groupBy("__part").agg(F.count("*").alias("n"))
     before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))

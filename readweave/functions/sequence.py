@@ -48,7 +48,10 @@ def canonical_kmers(seq: Column, k: int) -> Column:
     both = F.struct(seq.cast("binary").alias("s"), reverse_complement(seq).cast("binary").alias("r"))
 
     def cut(x: Column):
-        return lambda i: F.least(F.substring(x["s"], i, F.lit(k)).cast("string"), F.substring(x["r"], F.length(x["r"]) - (k - 2) - i, F.lit(k)).cast("string"))
+        return lambda i: F.least(
+            F.substring(x["s"], i, F.lit(k)).cast("string"),
+            F.substring(x["r"], F.length(x["r"]) - (k - 2) - i, F.lit(k)).cast("string")
+        )
 
     return _bound(both, lambda x: _windows(x["s"], k, cut(x)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from readweave.config import RunConfig
 from readweave.functions import kmers, ordinals, sequence
 from readweave.operators import evaluate, intervals, lengths, lsh, minhash, shared
-from readweave.session import spread
+from readweave.session import new_folder, spread
 from readweave.sources import text
 
 K = 16
@@ -34,12 +34,20 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
-    return events.select(F.col("event_id").alias("rid"), F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("rpos"), F.ceil("value").cast("long").alias("rlen"))
+    return events.select(
+        F.col("event_id").alias("rid"),
+        F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("rpos"),
+        F.ceil("value").cast("long").alias("rlen")
+    )
 
 
 def read_ordinals(spark: SparkSession, d: str) -> DataFrame:
     """Dense ids over all reads; short ones keep theirs but are left out."""
-    return ordinals.with_ordinal(reads(spark, d).withColumnRenamed("rid", "doc_id"), "doc_id", "rid").where(F.length("seq") >= 10).select("rid", "doc_id", F.length("seq").cast("long").alias("len"))
+    return ordinals.with_ordinal(
+        reads(spark, d).withColumnRenamed("rid", "doc_id"),
+        "doc_id",
+        "rid"
+    ).where(F.length("seq") >= 10).select("rid", "doc_id", F.length("seq").cast("long").alias("len"))
 
 
 def read_lengths(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +137,14 @@ def interval_pairs_uniform(spark: SparkSession, d: str) -> DataFrame:
 def positions_unpivot(spark: SparkSession, d: str) -> DataFrame:
     """Orders as lines of two mates: key and customer as starts."""
     orders = spark.read.parquet(f"{d}/orders.parquet")
-    return text.unpivoted(ordinals.with_ordinal(orders.select("o_orderkey", "o_custkey"), "o_orderkey", "line").select("line", F.col("o_orderkey").alias("left"), F.col("o_custkey").alias("right")), 100)
+    return text.unpivoted(
+        ordinals.with_ordinal(orders.select("o_orderkey", "o_custkey"), "o_orderkey", "line").select(
+            "line",
+            F.col("o_orderkey").alias("left"),
+            F.col("o_custkey").alias("right")
+        ),
+        100
+    )
 
 
 def pair_normalise_distinct(spark: SparkSession, d: str) -> DataFrame:
@@ -156,10 +171,58 @@ def candidate_annotated(spark: SparkSession, d: str) -> DataFrame:
     return intervals.annotated(interval_pairs_uniform(spark, d), positions(spark, d), OVERLAP)
 
 
+def _filed(df: DataFrame, name: str) -> str:
+    """A folder with a text file for each partition of ``df``, whose only column is the text."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.text(folder)
+    return folder
+
+
+def fastq_file(spark: SparkSession, d: str) -> DataFrame:
+    """All reads written as FASTQ, empty ones too, and read back: ids by place, name, sequence and qualities."""
+    named = reads(spark, d).orderBy("rid").select(
+        F.concat_ws("\n", F.concat(F.lit("@"), "rid"), "seq", F.lit("+"), F.translate("seq", "ACGT", "@+I#")).alias("value")
+    )
+    got = text.reads(spark, [_filed(named, "fastq")])
+    return got.select("rid", "name", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.md5(F.col("qual").cast("binary")).alias("qual_md5"))
+
+
+def simulated_positions_file(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two mates with blank lines and further tokens between, written and read back as positions."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey")
+    return text.positions(
+        spark,
+        _filed(orders.select(F.concat_ws(" ", F.lit(" "), "o_orderkey", "o_custkey", F.lit("R\n ")).alias("value")), "meta"),
+        100
+    )
+
+
+def mapped_positions_file(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of id, position and length, written under a name that ends with ``map`` and read back."""
+    folder = f"{new_folder(spark, 'positions')}-map"
+    positions(spark, d).select(F.concat_ws("\t", "rid", "rpos", "rlen").alias("value")).write.text(folder)
+    return text.positions(spark, folder)
+
+
+def pairs_file(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs written as lines and read back as distinct normalised pairs."""
+    folder = new_folder(spark, "pairs")
+    text.write_pairs(pair_normalise_distinct(spark, d).selectExpr("b as a", "a as b"), folder)
+    return text.pairs(spark, folder)
+
+
+def lengths_file(spark: SparkSession, d: str) -> DataFrame:
+    """The sorted listing of lengths, written and read back with each line's number."""
+    folder = new_folder(spark, "lengths")
+    text.write_lengths(lengths.lengths(reads(spark, d)), folder)
+    return text.numbered_lines(spark, [folder]).select("line", F.col("value").cast("long").alias("len"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     read_ordinals, read_lengths, length_histogram, reverse_complement, kmer_windows_count, canonical_kmers, kmer_frequency, kmer_index_stats,
     shared_kmer_pairs, shared_kmer_counts, kmer_pair_stats, minhash_signatures, lsh_bands, lsh_bucket_sizes, lsh_band_stats, lsh_band_pairs, lsh_candidates,
     lsh_candidates_capped, interval_pairs, interval_pairs_uniform, positions_unpivot, pair_normalise_distinct, pairs_flagged, eval_report, candidate_annotated,
+    fastq_file, simulated_positions_file, mapped_positions_file, pairs_file, lengths_file,
 )
 
 
@@ -244,6 +307,15 @@ def _meeting(table: str) -> str:
         ON u.rid <> v.rid AND u.rpos <= v.rpos AND v.rpos <= u.rpos + u.rlen - {OVERLAP} AND (u.rpos < v.rpos OR u.rid < v.rid)"""
 
 
+UNPIVOTED = """WITH o AS (
+        SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line, o_orderkey, o_custkey, count(*) OVER () AS n FROM orders
+    )
+    SELECT line AS rid, o_orderkey AS rpos, 100::BIGINT AS rlen FROM o
+    UNION ALL SELECT line + n, o_custkey, 100 FROM o"""
+NORMALISED = """SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b
+    FROM lineitem WHERE l_partkey <> l_suppkey"""
+
+
 def oracle_sql() -> dict[str, str]:
     banded, evaluated = _banded(), _evaluated()
     return {
@@ -281,13 +353,16 @@ def oracle_sql() -> dict[str, str]:
         "lsh_candidates_capped": f"WITH {banded} SELECT DISTINCT a, b FROM met JOIN sizes USING (band, key) WHERE n <= {CAPPED.max_bucket}",
         "interval_pairs": f"WITH {POSITIONS} {_meeting('pos')}",
         "interval_pairs_uniform": f"WITH {UNIFORM} {_meeting('uni')}",
-        "positions_unpivot": """WITH o AS (
-                SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line, o_orderkey, o_custkey, count(*) OVER () AS n FROM orders
-            )
-            SELECT line AS rid, o_orderkey AS rpos, 100::BIGINT AS rlen FROM o
-            UNION ALL SELECT line + n, o_custkey, 100 FROM o""",
-        "pair_normalise_distinct": """SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b
-            FROM lineitem WHERE l_partkey <> l_suppkey""",
+        "positions_unpivot": UNPIVOTED,
+        "simulated_positions_file": UNPIVOTED,
+        "pair_normalise_distinct": NORMALISED,
+        "pairs_file": NORMALISED,
+        "mapped_positions_file": f"WITH {POSITIONS} SELECT rid, rpos, rlen FROM pos",
+        "lengths_file": f"""WITH {READS}
+            SELECT row_number() OVER (ORDER BY length(seq)) - 1 AS line, length(seq)::BIGINT AS len FROM reads""",
+        "fastq_file": f"""WITH {READS}
+            SELECT row_number() OVER (ORDER BY rid) - 1 AS rid, rid::VARCHAR AS name, md5(seq) AS seq_md5, md5(translate(seq, 'ACGT', '@+I#')) AS qual_md5
+            FROM reads""",
         "pairs_flagged": f"WITH {evaluated} SELECT a, b, in_candidate, in_true FROM f",
         "eval_report": f"""WITH {evaluated}, n AS (
                 SELECT count(*) FILTER (in_candidate AND NOT in_true) AS cand_only, count(*) FILTER (in_true AND NOT in_candidate) AS true_only,

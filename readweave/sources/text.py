@@ -22,7 +22,14 @@ from pyspark.sql import types as T
 
 from readweave.session import written
 
-READS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("name", T.StringType()), T.StructField("seq", T.StringType()), T.StructField("qual", T.StringType())])
+READS = T.StructType(
+    [
+        T.StructField("rid", T.LongType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("seq", T.StringType()),
+        T.StructField("qual", T.StringType())
+    ]
+)
 FIELDS = 4
 _BLANKS = " \t\n\r\x0b\x0c"
 
@@ -41,7 +48,12 @@ def _lines(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple
         order += [(turn, f) for f in sorted(spark.read.text(p).inputFiles())]
     bare = r"^file:/+"  # local paths are spelt with one slash or three
     parts = [
-        spark.read.text(own).select(F.lit(turn).alias("turn"), F.xxhash64(F.regexp_replace("_metadata.file_path", bare, "/")).alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+        spark.read.text(own).select(
+            F.lit(turn).alias("turn"),
+            F.xxhash64(F.regexp_replace("_metadata.file_path", bare, "/")).alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            "value"
+        )
         for turn, own in enumerate(turns)
     ]
     lines = parts[0]
@@ -70,7 +82,10 @@ _SPLITS = "turn int, file long, block long, n long, blank long, head array<strin
 
 
 def _counted(lines: DataFrame, blank: bool) -> DataFrame:
-    """A row for each split: n lines, how many of the last three are blank at its end, its first and last three. Without ``blank`` only lines that aren't blank count."""
+    """A row for each split: n lines, how many of the last three are blank at its end, its first and last three.
+
+    Without ``blank`` only lines that aren't blank count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, n, head, tail = None, 0, [], []
@@ -80,7 +95,10 @@ def _counted(lines: DataFrame, blank: bool) -> DataFrame:
             while ends < len(tail) and not tail[-1 - ends]:
                 ends += 1
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*split, n, ends, head, tail), kinds, strict=True)], ["turn", "file", "block", "n", "blank", "head", "tail"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip((*split, n, ends, head, tail), kinds, strict=True)],
+                ["turn", "file", "block", "n", "blank", "head", "tail"]
+            )
 
         for own, got in _by_split(batches):
             if own != split:
@@ -99,7 +117,11 @@ def _counted(lines: DataFrame, blank: bool) -> DataFrame:
 
 
 def _begins(splits: DataFrame, files: list[tuple[int, int]]) -> tuple[dict, dict, int]:
-    """First line of each split, counted over all files; the first line and number of lines of each file, and of how many lines at its end all are blank (three at most); and the number of all lines."""
+    """Where splits and files begin, counted in lines over all files.
+
+    Returns the first line of each split; of each file its first line, its number of lines and how many
+    lines at its end are blank (three at most); and the number of all lines.
+    """
     place = {f: k for k, f in enumerate(files)}
     rows = sorted(splits.select("turn", "file", "block", "n", "blank").collect(), key=lambda r: (place[r["turn"], r["file"]], r["block"]))
     begin: dict[tuple[int, int, int], int] = {}
@@ -179,7 +201,10 @@ def fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
             if m:
                 k = np.arange(m) * FIELDS
                 ids = rid + (line + seen + k) // FIELDS
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(rows.take(pa.array(k + f)) for f in range(FIELDS)), pa.array(number + seen + k + 1)], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), *(rows.take(pa.array(k + f)) for f in range(FIELDS)), pa.array(number + seen + k + 1)],
+                    names
+                )
             held, done = rows.slice(m * FIELDS), done_after
 
     kinds = "rid long, name string, seq string, plus string, qual string, at long"
@@ -209,7 +234,9 @@ def fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _checked(records: DataFrame) -> DataFrame:
     def unless(sound: Column, what: str, value: Column) -> Column:
-        return F.when(sound, value).otherwise(F.raise_error(F.concat(F.lit("FASTQ record at line "), F.col("at").cast("string"), F.lit(f": {what}"))).cast("string"))
+        return F.when(sound, value).otherwise(
+            F.raise_error(F.concat(F.lit("FASTQ record at line "), F.col("at").cast("string"), F.lit(f": {what}"))).cast("string")
+        )
 
     name = unless(F.coalesce(F.col("name").startswith("@"), F.lit(False)), "no @ at its beginning", F.expr("substring(name, 2)"))
     seq = unless(F.coalesce(F.col("plus").startswith("+"), F.lit(False)), "no + on its third line", F.upper("seq"))
@@ -224,14 +251,22 @@ def fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     within ranges of lines, then added up over the ranges.
     """
     span = 100_000
-    lines = numbered_lines(spark, paths).select("line", "value", F.col("value").startswith(">").cast("long").alias("head"), F.expr(f"line div {span}").alias("range"))
+    lines = numbered_lines(spark, paths).select(
+        "line",
+        "value",
+        F.col("value").startswith(">").cast("long").alias("head"),
+        F.expr(f"line div {span}").alias("range")
+    )
     within = lines.withColumn("n", F.sum("head").over(Window.partitionBy("range").orderBy("line")))
     totals = lines.groupBy("range").agg(F.sum("head").alias("t"))
     before = totals.select("range", (F.sum("t").over(Window.orderBy("range")) - F.col("t")).alias("before"))
     placed = within.join(before, "range").select((F.col("before") + F.col("n") - 1).alias("rid"), "line", "value", "head").where("rid >= 0")
     rows = placed.groupBy("rid").agg(
         F.max(F.when(F.col("head") == 1, F.expr("substring(value, 2)"))).alias("name"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("line", "value")))), lambda x: x["value"]), "").alias("seq"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("line", "value")))), lambda x: x["value"]),
+            ""
+        ).alias("seq"),
     )
     return rows.select("rid", "name", F.upper("seq").alias("seq"), F.lit(None).cast("string").alias("qual"))
 
@@ -243,7 +278,10 @@ def reads(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _numbers(df: DataFrame, names: list[str]) -> DataFrame:
     tokens = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
-    return df.where(F.regexp_replace("value", r"\s", "") != "").select(*(c for c in df.columns if c != "value"), *(F.get(tokens, k).try_cast("long").alias(n) for k, n in enumerate(names)))
+    return df.where(F.regexp_replace("value", r"\s", "") != "").select(
+        *(c for c in df.columns if c != "value"),
+        *(F.get(tokens, k).try_cast("long").alias(n) for k, n in enumerate(names))
+    )
 
 
 def simulated_positions(spark: SparkSession, path: str, read_length: int = 100) -> DataFrame:
@@ -255,7 +293,10 @@ def simulated_positions(spark: SparkSession, path: str, read_length: int = 100)
 def unpivoted(lines: DataFrame, read_length: int, total: Column | None = None) -> DataFrame:
     """Rows (line, left, right) as two reads each. ``total``: the number of lines (else a scalar subquery)."""
     total = lines.agg(F.count("*")).scalar() if total is None else total
-    mates = F.array(F.struct(F.col("line").alias("rid"), F.col("left").alias("rpos")), F.struct((F.col("line") + total).alias("rid"), F.col("right").alias("rpos")))
+    mates = F.array(
+        F.struct(F.col("line").alias("rid"), F.col("left").alias("rpos")),
+        F.struct((F.col("line") + total).alias("rid"), F.col("right").alias("rpos"))
+    )
     return lines.select(F.inline(mates), F.lit(read_length).cast("long").alias("rlen"))
 
 
@@ -297,6 +338,9 @@ def is_sorted(df: DataFrame, column: str) -> bool:
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([sound]), pa.array([first]), pa.array([last])], ["sound", "first", "last"])
 
-    told = df.select(F.col(column).cast("long")).mapInArrow(run, "sound boolean, first long, last long").withColumn("part", F.spark_partition_id()).collect()
+    told = df.select(F.col(column).cast("long")).mapInArrow(
+        run,
+        "sound boolean, first long, last long"
+    ).withColumn("part", F.spark_partition_id()).collect()
     told.sort(key=lambda r: r["part"])
     return all(r["sound"] for r in told) and all(x["last"] <= y["first"] for x, y in zip(told[:-1], told[1:], strict=True))

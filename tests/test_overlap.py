@@ -136,7 +136,11 @@ def test_shared_kmers(reads, positions):
     assert (stats["n_reads"], stats["n_postings"], stats["n_kmers"]) == (12, 1020, 329)
     pairs = shared.pair_stats(reads, 16).first()
     counts = [r["n_shared"] for r in shared.shared_counts(reads, 16).collect()]
-    assert (pairs["unique_pairs"], pairs["total_pairs"], pairs["max_bucket"]) == (34, sum(counts), stats["max_bucket"]) and sum(counts) == stats["n_incidences"]
+    assert (
+        pairs["unique_pairs"],
+        pairs["total_pairs"],
+        pairs["max_bucket"]
+    ) == (34, sum(counts), stats["max_bucket"]) and sum(counts) == stats["n_incidences"]
     report = evaluate.evaluation(shared.shared_pairs(reads, 16), intervals.overlap_pairs(positions, 20)).first()
     assert (report["cand_only"], report["true_only"], report["both"]) == (2, 1, 32)
     assert report["tp"] == 32 / 33 and report["fn"] == 1 / 33 and report["fp"] == 2 / 32
@@ -191,7 +195,17 @@ def test_registered_setting_against_brute_force(spark, reads):
 
 
 def test_modulo():
-    h = [0, 1, minhash.P - 1, minhash.P, minhash.P + 1, 2 * minhash.P, (minhash.P - 1) ** 2 + minhash.P - 1, minhash.P**2, *np.random.default_rng(1).integers(0, minhash.P**2, 1000).tolist()]
+    h = [
+        0,
+        1,
+        minhash.P - 1,
+        minhash.P,
+        minhash.P + 1,
+        2 * minhash.P,
+        (minhash.P - 1) ** 2 + minhash.P - 1,
+        minhash.P**2,
+        *np.random.default_rng(1).integers(0, minhash.P**2, 1000).tolist()
+    ]
     assert minhash.modulo(np.array(h, np.uint64)).tolist() == [x % minhash.P for x in h]
 
 
@@ -276,7 +290,9 @@ def test_fewer_pairs_the_more_must_overlap(positions):
 
 def test_intervals_of_all_lengths_against_brute_force(spark):
     rng = random.Random(2)
-    rows = [(k, rng.randrange(-3000, 3000), int(rng.choice([30, 100, 129, 1000, 70_000]) * rng.random()) + 1) for k in range(150)] + [(999, -100, 10**9)]
+    rows = [
+        (k, rng.randrange(-3000, 3000), int(rng.choice([30, 100, 129, 1000, 70_000]) * rng.random()) + 1) for k in range(150)
+    ] + [(999, -100, 10**9)]
     want = set()
     for (u, up, ul), (v, vp, _) in itertools.permutations(rows, 2):
         if (up < vp or (up == vp and u < v)) and vp <= up + ul - 20 and ul >= 20:
@@ -307,7 +323,9 @@ def test_band_statistics(spark):
     df = spark.createDataFrame([*((k, READS[0]) for k in range(3)), (3, "ACG"), (4, READS[11]), (5, READS[11])], "rid long, seq string")
     rows = [r.asDict() for r in lsh.band_stats(df, RunConfig(bands=4)).orderBy("band").collect()]
     assert [r["band"] for r in rows] == [0, 1, 2, 3]
-    assert all(r | {"band": 0} == {"band": 0, "n_reads": 6, "n_rows": 5, "n_buckets": 2, "max_bucket": 3, "n_pairs": 4, "unique_pairs": 4} for r in rows)
+    assert all(
+        r | {"band": 0} == {"band": 0, "n_reads": 6, "n_rows": 5, "n_buckets": 2, "max_bucket": 3, "n_pairs": 4, "unique_pairs": 4} for r in rows
+    )
     capped = lsh.band_stats(df, RunConfig(bands=4, max_bucket=2)).first()
     assert (capped["n_pairs"], capped["unique_pairs"], capped["max_bucket"]) == (1, 1, 3)
 
