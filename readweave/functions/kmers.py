@@ -23,7 +23,6 @@ SLICE = 1 << 19
 BITS = np.uint64((1 << 62) - 1)
 #: Factors of ``fingerprint``; odd, and below 2**62.
 FACTORS = (0x1F8AB3C96E25D4B7, 0x2D51CE903F7A6B85)
-P = (1 << 31) - 1
 
 _NUMBER = np.full(256, 4, np.uint8)
 _NUMBER[list(b"ACGT")] = range(4)
@@ -53,8 +52,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(kmer: np.ndarray) -> np.ndarray:
-    """K-mers as numbers below P, for hash functions modulo P."""
-    return mixed(kmer.view(np.uint64) & BITS) % np.uint64(P)
+    """K-mers as numbers of 31 bits, which hash functions take."""
+    return mixed(kmer.view(np.uint64) & BITS) >> np.uint64(31)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
 def packed(buf: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +117,8 @@ def set_sizes(reads: DataFrame, k: int) -> DataFrame:
             last = -1
             for lo, kmer, row in slices(batch.column(1), k):
                 if last == lo:  # the read goes on
-                    held.append(np.unique(kmer))
-                    sizes[lo] = len(np.unique(np.concatenate(held)))
+                    held = [distinct(np.concatenate([*held, kmer]))]
+                    sizes[lo] = len(held[0])
                     continue
                 order = np.lexsort((kmer, row))
                 kmer, row = kmer[order], row[order]

@@ -259,12 +259,12 @@ def _sketches() -> str:
     """The least value of each hash over a read's k-mers, as lists."""
     number = " + ".join(f"(strpos('ACGT', kmer[{i + 1}]) - 1) * {4 ** (K - 1 - i)}" for i in range(K))
     made = minhash.family(SKETCH.bands * SKETCH.block, SKETCH.seed)
-    least = ", ".join(f"min(({a} * x + {b}) % {minhash.P})" for a, b in made)
+    least = ", ".join(f"min(({a} * x + {b}) % {1 << 32}) // 2" for a, b in made)
     return f"""{DISTINCT},
     numbers AS (SELECT rid, ({number})::BIGINT AS x FROM one),
     once AS (SELECT rid, {_mixed("x", 29, kmers.FACTORS[0])} AS x FROM numbers),
     twice AS (SELECT rid, {_mixed("x", 32, kmers.FACTORS[1])} AS x FROM once),
-    xs AS (SELECT rid, xor(x, x >> 29) % {minhash.P} AS x FROM twice),
+    xs AS (SELECT rid, xor(x, x >> 29) >> 31 AS x FROM twice),
     sigs AS (SELECT rid, [{least}] AS sig FROM xs GROUP BY 1)"""
 
 
