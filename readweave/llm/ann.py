@@ -11,8 +11,10 @@ gaps between its largest coordinate and the one on the cell's axis. What it meet
 is ranked by the exact inner product of the original vectors.
 
 The penalty comes from the data: a bounded sample of queries is compared with all
-rows, and it is the least that finds the share ``aim`` of their true neighbours.
-Queries that still meet too few rows are compared with all.
+rows, and it is the least that finds the share ``aim`` of their true neighbours. The
+sample also gives a floor: the score, for a query of length 1, that all but a small
+share of its queries reach with all k neighbours. What scores less isn't brought together.
+Queries that meet too few rows above it are compared with all, so the floor loses nothing.
 
 Vectors move once a table, to the group of cells that agree in all rotations but
 the last; a query goes to the groups within its penalty. Groups with very many rows
@@ -40,6 +42,8 @@ from pyspark.sql import functions as F
 from readweave.session import written
 
 SAMPLE = 64
+#: Share of the sample's queries whose last neighbour lies below the floor.
+FLOORED = 0.02
 #: Vectors of a cell, on average, at most; rows and queries of a group that meet in one task.
 ROWS, BLOCK, QUERY_BLOCK = 64, 8_000, 4_000
 
@@ -144,7 +148,8 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of scores its k largest and all that tie with the last: (row, column); minus infinity stands for nothing."""
-    bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    few = s.shape[1] <= k or (s > -np.inf).sum(axis=1).max(initial=0) <= k
+    bar = np.full(len(s), -np.inf) if few else np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
     bar = np.where(np.isfinite(bar), bar - 1e-9 * (1 + np.abs(bar)), np.finfo(np.float64).min)
     return np.nonzero(s >= bar[:, None])
 
@@ -159,22 +164,28 @@ def sound_rows(df: DataFrame, vector: str, key: str) -> DataFrame:
     """(id, v) of the rows that take part."""
     v = F.col("v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null and size(v) > 0").where(sound)
+    return df.select(
+        F.col(key).cast("long").alias("id"),
+        F.col(vector).alias("v")
+    ).where("id is not null and v is not null and size(v) > 0").where(sound)
 
 
 def entries(rows: DataFrame, d: int, k: int) -> DataFrame:
     """(entry, v, ids): distinct vectors of length d, named by their smallest id, with their k + 1 smallest ids."""
-    first = rows.where(F.size("v") == d).distinct().withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1)
+    first = rows.where(F.size("v") == d).distinct().withColumn(
+        "place",
+        F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    ).where(F.col("place") <= k + 1)
     return first.groupBy("v").agg(F.min("id").alias("entry"), F.sort_array(F.collect_set("id")).alias("ids"))
 
 
-def penalty_needed(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim: float, asked: int) -> float:
-    """The penalty to probe within, from at most SAMPLE of the ``asked`` queries against all entries."""
+def settings(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim: float, asked: int) -> tuple[float, float]:
+    """The penalty to probe within and the floor of scores, from at most SAMPLE of the ``asked`` queries against all entries."""
     share = min(1.0, 4 * SAMPLE / asked)  # a threshold first: else each partition would send SAMPLE vectors to the driver
     picked = queries.where(F.pmod(F.xxhash64("entry"), F.lit(1 << 50)) < int(share * (1 << 50)))
     sample = picked.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("entry", "v").collect()
     if not sample:
-        return np.inf
+        return np.inf, -np.inf
     q, names = np.array([list(r["v"]) for r in sample], np.float64), np.array([r["entry"] for r in sample])
     unit_q = t.unit(q, True)
     cost = [[t.penalties(unit_q, i, r) for r in range(t.rotations)] for i in range(t.tables)]
@@ -193,12 +204,17 @@ def penalty_needed(index: DataFrame, queries: DataFrame, t: Tables, k: int, aim:
 
     near = index.select("entry", "v").mapInArrow(run, "q long, score double, need double")
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "need"))).where(F.col("r") <= k)
-    need = np.array([r["need"] for r in ranked.select("need").collect()])  # at most SAMPLE * k numbers
-    return float(np.quantile(need, aim)) * (1 + 1e-9) if len(need) else np.inf
+    found = ranked.select("q", "r", "score", "need").collect()  # at most SAMPLE * k rows
+    if not found:
+        return np.inf, -np.inf
+    norm = np.linalg.norm(q, axis=1)
+    last = np.array([r["score"] / norm[r["q"]] for r in found if r["r"] == k])
+    floor = float(np.quantile(last, FLOORED)) if len(last) == len(q) else -np.inf
+    return float(np.quantile([r["need"] for r in found], aim)) * (1 + 1e-9), floor - 1e-9 * abs(floor) if np.isfinite(floor) else floor
 
 
-def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, k: int) -> DataFrame:
-    """(q, entry, score): for each query's entry the best of what its probes meet."""
+def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, floor: float, k: int) -> DataFrame:
+    """(q, entry, score): for each query's entry the best of what its probes meet above the floor."""
     kind = dict(index.dtypes)["v"]
     like = pa.float32() if "float" in kind else pa.float64()
 
@@ -215,7 +231,10 @@ def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, k: int) ->
                             row, (group, more) = np.arange(len(x)), t.filed(unit, table)
                         for at in range(0, len(row), 8192):
                             part = slice(at, at + 8192)
-                            yield pa.RecordBatch.from_arrays([pa.array(group[part]), pa.array(name[row[part]]), pa.array(more[part]), lists(x[row[part]], like)], ["group", "name", "more", "v"])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(group[part]), pa.array(name[row[part]]), pa.array(more[part]), lists(x[row[part]], like)],
+                                ["group", "name", "more", "v"]
+                            )
 
         return run
 
@@ -243,6 +262,7 @@ def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, k: int) ->
                     who, own = np.flatnonzero(open_[:, c]), slice(edge[c], edge[c + 1])
                     if len(who):
                         s[who, own] = asking[who] @ rows[own].T
+                s[s < floor * np.linalg.norm(asking, axis=1)[:, None]] = -np.inf
                 a, b = top(s, k + 1)
                 out.append((part["name"].to_numpy()[a], names[b], products(asking[a], rows[b])))
         return pa.table([np.concatenate([o[i] for o in out]) for i in range(3)], ["q", "entry", "score"])
@@ -251,7 +271,15 @@ def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, k: int) ->
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "q long, entry long, score double")
 
 
-def search(df: DataFrame, query: F.Column, vector: str = "embedding", key: str = "vec_id", k: int = 20, tables: int = 8, aim: float = 0.96) -> DataFrame:
+def search(
+    df: DataFrame,
+    query: F.Column,
+    vector: str = "embedding",
+    key: str = "vec_id",
+    k: int = 20,
+    tables: int = 8,
+    aim: float = 0.96
+) -> DataFrame:
     """query_id, rank, ``key``, score: for each row that ``query`` marks (a condition on ``key``) its k nearest rows found, nearest first."""
     rows, schema = sound_rows(df, vector, key), f"query_id long, rank int, `{key}` long, score double"
     lengths = sorted(r["d"] for r in rows.withColumnRenamed("id", key).where(query).select(F.size("v").alias("d")).distinct().collect())
@@ -261,7 +289,10 @@ def search(df: DataFrame, query: F.Column, vector: str = "embedding", key: str =
     if len(found) == 1:
         return found[0]
     both = functools.reduce(DataFrame.unionByName, found).groupBy("query_id", key).agg(F.max("score").alias("score"))  # an id may have vectors of several lengths
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return both.withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    ).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
 def of_length(df: DataFrame, rows: DataFrame, d: int, query: F.Column, vector: str, key: str, k: int, tables: int, aim: float) -> DataFrame:
@@ -270,29 +301,40 @@ def of_length(df: DataFrame, rows: DataFrame, d: int, query: F.Column, vector: s
     spark = df.sparkSession
     index = written(entries(rows, d, k), "entries")
     v = F.transform("v", lambda x: x.cast("double"))
-    norms = index.agg(F.max(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("hi"), F.min(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("lo"), F.count("*").alias("n")).first()
+    norms = index.agg(
+        F.max(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("hi"),
+        F.min(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("lo"),
+        F.count("*").alias("n")
+    ).first()
     t = Tables(d, float(norms["hi"]), norms["lo"] < norms["hi"] * (1 - 1e-5), tables).for_rows(norms["n"])
-    asking = df.select(F.col(key).cast("long").alias(key), F.col(vector).alias("v")).where(query).where(F.size("v") == d).select(F.col(key).alias("query_id"), "v").distinct()
+    asking = df.select(
+        F.col(key).cast("long").alias(key),
+        F.col(vector).alias("v")
+    ).where(query).where(F.size("v") == d).select(F.col(key).alias("query_id"), "v").distinct()
     asking = written(asking.join(index.select("v", "entry"), "v").select("query_id", F.col("entry").alias("q")), "asking")
     queries = written(index.join(asking.select(F.col("q").alias("entry")).distinct(), "entry", "left_semi").select("entry", "v"), "queries")
     asked = queries.count()
     if not asked:
         return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    most = penalty_needed(index, queries, t, k, aim, asked)
+    most, floor = settings(index, queries, t, k, aim, asked)
 
     def answers(near: DataFrame) -> DataFrame:
         near = near.groupBy("q", "entry").agg(F.max("score").alias("score"))
         near = near.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= k + 1).drop("r")
-        each = near.join(index.select("entry", "ids"), "entry").join(asking, "q").select("query_id", "score", F.explode("ids").alias("id")).where("id <> query_id")
+        each = near.join(index.select("entry", "ids"), "entry").join(asking, "q").select(
+            "query_id",
+            "score",
+            F.explode("ids").alias("id")
+        ).where("id <> query_id")
         each = each.groupBy("query_id", "id").agg(F.max("score").alias("score"))
         return each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
-    got = written(answers(met(index, queries, t, most, k)), "neighbours")
+    got = written(answers(met(index, queries, t, most, floor, k)), "neighbours")
     full = got.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("query_id")
     short = asking.join(full, "query_id", "left_anti")
-    if most < np.inf and not short.isEmpty():
+    if (most < np.inf or floor > -np.inf) and not short.isEmpty():
         again = written(queries.join(short.select(F.col("q").alias("entry")).distinct(), "entry", "left_semi"), "short")
-        rest = answers(met(index, again, dataclasses.replace(t, tables=1), np.inf, k))
+        rest = answers(met(index, again, dataclasses.replace(t, tables=1), np.inf, -np.inf, k))
         rest = written(rest.join(short.select("query_id"), "query_id", "left_semi"), "rest")
         got = got.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
     return got.select("query_id", F.col("rank").cast("int"), F.col("id").alias(key), "score").toDF(*out_names)
