@@ -165,10 +165,16 @@ def roundtrip(df: DataFrame, vocabulary: str, text: str = "text", key: str = "do
             for lo, hi, buf, at in flat.windows(batch.column(1)):
                 ids, counts = bpe.encode(buf, at)
                 data, lengths = bpe.decode(ids, counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), flat.binary_rows(ids, counts), texts_of(data, lengths)], ["key", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(counts), flat.binary_rows(ids, counts), texts_of(data, lengths)],
+                    ["key", "n_tokens", "ids", "decoded"]
+                )
 
     kind = dict(df.dtypes)[key]
-    return df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(run, f"key {kind}, n_tokens long, ids binary, decoded string").withColumnRenamed("key", key)
+    return df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(
+        run,
+        f"key {kind}, n_tokens long, ids binary, decoded string"
+    ).withColumnRenamed("key", key)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -183,10 +189,20 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_i
                 ids, counts = bpe.encode(buf, at)
                 offsets = np.zeros(len(counts) + 1, np.int32)
                 np.cumsum(counts, out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["key", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(counts),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                    ],
+                    ["key", "n_tokens", "ids"]
+                )
 
     kind = dict(df.dtypes)[key]
-    return df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(run, f"key {kind}, n_tokens long, ids array<int>").withColumnRenamed("key", key)
+    return df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(
+        run,
+        f"key {kind}, n_tokens long, ids array<int>"
+    ).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:

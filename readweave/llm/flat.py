@@ -239,7 +239,15 @@ class PieceTable:
         self.ids.add(ids)
         self.bytes.add(buf[ranges(start, size)])
 
-    def _apart(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, length: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _apart(
+        self,
+        buf: np.ndarray,
+        start: np.ndarray,
+        end: np.ndarray,
+        ids: np.ndarray,
+        length: np.ndarray,
+        other: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The same with the marked pieces encoded by themselves."""
         own, n = self.encode([buf[s:e].tobytes() for s, e in zip(start[other].tolist(), end[other].tolist(), strict=True)])
         begin = np.cumsum(length) - length

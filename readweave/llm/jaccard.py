@@ -240,7 +240,10 @@ def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
                 often = np.flatnonzero(seen >= max(16, docs // 200))
                 often = often[np.argsort(-seen[often], kind="stable")][: LISTED // 10]
                 none = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token[often].astype(np.int64)), pa.array(seen[often]), *(pa.nulls(len(often), k) for k in kinds)], names)
+                yield pa.RecordBatch.from_arrays(
+                    [none, none, none, pa.array(token[often].astype(np.int64)), pa.array(seen[often]), *(pa.nulls(len(often), k) for k in kinds)],
+                    names
+                )
 
         for batch in batches:
             kinds[:] = batch.schema.types[2:]
@@ -249,7 +252,17 @@ def sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
                 held.append(tokens)
                 docs, size = docs + hi - lo, size + len(tokens)
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(set_hash(tokens, n), mask=n == 0), none, none, *(c.slice(lo, hi - lo) for c in batch.columns[2:])], names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(n.astype(np.int64)),
+                        pa.array(set_hash(tokens, n), mask=n == 0),
+                        none,
+                        none,
+                        *(c.slice(lo, hi - lo) for c in batch.columns[2:])
+                    ],
+                    names
+                )
                 if size > 2 * CHUNK:
                     yield from common()
                     held, docs, size = [], 0, 0
@@ -325,7 +338,13 @@ def shared(blobs: DataFrame, buckets: int, step: int, common) -> DataFrame:
 
 
 def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
-    """Nodes that may have a partner: node, n, alone (tokens that no other node has), matches (their l), weight, tokens of the prefix from place ``alone`` on, shared (all tokens that other nodes have too, sorted, 6 bytes each), and bits (a map of WORDS * 64 bits of these)."""
+    """Nodes that may have a partner.
+
+    Columns: node, n, alone (how many tokens no other node has), matches (the node's l), weight
+    (how rare its tokens are), tokens of the prefix from place ``alone`` on, shared (all
+    tokens that other nodes have too, sorted, 6 bytes each), and bits (a map of WORDS *
+    64 bits of these).
+    """
     schema = "node long, n long, alone long, matches int, weight double, tokens array<long>, shared binary, bits array<long>"
 
     def run(table: pa.Table) -> pa.Table:
@@ -350,9 +369,23 @@ def prefixes(blobs: DataFrame, percent: int) -> DataFrame:
             whole = np.sort(token[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             bits = np.zeros(64 * WORDS, bool)
             bits[(token[a:b] % np.uint64(64 * WORDS)).astype(np.int64)] = True
-            rows.append((int(node[a]), size, alone, k + 1, float(np.log(df[a:b]).sum() / size), token[a : a + p].astype(np.int64), np.ascontiguousarray(whole).tobytes(), np.packbits(bits, bitorder="little").view("<i8")))
+            rows.append(
+                (
+                    int(node[a]),
+                    size,
+                    alone,
+                    k + 1,
+                    float(np.log(df[a:b]).sum() / size),
+                    token[a : a + p].astype(np.int64),
+                    np.ascontiguousarray(whole).tobytes(),
+                    np.packbits(bits, bitorder="little").view("<i8")
+                )
+            )
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["node", "n", "alone", "matches", "weight", "tokens", "shared", "bits"])
+        return pa.Table.from_arrays(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
+            ["node", "n", "alone", "matches", "weight", "tokens", "shared", "bits"]
+        )
 
     return blobs.groupBy("bucket").applyInArrow(run, schema)
 
@@ -420,7 +453,9 @@ def connected(edges: DataFrame) -> DataFrame:
     while (now := sign(e)) != before:
         e, last, before = written(star(star(e, True), False), "edges"), e, now
         remove(last)
-    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
+        e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    )
 
 
 #: What a node brings to a comparison, besides its name.
@@ -450,7 +485,11 @@ def fits(percent: int) -> str:
 def enough(rows: DataFrame, parts: F.Column) -> DataFrame:
     """Pairs (a, b, parts) that share as many prefix tokens as the smaller l of the two asks for. ``rows`` has a pair once for each token."""
     pair = [F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")]
-    counted = rows.groupBy(*pair).agg(F.count("*").alias("shared"), F.first(F.least("matches", "r_matches")).alias("needed"), F.max(parts.cast("long")).alias("parts"))
+    counted = rows.groupBy(*pair).agg(
+        F.count("*").alias("shared"),
+        F.first(F.least("matches", "r_matches")).alias("needed"),
+        F.max(parts.cast("long")).alias("parts")
+    )
     return counted.where("shared >= needed").select("a", "b", "parts")
 
 
@@ -459,7 +498,11 @@ def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     post = prefix_postings(nodes, "weight")
     columns = ["node", *SIZES, "place"]
     first = lambda order: F.max(F.struct(order, *columns))
-    heads = post.groupBy("token").agg(F.count("*").alias("c"), first(F.col("weight").alias("o")).alias("x"), first(F.xxhash64("token", "node").alias("o")).alias("y")).where("c > 1")
+    heads = post.groupBy("token").agg(
+        F.count("*").alias("c"),
+        first(F.col("weight").alias("o")).alias("x"),
+        first(F.xxhash64("token", "node").alias("o")).alias("y")
+    ).where("c > 1")
     bare = lambda s: F.struct(*(F.col(f"{s}.{c}").alias(c) for c in columns))
     heads = heads.select("token", "c", F.col("x.node").alias("head"), F.array_distinct(F.array(bare("x"), bare("y"))).alias("centres"))
     # a row of the first centre itself brings nothing: the second one's row has that pair
@@ -480,7 +523,12 @@ def block_pairs(known: DataFrame, percent: int) -> DataFrame:
     groups = post.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token")
     groups = groups.agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    groups = groups.select("token", F.col("top.label").alias("main"), blocks(F.col("all") - F.col("top.c")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    groups = groups.select(
+        "token",
+        F.col("top.label").alias("main"),
+        blocks(F.col("all") - F.col("top.c")).alias("lefts"),
+        blocks(F.col("all")).alias("rights")
+    )
     rows = post.join(groups, "token")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -531,9 +579,19 @@ def members(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     remove(nodes)
     named = labels.join(groups, "node").select("node", "label", "least")
     named = named.join(named.groupBy("label").agg(F.min("least").alias("first")), "label").select("node", "label", "first")
-    of_node = groups.join(named, "node", "left").select("node", F.coalesce("first", "least").alias("first"), F.coalesce("label", "node").alias("component"))
+    of_node = groups.join(named, "node", "left").select(
+        "node",
+        F.coalesce("first", "least").alias("first"),
+        F.coalesce("label", "node").alias("component")
+    )
     of_node = written(of_node, "members")  # both sides of the last join then come straight from shuffles, which adaptive execution can split at a text with very many copies
-    return docs.join(of_node, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "key").alias("component_id"), "component", *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)))
+    return docs.join(of_node, "node", "left").select(
+        F.col("key").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("first", "key").alias("component_id"),
+        "component",
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry))
+    )
 
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:

@@ -91,7 +91,14 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 5, rejected: float = 0.002) -> Model:
+def fit(
+    samples: list[tuple[np.ndarray, np.ndarray]],
+    labels: list[str],
+    epochs: int = 6,
+    rate: float = 0.5,
+    seed: int = 5,
+    rejected: float = 0.002
+) -> Model:
     """``samples``: for each text its distinct buckets and how often each occurs. A fifth calibrates."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
@@ -143,7 +150,14 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
     return model
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, sample_rows: int = 120_000) -> Model | None:
+def train(
+    df: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    key: str = "doc_id",
+    per_language: int = 600,
+    sample_rows: int = 120_000
+) -> Model | None:
     """Fit on ``per_language`` rows of each language, those with the least hashes of their keys; with very many languages on fewer of each.
 
     The sample has ``sample_rows`` rows at most (and one of each language), however many there are; only
@@ -164,7 +178,14 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 parts = [np.unique(x, return_counts=True) for x in np.split(ids, np.cumsum(counts)[:-1])]
                 n = np.array([len(p[0]) for p in parts])
                 first = [batch.column(k).slice(lo, hi - lo) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*first, flat.binary_rows(np.concatenate([p[0] for p in parts]).astype(np.uint32), n), flat.binary_rows(np.concatenate([p[1] for p in parts]).astype(np.uint32), n)], ["lang", "h", "ids", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *first,
+                        flat.binary_rows(np.concatenate([p[0] for p in parts]).astype(np.uint32), n),
+                        flat.binary_rows(np.concatenate([p[1] for p in parts]).astype(np.uint32), n)
+                    ],
+                    ["lang", "h", "ids", "n"]
+                )
 
     chosen = rows.join(sizes, "lang").where(part).select("lang", "h", "text").mapInArrow(run, "lang string, h long, ids binary, n binary")
     order = ["h", "ids", "n"]
@@ -194,8 +215,14 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[s
                     score[known] = p.max(axis=1)[known]
                     rejected[known] = score[known] < m.bar
                 columns = [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(best.tolist(), pa.string()), pa.array(score), pa.array(rejected)], [*(f"c{k}" for k in range(len(keep))), "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(best.tolist(), pa.string()), pa.array(score), pa.array(rejected)],
+                    [*(f"c{k}" for k in range(len(keep))), "lang_pred", "score", "rejected"]
+                )
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"c{k} {kinds[c]}" for k, c in enumerate(keep)), "lang_pred string, score double, rejected boolean"])
-    return df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema).toDF(*keep, "lang_pred", "score", "rejected")
+    return df.select(
+        *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)),
+        F.col(f"`{text}`").alias("text")
+    ).mapInArrow(run, schema).toDF(*keep, "lang_pred", "score", "rejected")

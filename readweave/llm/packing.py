@@ -183,10 +183,24 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int, text: str
                 rank[order] = np.arange(len(order)) - np.repeat(run_start, run_count) + np.repeat(seen[run_length], run_count)
                 seen[run_length] += run_count
                 keys = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)], ["key", "piece", "start", "length", "ids_crc32", "part", "rank"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys,
+                        pa.array(piece.astype(np.int32)),
+                        pa.array(start),
+                        pa.array(length),
+                        pa.array(crc, pa.int64()),
+                        pa.array(np.full(len(row), part, np.int32)),
+                        pa.array(rank)
+                    ],
+                    ["key", "piece", "start", "length", "ids_crc32", "part", "rank"]
+                )
 
     kind = dict(df.dtypes)[key]
-    out = df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    out = df.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInArrow(
+        run,
+        f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long"
+    )
     return out.withColumnRenamed("key", key)
 
 
@@ -205,8 +219,21 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096,
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             sequence, offset = made.value.place(length, rank)
             keep = [batch.column(c) for c in ("key", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], ["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = table.join(before, ["part", "length"]).select(F.col(key).alias("key"), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+            yield pa.RecordBatch.from_arrays(
+                [*keep, pa.array(sequence), pa.array(offset)],
+                ["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            )
+
+    ranked = table.join(before, ["part", "length"]).select(
+        F.col(key).alias("key"),
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        (F.col("rank") + F.col("before")).alias("rank")
+    )
     kind = dict(df.dtypes)[key]
-    return ranked.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("key", key)
+    return ranked.mapInArrow(
+        run,
+        f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    ).withColumnRenamed("key", key)

@@ -88,9 +88,18 @@ def vectors(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     letters = count(flat.BYTE_CLASS[buf] == flat.LETTER)
     columns = {
         "log_words": np.log1p(n), "log_bytes": np.log1p(size), "word_length": of(chars, n),
-        "upper": of(count(_UPPER[buf]), letters), "digit": of(count(flat.BYTE_CLASS[buf] == flat.DIGIT), size), "symbol": of(count(_SYMBOL[buf]), chars), "exclamation": of(count(buf == 33), n),
-        "stop": of(np.bincount(row[_STOPS[at_stop] == h], minlength=rows), n), "quote": of(count((buf == 34) | (buf == 39)), chars), "wide": of(count(buf > 127), size),
-        "capitalised": of(np.bincount(row[_UPPER[buf[start]]], minlength=rows), n), "long_words": of(np.bincount(row[end - start > 20], minlength=rows), n),
+        "upper": of(count(_UPPER[buf]), letters), "digit": of(
+            count(flat.BYTE_CLASS[buf] == flat.DIGIT),
+            size
+        ), "symbol": of(count(_SYMBOL[buf]), chars), "exclamation": of(count(buf == 33), n),
+        "stop": of(
+            np.bincount(row[_STOPS[at_stop] == h], minlength=rows),
+            n
+        ), "quote": of(count((buf == 34) | (buf == 39)), chars), "wide": of(count(buf > 127), size),
+        "capitalised": of(
+            np.bincount(row[_UPPER[buf[start]]], minlength=rows),
+            n
+        ), "long_words": of(np.bincount(row[end - start > 20], minlength=rows), n),
         "vocabulary": of(kinds, n), "repeat3": 1 - of(kinds3, np.bincount(row3, minlength=rows)), "duplicate_lines": of(lines - line_kinds, lines),
         "line_words": np.log1p(of(n, lines)), "short_lines": of(np.bincount(line_row[real & (in_line < 4)], minlength=rows), lines),
         "full_stops": of(count(buf == 46), n), "commas": of(count(buf == 44), n), "top_word": of(most, n),
@@ -129,7 +138,13 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, cut: float = 0.3, pairs: int
     """``y``: 1 for preferred documents, 0 for rejected ones. ``share``: the part of all documents that is rejected."""
     edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(x) else np.zeros((len(MEASURES), BINS - 1))
     scale = x.std(axis=0) if len(x) else np.ones(len(MEASURES))
-    model = Model(x.mean(axis=0) if len(x) else np.zeros(len(MEASURES)), np.where(scale > 0, scale, 1), edges, np.zeros(len(MEASURES) * BINS), cut=cut)
+    model = Model(
+        x.mean(axis=0) if len(x) else np.zeros(len(MEASURES)),
+        np.where(scale > 0, scale, 1),
+        edges,
+        np.zeros(len(MEASURES) * BINS),
+        cut=cut
+    )
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return model
@@ -173,9 +188,20 @@ def scored_vectors(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", vector array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", per_label: int = 4000, cut: float = 0.3) -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    label: str = "quality",
+    per_label: int = 4000,
+    cut: float = 0.3
+) -> Model:
     """Fit on ``per_label`` labelled keys of each label outside the held-out fold, those with the least hashes; ``4 * per_label`` documents are the bound where keys repeat."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).where(~held_out("__k")).distinct()
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("__k"),
+        F.col(label).cast("int").alias("__y")
+    ).where(~held_out("__k")).distinct()
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return fit(np.zeros((0, len(MEASURES))), np.zeros(0, int), 0.0, cut)
@@ -201,8 +227,14 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
             for lo, hi, buf, at in flat.windows(batch.column(len(keep))):
                 s = sent.value.score(vectors(buf, at))
                 columns = [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= sent.value.cut).astype(np.int32))], [*(f"c{k}" for k in range(len(keep))), "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(s), pa.array((s >= sent.value.cut).astype(np.int32))],
+                    [*(f"c{k}" for k in range(len(keep))), "score", "predicted"]
+                )
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"c{k} {kinds[c]}" for k, c in enumerate(keep)), "score double", "predicted int"])
-    return df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema).toDF(*keep, "score", "predicted")
+    return df.select(
+        *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)),
+        F.col(f"`{text}`").alias("text")
+    ).mapInArrow(run, schema).toDF(*keep, "score", "predicted")

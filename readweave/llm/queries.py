@@ -19,7 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode with the byte-level vocabulary."""
     out = bpe.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return out.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +78,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to archives and read them back."""
     folder = new_folder(spark, "archives")
     warc.write(table(spark, sf_dir, "pages"), folder, least=1000)
-    return warc.read(spark, folder, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(spark, folder, payloads=False).select(
+        F.col("key").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to"
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_url_filter, op5_jaccard_join, op6_token_files, op7_packing, op8_nearest, op9_quality_rules, op10_warc)}
+    return {
+        f.__name__: f for f in (
+            op1_bpe, op2_language_id, op3_quality, op4_url_filter, op5_jaccard_join, op6_token_files, op7_packing, op8_nearest,
+            op9_quality_rules, op10_warc
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

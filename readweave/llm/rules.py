@@ -97,7 +97,10 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter(w, lambda x: F.length(x) > 40)).cast("long").alias("n_long_words"),
         ),
     )
-    line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    line_counts = let(
+        lines,
+        lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    )
     return df.withColumn(
         "__m",
         F.struct(

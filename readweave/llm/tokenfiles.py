@@ -48,12 +48,24 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, text: str =
                 ids, counts = encoder.encode_ended(buf, at, end_id)
                 ends = np.r_[0, np.cumsum(counts)]
                 tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(before + ends[:-1]), pa.array(counts), tokens], ["key", "part", "part_start", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(np.full(hi - lo, part, np.int32)),
+                        pa.array(before + ends[:-1]),
+                        pa.array(counts),
+                        tokens
+                    ],
+                    ["key", "part", "part_start", "n_tokens", "tokens"]
+                )
                 before += int(ends[-1])
 
     kind = dict(df.dtypes)[key]
     ordered = df.selectExpr(f"`{key}` as key", f"`{text}` as text").repartitionByRange("key").sortWithinPartitions("key")
-    ordered.mapInArrow(run, f"key {kind}, part int, part_start long, n_tokens long, tokens array<int>").withColumnRenamed("key", key).write.options(**FORMAT).parquet(folder)
+    ordered.mapInArrow(
+        run,
+        f"key {kind}, part int, part_start long, n_tokens long, tokens array<int>"
+    ).withColumnRenamed("key", key).write.options(**FORMAT).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +90,10 @@ def with_crc32(df: DataFrame, key: str = "doc_id") -> DataFrame:
             ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))].astype(np.int64)
             data = memoryview(values.view(np.uint8))
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())],
+                ["key", "start", "n_tokens", "ids_crc32"]
+            )
 
     kind = dict(df.dtypes)[key]
     out = df.select(F.col(key).alias("key"), "start", "n_tokens", "tokens").mapInArrow(run, f"key {kind}, start long, n_tokens long, ids_crc32 long")

@@ -74,8 +74,12 @@ def labelled() -> list[tuple[str, str, int]]:
     both labels, so that words alone tell them apart; most hosts are to be allowed.
     """
     pair = lambda words, k, by: f"{words[k % len(words)]}-{words[(k + by) % len(words)]}"
-    block = [pair(BAD, k, by) for by in (3, 7, 13) for k in range(len(BAD))] + BAD + [f"{GOOD[k]}{w}" for k, w in enumerate(BAD)] + [f"{w}-{GOOD[k + 9]}" for k, w in enumerate(BAD)]
-    allow = [pair(GOOD, k, by) for by in (5, 11, 17) for k in range(len(GOOD))] + GOOD + [f"{w}{GOOD[(k + 19) % len(GOOD)]}" for k, w in enumerate(GOOD)] + made_up(3 * len(GOOD))
+    block = [
+        pair(BAD, k, by) for by in (3, 7, 13) for k in range(len(BAD))
+    ] + BAD + [f"{GOOD[k]}{w}" for k, w in enumerate(BAD)] + [f"{w}-{GOOD[k + 9]}" for k, w in enumerate(BAD)]
+    allow = [
+        pair(GOOD, k, by) for by in (5, 11, 17) for k in range(len(GOOD))
+    ] + GOOD + [f"{w}{GOOD[(k + 19) % len(GOOD)]}" for k, w in enumerate(GOOD)] + made_up(3 * len(GOOD))
     rows = []
     for label, names in ((1, block), (0, allow)):
         for k, name in enumerate(names[: len(names) // len(SUFFIXES) * len(SUFFIXES)]):
@@ -118,7 +122,10 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, value) of all n-grams of hosts and of paths; those of a host, and those of a path, make a vector of length about 1."""
     out = []
-    for mark, texts in ((0, [f"^{h}$".encode() if h else b"" for h in hosts]), (BUCKETS // 2, [p.lower().encode() + b"$" if p else b"" for p in paths])):
+    for mark, texts in (
+        (0, [f"^{h}$".encode() if h else b"" for h in hosts]),
+        (BUCKETS // 2, [p.lower().encode() + b"$" if p else b"" for p in paths])
+    ):
         ids, n = grams(texts)
         out.append((np.repeat(np.arange(len(texts)), n), ids ^ mark, np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)))
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))  # type: ignore[return-value]
@@ -182,4 +189,11 @@ def judge(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",),
     scored = cut.mapInArrow(run, schema)
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("score") >= bar, "block").otherwise("allow")
-    return scored.select(*(F.col(f"c{i}").alias(k) for i, k in enumerate(keep)), "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
+    return scored.select(
+        *(F.col(f"c{i}").alias(k) for i, k in enumerate(keep)),
+        "host",
+        "path",
+        name.alias("rule"),
+        F.coalesce(verdict, own).alias("verdict"),
+        "score"
+    )

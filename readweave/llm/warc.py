@@ -140,7 +140,15 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:-4]
 
 
-def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write(
+    df: DataFrame,
+    folder: str,
+    key: str = "page_id",
+    url: str = "url",
+    payload: str = "html",
+    least: int = 1000,
+    archive_bytes: int = ARCHIVE_BYTES
+) -> None:
     """One record for each row, in archives under ``folder``. The files keep the names that Spark's text sink gives them, so nothing is renamed one by one."""
     spark = df.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
@@ -160,13 +168,35 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
         for batch in batches:
             for lo, hi, buf, at in flat.windows(batch.column(2)):
                 others = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, 3, 4, 5)]
-                made = [writer.compress(record(name, serial, target, buf[a:b].tobytes(), size, digest, None)) for a, b, name, target, size, digest, serial in zip(at[:-1].tolist(), at[1:].tolist(), *(o.to_pylist() for o in others), strict=True)]
+                made = [
+                    writer.compress(record(name, serial, target, buf[a:b].tobytes(), size, digest, None)) for a,
+                    b,
+                    name,
+                    target,
+                    size,
+                    digest,
+                    serial in zip(at[:-1].tolist(), at[1:].tolist(), *(o.to_pylist() for o in others), strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(made, pa.binary())], ["key", "url", "size", "digest", "serial", "frame"])
 
-    made = rows.select("key", "url", "body", "size", "digest", F.monotonically_increasing_id().alias("serial")).mapInArrow(frames_of, "key long, url string, size long, digest string, serial long, frame binary")
+    made = rows.select(
+        "key",
+        "url",
+        "body",
+        "size",
+        "digest",
+        F.monotonically_increasing_id().alias("serial")
+    ).mapInArrow(frames_of, "key long, url string, size long, digest string, serial long, frame binary")
     # rows without a key are dealt by their own numbers and match nothing
     made = made.withColumns({"own": F.coalesce("key", "serial"), "whole": F.when(F.col("key").isNull(), "").otherwise(F.col("digest"))})
-    made = made.join(again, ["own", "whole", "size"], "left").select("key", "url", "size", "digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("frame")).alias("frame"))
+    made = made.join(again, ["own", "whole", "size"], "left").select(
+        "key",
+        "url",
+        "size",
+        "digest",
+        "refers_to",
+        F.when(F.col("refers_to").isNull(), F.col("frame")).alias("frame")
+    )
 
     def archives_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _writer(words.value)
@@ -175,7 +205,11 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for (key, url, size, digest, refers_to), frame in zip(zip(*(part.column(k).to_pylist() for k in range(5)), strict=True), part.column(5), strict=True):
+                for (key, url, size, digest, refers_to), frame in zip(
+                    zip(*(part.column(k).to_pylist() for k in range(5)), strict=True),
+                    part.column(5),
+                    strict=True
+                ):
                     frame = frame.as_py() if refers_to is None else writer.compress(record(key, 0, url, b"", size, digest, refers_to))
                     if len(out) > 1 and held + len(frame) > archive_bytes:
                         yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["archive"])

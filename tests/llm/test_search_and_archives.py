@@ -53,7 +53,10 @@ def test_recall(spark, scaled):
 
 def test_search_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, None)]
+    rows = [
+        (0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]),
+        (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, None)
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("entry", F.lit(1)).withColumn("score", F.lit("x"))
     got = found(df)
     assert got == {0: [(-1.0, 7), (-0.5, 20)], 20: [(-0.5, 0), (-0.5, 7)]}
@@ -85,7 +88,14 @@ def test_cells_grow_with_the_rows():
             filed, cell = t.filed(unit, table)
             rest = {(a, b): c for a, b, c in zip(row.tolist(), group.tolist(), left.tolist(), strict=True)}
             last = t.penalties(q, table, t.rotations - 1)
-            met = np.array([[last[a, c] <= rest.get((a, g), -1) + 1e-12 for g, c in zip(filed[:300].tolist(), cell[:300].tolist(), strict=True)] for a in range(40)])
+            met = np.array(
+                [
+                    [
+                        last[a, c] <= rest.get((a, g), -1) + 1e-12 for g,
+                        c in zip(filed[:300].tolist(), cell[:300].tolist(), strict=True)
+                    ] for a in range(40)
+                ]
+            )
             assert (met == (cost[table][:, :300] <= most + 1e-12)).all()
     assert share[1] < 0.35 < share[0] < 1
 
@@ -105,15 +115,23 @@ def test_recall_of_the_registered_query(spark):
 
 
 def pages(spark, rows):
-    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("x"), "size": F.lit(0), "response": F.lit(1)})
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {"digest": F.lit("x"), "size": F.lit(0), "response": F.lit(1)}
+    )
 
 
 def test_archives(spark):
     big, small = "é" * 600, "y" * 999
-    rows = [(1, "http://a/", big), (5, "http://b/\n", big), (3, None, big), (2, "u", small), (4, "u", small), (6, "u", None), (-7, "u", ""), (None, "u", "z" * 1000), (8, "u", "z" * 1000), (9, "u", "<p>\r\n\r\n</p>" * 200), (9, "u", "<p>\r\n\r\n</p>" * 200)]
+    rows = [
+        (1, "http://a/", big), (5, "http://b/\n", big), (3, None, big), (2, "u", small), (4, "u", small), (6, "u", None), (-7, "u", ""),
+        (None, "u", "z" * 1000), (8, "u", "z" * 1000), (9, "u", "<p>\r\n\r\n</p>" * 200), (9, "u", "<p>\r\n\r\n</p>" * 200)
+    ]
     folder = new_folder(spark, "test")
     warc.write(pages(spark, rows).repartition(3), folder)
-    got = sorted(((r["key"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.read(spark, folder).collect()), key=str)
+    got = sorted(
+        ((r["key"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.read(spark, folder).collect()),
+        key=str
+    )
     want = []
     for k, _, html in rows:
         data = (html or "").encode()
@@ -150,7 +168,13 @@ def test_broken_archives():
     whole = warc.record(3, 0, "http://a/", b"body", 4, hashlib.sha1(b"body").hexdigest(), None)
     fields, block = warc.parsed(whole)
     assert fields["content-length"] == str(len(block)) and block.endswith(b"body") and warc.key_of(warc.record_id(-3)) == -3
-    for bad in (whole[:-1], whole.replace(b"WARC/1.1", b"WARC/9.9"), whole.replace(b"WARC-Date", b"X-Date"), whole.replace(b"Content-Length: 4", b"Content-Length: 44"), b""):
+    for bad in (
+        whole[:-1],
+        whole.replace(b"WARC/1.1", b"WARC/9.9"),
+        whole.replace(b"WARC-Date", b"X-Date"),
+        whole.replace(b"Content-Length: 4", b"Content-Length: 44"),
+        b""
+    ):
         with pytest.raises(ValueError):
             warc.parsed(bad)
     frame = zstandard.ZstdCompressor(write_checksum=True).compress(whole)
@@ -166,7 +190,12 @@ def test_a_broken_archive_is_refused(spark, tmp_path, broken):
     warc.write(pages(spark, [(k, f"http://a/{k}", f"<p>{k}</p>" * 300) for k in range(20)]).coalesce(1), folder)
     whole = next(bytes(f["content"]) for f in spark.read.format("binaryFile").load(folder).collect() if f["length"])
     start = 8 + struct.unpack_from("<II", whole)[1]
-    bad = {"cut": whole[:-30], "flipped": whole[:-40] + bytes([whole[-40] ^ 1]) + whole[-39:], "no dictionary": whole[start:], "junk": whole[:start] + b"junk" + whole[start:]}[broken]
+    bad = {
+        "cut": whole[:-30],
+        "flipped": whole[:-40] + bytes([whole[-40] ^ 1]) + whole[-39:],
+        "no dictionary": whole[start:],
+        "junk": whole[:start] + b"junk" + whole[start:]
+    }[broken]
     (tmp_path / "a.warc.zst").write_bytes(bad)
     (tmp_path / "b.warc.zst").write_bytes(whole)
     with pytest.raises(Exception, match=r"a\.warc\.zst"):
@@ -183,13 +212,21 @@ def test_pipeline(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{d}/documents.parquet'")
     ruled = pipeline.quality_rules(spark, docs, d).cache()
-    assert ids(ruled) == sorted(k for (k,) in con.execute(f"select doc_id from ({rules.oracle()}) where kept").fetchall()) and ruled.columns == docs.columns
+    assert ids(ruled) == sorted(
+        k for (k,) in con.execute(f"select doc_id from ({rules.oracle()}) where kept").fetchall()
+    ) and ruled.columns == docs.columns
     good = pipeline.quality_classifier(spark, ruled, d).cache()
     model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
     measured = quality.scored_vectors(ruled, "text", ["doc_id"]).collect()
-    assert ids(good) == sorted(r["doc_id"] for r in measured if model.utility(np.array([r["vector"]]))[0] >= model.threshold) and good.columns == docs.columns
+    assert ids(good) == sorted(
+        r["doc_id"] for r in measured if model.utility(np.array([r["vector"]]))[0] >= model.threshold
+    ) and good.columns == docs.columns
     unique = pipeline.near_duplicates(spark, good, d).cache()
-    assert ids(unique) == sorted(k for k, _, c in brute_components([(r["doc_id"], r["text"]) for r in good.collect()]) if k == c) and unique.columns == docs.columns
+    assert ids(unique) == sorted(
+        k for k,
+        _,
+        c in brute_components([(r["doc_id"], r["text"]) for r in good.collect()]) if k == c
+    ) and unique.columns == docs.columns
     packed = pipeline.best_fit_packing(spark, unique, d).collect()
     library, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
     for r in unique.collect():
@@ -216,7 +253,15 @@ def test_near_copies_without_keys(spark):
     """Of a component one row stays, also where keys are null or stand for several texts."""
     pipeline = importlib.import_module("corpus_pipeline")
     base, other = [f"w{k}" for k in range(60)], " ".join(f"v{k}" for k in range(60))
-    texts = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (None, " ".join(["y", *base])), (4, other), (4, other + " more"), (4, "short text"), (4, "short text")]
+    texts = [
+        (None, " ".join(base)),
+        (None, " ".join([*base, "x"])),
+        (None, " ".join(["y", *base])),
+        (4, other),
+        (4, other + " more"),
+        (4, "short text"),
+        (4, "short text")
+    ]
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], SCHEMA)
     got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, df, "").collect()]
     assert len(got) == 3 and {k for k, _ in got} == {None, 4} and (4, "short text") in got

@@ -21,7 +21,9 @@ def brute_rules(text):
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
     again = {k + o for k, w in enumerate(windows) if windows.count(w) > 1 for o in range(3)} if len(words) < 3000 else None
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), None if again is None else len(again)
+    return len(words), sum(map(len, words)), sum(
+        (text or "").count(c) for c in "#*$%&|<>"
+    ), len(lines) - len(set(lines)), None if again is None else len(again)
 
 
 def test_rules(clashing, none):
@@ -160,7 +162,14 @@ def test_pairs_rank_what_is_preferred():
     assert auc(model.utility(x[400:]), y[400:]) > 0.97
 
 
-BAD_HOSTS = ["m.casino-win.example.com", "free-bets.example.com", "m.ads-track.example.com", "www.spam-farm.example.com", "www.cheap-pills.example.com", "blog.adult-x.example.net"]
+BAD_HOSTS = [
+    "m.casino-win.example.com",
+    "free-bets.example.com",
+    "m.ads-track.example.com",
+    "www.spam-farm.example.com",
+    "www.cheap-pills.example.com",
+    "blog.adult-x.example.net"
+]
 
 
 def test_labelled_urls():
@@ -169,7 +178,9 @@ def test_labelled_urls():
     assert len({(h, p) for h, p, _ in rows}) == len(rows) and not {h for h, *_ in rows} & set(BAD_HOSTS)
     for s in urls.SUFFIXES:
         ends = lambda h, s=s: max((x for x in urls.SUFFIXES if h.endswith(x)), key=len) == s
-        assert {sum(ends(h) for h, _, y in rows if y == label) * len(urls.SUFFIXES) == sum(y == label for *_, y in rows) for label in (0, 1)} == {True}
+        assert {
+            sum(ends(h) for h, _, y in rows if y == label) * len(urls.SUFFIXES) == sum(y == label for *_, y in rows) for label in (0, 1)
+        } == {True}
 
 
 def test_urls_kept_back():
@@ -185,9 +196,16 @@ def test_urls_kept_back():
 def test_urls_of_unseen_hosts(spark):
     """Bad hosts under good suffixes and the reverse; and all hosts of the corpus."""
     model = urls.train(urls.labelled())
-    bad, good = ["xxx-videos.example.org", "poker-night-casino.com", "viagra-online.org", "torrent-porn.net"], ["cooking.example", "city-library.net", "universitypress.example", "ththst.example.com"]
+    bad, good = [
+        "xxx-videos.example.org",
+        "poker-night-casino.com",
+        "viagra-online.org",
+        "torrent-porn.net"
+    ], ["cooking.example", "city-library.net", "universitypress.example", "ththst.example.com"]
     assert (model.score(bad, ["/a"] * 4) >= 0.5).all() and (model.score(good, ["/a"] * 4) < 0.5).all()
-    got = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("host <> ''").select("host", (F.col("score") >= 0.5).alias("blocked")).distinct().collect()
+    got = urls.judge(
+        spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    ).where("host <> ''").select("host", (F.col("score") >= 0.5).alias("blocked")).distinct().collect()
     assert {r["host"] for r in got if r["blocked"]} == set(BAD_HOSTS) and not {r["host"] for r in got if not r["blocked"]} & set(BAD_HOSTS)
 
 
@@ -263,7 +281,14 @@ def test_postings_dealt_in_two_steps(spark, monkeypatch):
 def test_components_have_numbers_of_their_own(spark):
     """Null and repeated keys: the number tells components apart where keys don't."""
     base = [f"w{k}" for k in range(40)]
-    rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (7, " ".join(base[:39])), (7, "another text of seven words in all"), (None, None), (3, "")]
+    rows = [
+        (None, " ".join(base)),
+        (None, " ".join([*base, "x"])),
+        (7, " ".join(base[:39])),
+        (7, "another text of seven words in all"),
+        (None, None),
+        (3, "")
+    ]
     got = jaccard.members(spark.createDataFrame(rows, "doc_id long, text string").withColumn("md5", F.md5("text")), carry=("md5",)).collect()
     of = {r["md5"]: (r["doc_id"], r["component_id"], r["component"]) for r in got}
     import hashlib

@@ -43,7 +43,10 @@ def test_random_texts(library):
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
-    letters = ["a", "b", "the", " ", "  ", "\n", "\t", "'s", "'", "!", "é", "«", "12", "\u00a0", "\u3000", "\u0301", "中", "😀", "<|endoftext|>", "\x1c"]
+    letters = [
+        "a", "b", "the", " ", "  ", "\n", "\t", "'s", "'", "!", "é", "«", "12", "\u00a0", "\u3000", "\u0301", "中", "😀", "<|endoftext|>",
+        "\x1c"
+    ]
     texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(1500)] + ["a" * 2000, " " * 70]
     model = bpe.Bpe(open(BYTES, encoding="utf-8").read())
     got = []
@@ -67,7 +70,9 @@ def test_words_that_simple_hashes_confuse(library, n):
     for file, model in ((BYTES, bpe.Bpe(open(BYTES, encoding="utf-8").read())), (WORDS, wordpieces.Encoder(open(WORDS, encoding="utf-8").read()))):
         (_, _, buf, at), = flat.windows(pa.array(texts))
         ids, counts = model.encode(buf, at)
-        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in library[file].encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [
+            e.ids for e in library[file].encode_batch(texts, add_special_tokens=False)
+        ]
     tokens, size = jaccard.shingles(buf, at)
     assert size.tolist() == [1, 1] and tokens[0] != tokens[1]
 
@@ -139,7 +144,10 @@ def test_token_files_are_read_selectively(spark, library):
             assert meta.row_group(g).total_byte_size <= 2 * int(tokenfiles.FORMAT["parquet.block.size"])
     some = spark.read.parquet(folder).where("doc_id between 500 and 510").select("doc_id", "tokens")
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,500), LessThanOrEqual(doc_id,510)]" in some._jdf.queryExecution().executedPlan().toString()
-    assert {r["doc_id"]: r["tokens"] for r in some.collect()} == {k: [*library[WORDS].encode(t, add_special_tokens=False).ids, 2] for k, t in rows[500:511]}
+    assert {r["doc_id"]: r["tokens"] for r in some.collect()} == {
+        k: [*library[WORDS].encode(t, add_special_tokens=False).ids, 2] for k,
+        t in rows[500:511]
+    }
     counts = tokenfiles.read(spark, folder).select("doc_id", "start", "n_tokens")
     assert "tokens:array" not in counts._jdf.queryExecution().executedPlan().toString().split("ReadSchema", 1)[1]
 
@@ -166,6 +174,9 @@ def test_plans(seed):
     made = packing.plan(count, capacity)
     length = np.repeat(np.arange(capacity + 1), count)
     sequence, offset = made.place(length, flat.ranges(np.zeros(capacity + 1, np.int64), count))
-    assert check_places([{"sequence_id": s, "offset": o, "length": n} for s, o, n in zip(sequence, offset, length, strict=True)], capacity) == made.sequences
+    assert check_places(
+        [{"sequence_id": s, "offset": o, "length": n} for s, o, n in zip(sequence, offset, length, strict=True)],
+        capacity
+    ) == made.sequences
     if len(length):
         assert made.sequences <= 1.7 * -(-int(length.sum()) // capacity) + 1
