@@ -48,7 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text = F.coalesce(F.md5("text"), F.lit("-"))
     docs = docs.select(*COLUMNS, F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)).alias("__row"))
     group = F.coalesce(F.col("component").cast("string"), F.col("__row")).alias("group")
-    first = jaccard.members(docs, carry=("__row",)).groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("s"))
+    first = jaccard.members(docs, carry=("__row",)).groupBy(group).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("s")
+    )
     return docs.join(first.select("s.__row"), "__row", "left_semi").dropDuplicates(["__row"]).select(COLUMNS)
 
 
