@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readweave.session import written
+from readweave.session import remove, written
 
 SAMPLE = 64
 #: Share of the sample's queries whose last neighbour lies below the floor.
@@ -337,4 +337,7 @@ def of_length(df: DataFrame, rows: DataFrame, d: int, query: F.Column, vector: s
         rest = answers(met(index, again, dataclasses.replace(t, tables=1), np.inf, -np.inf, k))
         rest = written(rest.join(short.select("query_id"), "query_id", "left_semi"), "rest")
         got = got.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
+        remove(again)
+    for table in (index, queries, asking):  # the answers stand in tables of their own
+        remove(table)
     return got.select("query_id", F.col("rank").cast("int"), F.col("id").alias(key), "score").toDF(*out_names)

@@ -584,7 +584,9 @@ def members(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
         F.coalesce("first", "least").alias("first"),
         F.coalesce("label", "node").alias("component")
     )
-    of_node = written(of_node, "members")  # both sides of the last join then come straight from shuffles, which adaptive execution can split at a text with very many copies
+    # written, so that both sides of the last join come straight from shuffles: adaptive execution can split those at a text with very many copies
+    of_node = written(of_node, "members")
+    remove(groups)
     return docs.join(of_node, "node", "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
