@@ -54,7 +54,7 @@ def subwords(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def buckets(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all subwords of a window's texts, flat, and each text's number of them. A-Z count as a-z."""
-    table = flat.resident("subwords", lambda: flat.PieceTable(subwords, limit=400_000, id_limit=10_000_000))
+    table = flat.resident("subwords", lambda: flat.PieceTable(subwords, limit=800_000, id_limit=20_000_000))
     low = flat.LOWER[buf]
     start, end, row = flat.word_spans(low, at)
     ids, n = table.lookup(low, start, end)  # type: ignore[attr-defined]
