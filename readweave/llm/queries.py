@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readweave.llm import ann, bpe, jaccard, langid, packing, quality, rules, tokenfiles, urls, warc
+from readweave.llm import ann, bpe, jaccard, langid, packing, periodic, quality, rules, sharding, tokenfiles, urls, vectorcodes, warc
 from readweave.session import new_folder
 
 
@@ -87,14 +87,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 16 parts, 64 entries each, after two rounds."""
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where the words of one document in ten repeat from a place on, both by its number's hash."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    begun = cut.withColumn("a", F.expr("cast(if(size(w) > 0, g % size(w), null) as int)"))
+    period = begun.withColumn("p", F.expr("cast(1 + floor((size(w) - a) / (3 + g % 8)) as int)"))
+    again = F.expr("array_join(transform(sequence(0, size(w) - 1), i -> w[if(i < a, i, a + (i - a) % p)]), ' ')")
+    return period.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(again).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least six words and four periods, and the texts that are left without their repeats."""
+    return periodic.runs(repeating(table(spark, sf_dir, "documents")), least=6, powers=4).drop("n_words")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes; equal texts keep together."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
             op1_bpe, op2_language_id, op3_quality, op4_url_filter, op5_jaccard_join, op6_token_files, op7_packing, op8_nearest,
-            op9_quality_rules, op10_warc
+            op9_quality_rules, op10_warc, op11_vector_codes, op12_periodic_runs, op13_sharding
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": jaccard.oracle(), "op9_quality_rules": rules.oracle(), "op10_warc": warc.oracle()}
+    return {"op5_jaccard_join": jaccard.oracle(), "op9_quality_rules": rules.oracle(), "op10_warc": warc.oracle(), "op11_vector_codes": vectorcodes.oracle()}
