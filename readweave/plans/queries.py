@@ -115,7 +115,7 @@ def lsh_band_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_band_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return lsh.bucket_pairs(_bands(spark, d), SKETCH).withColumn("band", F.col("band").cast("long"))
+    return lsh.bucket_pairs(reads(spark, d), SKETCH).withColumn("band", F.col("band").cast("long"))
 
 
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from readweave import session
 from readweave.config import RunConfig, run_type
@@ -16,13 +18,33 @@ from readweave.sources import text
 class Phases:
     """Seconds of the phases of a run, in order."""
 
-    def __init__(self) -> None:
-        self.seconds: dict[str, float] = {}
-        self.began = time.perf_counter()
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.seconds = spark, {}
+        self.group()
+
+    def group(self) -> None:
+        """Jobs from now on are the next phase's."""
+        self.began, self.name = time.time(), f"readweave-{uuid.uuid4().hex}"
+        self.spark.sparkContext.setJobGroup(self.name, "a phase of a run")
 
     def ended(self, name: str) -> None:
-        now = time.perf_counter()
-        self.seconds[name], self.began = round(now - self.began, 3), now
+        self.seconds[name] = round(time.time() - self.began, 3)
+        self.group()
+
+    def split(self, first: str, second: str) -> None:
+        """Two phases of one job: the second begins when the last stage that writes to a shuffle has ended, by the status store."""
+        now, edge = time.time(), self.began
+        sc = self.spark.sparkContext
+        jvm, tracker = sc._jsc.sc(), sc.statusTracker()
+        jvm.listenerBus().waitUntilEmpty(10_000)
+        for job in tracker.getJobIdsForGroup(self.name):
+            for stage in tracker.getJobInfo(job).stageIds:
+                data = jvm.statusStore().lastStageAttempt(stage)
+                if data.shuffleWriteBytes() and data.completionTime().isDefined():
+                    edge = max(edge, data.completionTime().get().getTime() / 1000)
+        edge = min(edge, now)
+        self.seconds[first], self.seconds[second] = round(edge - self.began, 3), round(now - edge, 3)
+        self.group()
 
 
 def candidate(spark: SparkSession, files: list[str], config: RunConfig) -> DataFrame:
@@ -85,17 +107,26 @@ def run_eval(spark: SparkSession, args: argparse.Namespace, config: RunConfig, p
 
 
 def run_pairs(spark: SparkSession, args: argparse.Namespace, config: RunConfig, phases: Phases) -> dict:
-    """Candidate, shared k-mer and true pairs; with a position file candidates are compared with the true pairs."""
-    kind, reads = args.run_type, None
+    """Candidate, shared k-mer and true pairs; with a position file candidates are compared with the true pairs.
+
+    Reads are sketched once: pairs and statistics come from one table of buckets, and reads are counted as they go by
+    (a stage that runs again after a lost executor counts its reads again in ``n_reads`` alone).
+    """
+    kind, seen, table = args.run_type, Observation(), None
     if kind == "true":
-        pairs = true(spark, args.position_file, config)
+        made = true(spark, args.position_file, config)
+        phases.ended("read_files")
     else:
         reads = text.reads(spark, args.files)
-        pairs = lsh.candidates(reads, config) if kind == "candidate" else shared.shared_pairs(reads, config.kmer, config.max_bucket)
-    phases.ended("read_files")
-    pairs = session.written(pairs, "pairs")
-    out: dict = {"pairs": pairs.count()}
-    phases.ended("all_pairs")
+        phases.ended("read_files")
+        reads = reads.observe(seen, F.count(F.lit(1)).alias("n_reads"))
+        table = lsh.band_buckets(reads, config) if kind == "candidate" else shared.kmer_buckets(reads, config.kmer, config.max_bucket)
+        phases.split("compute_hash", "sort_records")
+        made = lsh.first_bands(table, config) if kind == "candidate" else shared.counted(table)
+    found = session.written(made, "pairs")
+    out: dict = {"pairs": found.count()}
+    phases.ended("pair_gen")
+    pairs = found.select("a", "b")
     if args.output_prefix:
         if args.annotate:
             placed = intervals.annotated(pairs, text.positions(spark, args.position_file, config.read_length), config.min_overlap)
@@ -107,12 +138,14 @@ def run_pairs(spark: SparkSession, args: argparse.Namespace, config: RunConfig,
         out |= evaluate.evaluation(pairs, true(spark, args.position_file, config)).first().asDict()
         phases.ended("compare_overlaps")
     if args.statistics and kind == "candidate":
-        out["bands"] = [r.asDict() for r in lsh.band_stats(reads, config).orderBy("band").collect()]  # a row for each band
+        n_reads = F.lit(seen.get["n_reads"]).cast("long")
+        out["bands"] = [r.asDict() for r in lsh.told(table, found, n_reads).orderBy("band").collect()]  # a row for each band
     if args.statistics and kind == "kmer":
-        out |= shared.pair_stats(reads, config.kmer, config.max_bucket).first().asDict()
+        out |= shared.told(table, found).first().asDict()
     if args.statistics:
         phases.ended("statistics")
-    session.remove(pairs)
+    for written in (found, table):
+        session.remove(written)
     return out
 
 
@@ -127,7 +160,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         raise ValueError("an eval run needs a candidate file and a true file")
     if args.annotate and not (args.position_file and args.output_prefix):
         raise ValueError("annotated pairs need a position file and an output")
-    spark, phases = spark or session.build(), Phases()
+    spark = spark or session.build()
+    phases = Phases(spark)
     run = {"lengths": run_lengths, "eval": run_eval}.get(kind, run_pairs)
     out = {"run_type": kind} | run(spark, args, config, phases)
     out |= {"phases": phases.seconds, "seconds": round(sum(phases.seconds.values()), 3)}

@@ -3,7 +3,7 @@
 Reads get dense ids from 0 in file order, over all files in the order given. Lines are
 trimmed. Blank lines are dropped, save in FASTQ, whose records are four lines each.
 
-Lines are numbered without moving them: a first pass counts the lines of each file split,
+Lines of the other formats are numbered without moving them: a first pass counts the lines of each file split,
 and the number of lines before each split (a row for each split) goes to the second pass.
 """
 
@@ -78,70 +78,35 @@ def _full(lines: pa.Array) -> pa.Array:
     return lines.filter(pc.not_equal(lines, ""))
 
 
-_SPLITS = "turn int, file long, block long, n long, blank long, head array<string>, tail array<string>"
-
-
-def _counted(lines: DataFrame, blank: bool) -> DataFrame:
-    """A row for each split: n lines, how many of the last three are blank at its end, its first and last three.
-
-    Without ``blank`` only lines that aren't blank count.
-    """
+def _counted(lines: DataFrame) -> DataFrame:
+    """(turn, file, block, n): the number of lines of each split that aren't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, n, head, tail = None, 0, [], []
-
-        def row() -> pa.RecordBatch:
-            ends = 0
-            while ends < len(tail) and not tail[-1 - ends]:
-                ends += 1
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip((*split, n, ends, head, tail), kinds, strict=True)],
-                ["turn", "file", "block", "n", "blank", "head", "tail"]
-            )
-
+        n: Counter[tuple[int, int, int]] = Counter()
         for own, got in _by_split(batches):
-            if own != split:
-                if split is not None:
-                    yield row()
-                split, n, head, tail = own, 0, [], []
-            got = got if blank else _full(got)
-            n += len(got)
-            if blank:
-                head = head + got.slice(0, 3 - len(head)).to_pylist() if len(head) < 3 else head
-                tail = (tail + got.slice(max(0, len(got) - 3)).to_pylist())[-3:]
-        if split is not None:
-            yield row()
+            n[own] += len(_full(got))
+        for own, k in n.items():
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*own, k), kinds, strict=True)], ["turn", "file", "block", "n"])
 
-    return written(lines.mapInArrow(run, _SPLITS), "splits")
+    return written(lines.mapInArrow(run, "turn int, file long, block long, n long"), "splits")
 
 
-def _begins(splits: DataFrame, files: list[tuple[int, int]]) -> tuple[dict, dict, int]:
-    """Where splits and files begin, counted in lines over all files.
-
-    Returns the first line of each split; of each file its first line, its number of lines and how many
-    lines at its end are blank (three at most); and the number of all lines.
-    """
+def _begins(splits: DataFrame, files: list[tuple[int, int]]) -> tuple[dict, int]:
+    """The first line of each split, counted over all files, and the number of all lines."""
     place = {f: k for k, f in enumerate(files)}
-    rows = sorted(splits.select("turn", "file", "block", "n", "blank").collect(), key=lambda r: (place[r["turn"], r["file"]], r["block"]))
+    rows = sorted(splits.select("turn", "file", "block", "n").collect(), key=lambda r: (place[r["turn"], r["file"]], r["block"]))
     begin: dict[tuple[int, int, int], int] = {}
-    of_file: dict[tuple[int, int], list[int]] = {f: [0, 0, 0] for f in files}
-    at, last = 0, None
+    at = 0
     for r in rows:
-        file = (r["turn"], r["file"])
-        if file != last:
-            of_file[file], last = [at, 0, 0], file
-        begin[*file, r["block"]] = at
-        known = of_file[file]
-        known[1] += r["n"]
-        known[2] = min(3, known[2] + r["blank"]) if r["blank"] == r["n"] else r["blank"]
+        begin[r["turn"], r["file"], r["block"]] = at
         at += r["n"]
-    return begin, of_file, at
+    return begin, at
 
 
 def _numbered(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int]:
     lines, files = _lines(spark, paths)
-    begin, _, total = _begins(_counted(lines, False), files)
+    begin, total = _begins(_counted(lines), files)
     sent = spark.sparkContext.broadcast(begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,87 +126,127 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _numbered(spark, paths)[0]
 
 
-def fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Reads of four-line FASTQ records.
-
-    Records are framed within splits, over Arrow batches; only the few lines of records that lie
-    across the ends of splits are put together by a shuffle. Empty reads are records of
-    two blank lines. A record whose first line doesn't begin with @ or whose third doesn't
-    with +, whose sequence and qualities differ in length, or that is cut short, raises an
-    error that names its line (from 1, over all files). Up to three blank lines may end a file.
-    """
-    lines, files = _lines(spark, paths)
-    splits = _counted(lines, True)
-    begin, of_file, _ = _begins(splits, files)
-    ends, first, at, short = {}, {}, 0, []
-    for file, (start, n, blank) in of_file.items():
-        if n % FIELDS > blank:
-            short.append(start + n - n % FIELDS + 1)
-        first[file], ends[file] = at, start + n // FIELDS * FIELDS
-        at += n // FIELDS
-    if short:
-        raise ValueError(f"the record at line {short[0]} is cut short")
-    # for each split: its first line within the file, lines of the file's records after that, and the file's first record
-    starts = {k: (b - of_file[k[:2]][0], ends[k[:2]] - b, first[k[:2]], b) for k, b in begin.items()}
-    sent = spark.sparkContext.broadcast(starts)
-    names = ["rid", "name", "seq", "plus", "qual", "at"]
-
-    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, done, held, line, left, rid, number = None, 0, None, 0, 0, 0, 0
-        for own, got in _by_split(batches):
-            if own != split:
-                split, done, held = own, 0, None
-                line, left, rid, number = sent.value[own]
-            skip = max(0, (-line) % FIELDS - done)  # of a record that began in an earlier split
-            done_after = done + len(got)
-            got = got.slice(0, max(0, left - done)).slice(skip) if left - done > 0 else got.slice(0, 0)
-            seen = max(done, (-line) % FIELDS) - (len(held) if held is not None else 0)
-            rows = pa.concat_arrays([held, got]) if held is not None else got
-            m = len(rows) // FIELDS
+#: Lines from which a split tells where its records begin.
+TELLING = 64
+RECORD, LOOSE, SPLIT = range(3)
+_FRAMED = "turn int, file long, block long, kind int, line long, wrong string, name string, seq string, plus string, qual string"
+_CUT = "is cut short"
+_WRONG = ("no @ at its beginning", "no + on its third line", "sequence and qualities differ in length")
+
+
+def _phase(lines: pa.Array) -> int:
+    """On which of the first four lines a record begins, if just one is borne out by all lines; else -1."""
+    borne = []
+    for k in range(min(FIELDS, len(lines))):
+        name, seq, plus, qual = (lines.take(pa.array(np.arange(k + f, len(lines), FIELDS))) for f in range(FIELDS))
+        n = len(qual)
+        same = pc.all(pc.equal(pc.utf8_length(seq.slice(0, n)), pc.utf8_length(qual))).as_py() if n else True
+        if pc.all(pc.starts_with(name, "@")).as_py() and same and (not len(plus) or pc.all(pc.starts_with(plus, "+")).as_py()):
+            borne.append((k, len(plus) > 0))
+    return borne[0][0] if len(borne) == 1 and len(lines) >= 2 * FIELDS - 1 and borne[0][1] else -1
+
+
+class _Split:
+    """Records and loose lines of a split as its lines come in."""
+
+    def __init__(self, own: tuple[int, int, int]):
+        self.own, self.line, self.held = own, 0, pa.array([], pa.string())
+        self.framed = True if own[2] == 0 else None  # a file begins with a record; None: not known yet
+
+    def rows(self, kind: int, lines: np.ndarray, wrong: pa.Array | None = None, fields: tuple = ()) -> pa.RecordBatch:
+        n, none = len(lines), pa.nulls(len(lines), pa.string())
+        turn, file, block = self.own
+        fixed = [pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, file)), pa.array(np.full(n, block)), pa.array(np.full(n, kind, np.int32))]
+        columns = [*fixed, pa.array(lines), none if wrong is None else wrong, *fields, *[none] * (FIELDS - len(fields))]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FRAMED.split(", ")])
+
+    def loose(self, n: int) -> Iterator[pa.RecordBatch]:
+        if n:
+            yield self.rows(LOOSE, np.arange(self.line, self.line + n), None, (self.held.slice(0, n),))
+        self.line, self.held = self.line + n, self.held.slice(n)
+
+    def take(self, got: pa.Array, last: bool = False) -> Iterator[pa.RecordBatch]:
+        self.held = pa.concat_arrays([self.held, got])
+        if self.framed is None and (len(self.held) >= TELLING or last):
+            phase = _phase(self.held.slice(0, TELLING))
+            self.framed = phase >= 0
+            yield from self.loose(max(phase, 0))
+        if self.framed:
+            m = len(self.held) // FIELDS
             if m:
                 k = np.arange(m) * FIELDS
-                ids = rid + (line + seen + k) // FIELDS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), *(rows.take(pa.array(k + f)) for f in range(FIELDS)), pa.array(number + seen + k + 1)],
-                    names
-                )
-            held, done = rows.slice(m * FIELDS), done_after
+                fields = tuple(self.held.take(pa.array(k + f)) for f in range(FIELDS))
+                sound = (pc.starts_with(fields[0], "@"), pc.starts_with(fields[2], "+"), pc.equal(pc.utf8_length(fields[1]), pc.utf8_length(fields[3])))
+                wrong = pc.case_when(pc.make_struct(*(pc.invert(s) for s in sound)), *_WRONG)
+                yield self.rows(RECORD, self.line + k, wrong.cast(pa.string()), fields)
+                self.line, self.held = self.line + m * FIELDS, self.held.slice(m * FIELDS)
+        if self.framed is False or last:
+            yield from self.loose(len(self.held))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self.take(pa.array([], pa.string()), last=True)
+        yield self.rows(SPLIT, np.array([self.line]))
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    split = None
+    for own, got in _by_split(batches):
+        if split is None or own != split.own:
+            if split is not None:
+                yield from split.end()
+            split = _Split(own)
+        yield from split.take(got)
+    if split is not None:
+        yield from split.end()
+
+
+def _starts(splits: DataFrame, files: list[tuple[int, int]]) -> DataFrame:
+    """(turn, file, block, line0, id0, all0): lines of its file before the split, records and lines of files before its file."""
+    order = splits.sparkSession.createDataFrame([(t, f, k) for k, (t, f) in enumerate(files)], "turn int, file long, k int")
+    own = Window.partitionBy("turn", "file").orderBy("block")
+    within = splits.select("turn", "file", "block", (F.sum("n").over(own) - F.col("n")).alias("line0"))
+    totals = splits.groupBy("turn", "file").agg(F.sum("n").alias("n")).join(order, ["turn", "file"])
+    earlier = Window.orderBy("k")  # a row for each file
+    whole = F.expr(f"n div {FIELDS}")
+    before = totals.select("turn", "file", (F.sum(whole).over(earlier) - whole).alias("id0"), (F.sum("n").over(earlier) - F.col("n")).alias("all0"))
+    return within.join(before, ["turn", "file"])
 
-    kinds = "rid long, name string, seq string, plus string, qual string, at long"
-    whole = lines.mapInArrow(framed, kinds)
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                line, left, rid, number = sent.value[r["turn"], r["file"], r["block"]]
-                n, head = min(r["n"], max(left, 0)), (-line) % FIELDS
-                # its last lines as they stand in the split, without what follows the file's last record
-                tail = r["tail"][: len(r["tail"]) - (r["n"] - n)] if r["n"] - n else r["tail"]
-                some = list(enumerate(r["head"][: min(head, n)]))
-                if n > head:
-                    loose = (n - head) % FIELDS
-                    some += [(n - loose + k, v) for k, v in enumerate(tail[len(tail) - loose :])] if loose else []
-                rows += [(rid + (line + k) // FIELDS, (line + k) % FIELDS, v, number + k + 1) for k, v in some]
-            kinds_ = (pa.int64(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds_)], ["rid", "field", "value", "at"])
-
-    field = lambda k: F.max(F.when(F.col("field") == k, F.col("value")))
-    pieces = splits.mapInArrow(across, "rid long, field int, value string, at long").groupBy("rid")
-    put = pieces.agg(field(0).alias("name"), field(1).alias("seq"), field(2).alias("plus"), field(3).alias("qual"), F.min("at").alias("at"))
-    return _checked(whole.union(put.select(*names)))
-
-
-def _checked(records: DataFrame) -> DataFrame:
-    def unless(sound: Column, what: str, value: Column) -> Column:
-        return F.when(sound, value).otherwise(
-            F.raise_error(F.concat(F.lit("FASTQ record at line "), F.col("at").cast("string"), F.lit(f": {what}"))).cast("string")
-        )
+def fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Reads of four-line FASTQ records; the text is scanned once.
+
+    Each split finds by itself where its records begin: of the four ways to frame its first lines one
+    is borne out by @, + and equal lengths. Records that lie across the ends of splits, and splits that
+    bear out none or several (very short ones), stay loose lines. All is written once, with its place
+    in the split; the number of lines before each split, a row for each, is joined to that table. A record's id is then
+    its line's number by four, and loose lines meet by that id.
 
-    name = unless(F.coalesce(F.col("name").startswith("@"), F.lit(False)), "no @ at its beginning", F.expr("substring(name, 2)"))
-    seq = unless(F.coalesce(F.col("plus").startswith("+"), F.lit(False)), "no + on its third line", F.upper("seq"))
-    qual = unless(F.coalesce(F.length("seq") == F.length("qual"), F.lit(False)), "sequence and qualities differ in length", F.col("qual"))
-    return records.select("rid", name.alias("name"), seq.alias("seq"), qual.alias("qual"))
+    Empty reads are records of two blank lines. Up to three blank lines may end a file. A record whose first line doesn't
+    begin with @ or whose third doesn't with +, whose sequence and qualities differ in length, or that is cut short, raises
+    an error here, whichever columns are used later; it names the record's line (from 1, over all files).
+    """
+    lines, files = _lines(spark, paths)
+    table = written(lines.mapInArrow(_framed, _FRAMED), "fastq")
+    starts = _starts(table.where(F.col("kind") == SPLIT).select("turn", "file", "block", F.col("line").alias("n")), files)
+    place, key = F.col("line0") + F.col("line"), ["turn", "file", "block"]
+    placed = table.where(F.col("kind") != SPLIT).join(starts, key).withColumns(
+        {"rid": F.col("id0") + F.expr(f"(line0 + line) div {FIELDS}"), "field": place % FIELDS, "at": F.col("all0") + place + 1}
+    )
+    whole = placed.where(F.col("kind") == RECORD).withColumn("wrong", F.when(F.col("field") != 0, "not framed in fours").otherwise(F.col("wrong")))
+    field = lambda k: F.max(F.when(F.col("field") == k, F.col("name"))).alias(("name", "seq", "plus", "qual")[k])
+    loose = placed.where(F.col("kind") == LOOSE).groupBy("turn", "file", "rid").agg(
+        *map(field, range(FIELDS)), F.count("*").alias("n"), F.max("name").alias("most"), F.min("at").alias("at")
+    ).where((F.col("n") == FIELDS) | (F.col("most") != ""))
+    faults = (F.col("name").startswith("@"), F.col("plus").startswith("+"), F.length("seq") == F.length("qual"))
+    told = F.when(F.col("n") < FIELDS, _CUT)
+    for sound, what in zip(faults, _WRONG, strict=True):
+        told = told.when(~sound, what)
+    put = loose.withColumn("wrong", told)
+    faulty = whole.select("at", "wrong").union(put.select("at", "wrong")).where("wrong is not null")
+    for at, what in faulty.orderBy(F.col("wrong") != _CUT, "at").limit(1).collect():
+        raise ValueError(f"FASTQ record at line {at}{' ' if what == _CUT else ': '}{what}")
+    names = ["rid", F.expr("substring(name, 2)").alias("name"), F.upper("seq").alias("seq"), "qual"]
+    return whole.select(*names).union(put.select(*names))
 
 
 def fasta(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import itertools
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,63 @@ def test_fastq_that_is_malformed(spark, tmp_path, content, says):
         text.fastq(spark, [str(tmp_path / "a.fastq")]).collect()
 
 
+@pytest.mark.parametrize("kind", ["candidate", "kmer", "lengths"])
+@pytest.mark.parametrize("content, says", [
+    ("x\nACGTACGTAC\n+\nIIIIIIIIII\n", "no @"), ("@x\nACGTACGTAC\n-\nIIIIIIIIII\n", "no \\+"),
+    ("@x\nACGTACGTAC\n+\nII\n", "qualities"), ("@x\nACGTACGTAC\n+\n", "cut short"),
+])
+def test_runs_refuse_malformed_records(spark, tmp_path, kind, content, says):
+    """Whatever columns a run reads, a damaged record ends it; the records around are sound."""
+    sound = "".join(f"@r{k}\n{s}\n+\n{'I' * len(s)}\n" for k, s in enumerate(READS[:3]))
+    (tmp_path / "a.fastq").write_text(sound + content)
+    with pytest.raises(ValueError, match=f"line 13.*{says}"):
+        runs.main(["-t", kind, str(tmp_path / "a.fastq")], spark)
+
+
+def test_splits_tell_where_records_begin():
+    """At whatever line a split begins, and with @ or + as any first letter of qualities, it finds its records or says that it can't."""
+    rng = random.Random(8)
+    for first in "@+I":
+        lines = []
+        for k in range(20):
+            n = rng.randrange(1, 6)
+            lines += [f"@r{k}", "".join(rng.choices("ACGT", k=n)), "+", first + "".join(rng.choices("@+I", k=n - 1))]
+        for at in range(12):
+            for n in range(0, 60):
+                phase = text._phase(pa.array(lines[at : at + n], pa.string()))
+                assert phase == (-at) % 4 or (phase == -1 and n < 11)
+    assert text._phase(pa.array(["@a", "+", "@b", "+"] * 9)) == -1  # both ways to frame it are borne out
+
+
+def test_a_split_gives_out_all_its_lines():
+    """Framed lines and loose ones are those that came in, each once, whatever the batches; the first split of a file begins with a record."""
+    rng = random.Random(9)
+    lines = [x for k in range(40) for x in (f"@r{k}", "ACGT", "+", "@III")]
+    for block, at, cut in [(0, 0, 7), (9, 3, 5), (9, 1, 100), (9, 2, 1), (9, 158, 1), (9, 0, 64)]:
+        split, out = text._Split((0, 1, block)), []
+        own, k = lines[at:], 0
+        while k < len(own):
+            n = rng.randrange(1, cut + 1)
+            out += split.take(pa.array(own[k : k + n]))
+            k += n
+        seen = [r for b in [*out, *split.end()] for r in b.to_pylist()]
+        placed = {}
+        for r in seen:
+            if r["kind"] == text.RECORD:
+                assert r["wrong"] is None and (r["line"] + at) % 4 == 0
+                placed |= {r["line"] + f: r[c] for f, c in enumerate(("name", "seq", "plus", "qual"))}
+            elif r["kind"] == text.LOOSE:
+                placed[r["line"]] = r["name"]
+        assert [placed[j] for j in range(len(own))] == own and seen[-1]["line"] == len(own)
+
+
+def test_text_is_scanned_once(spark, files):
+    """Reads come from the table that the one scan of the text wrote."""
+    df = text.fastq(spark, [str(files / "one.fastq")])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "parquet" in plan
+
+
 def test_is_sorted(spark):
     df = spark.range(0, 1000, 1, 5)
     assert text.is_sorted(df, "id") and not text.is_sorted(df.selectExpr("-id as id"), "id") and text.is_sorted(df.limit(0), "id")
@@ -232,15 +291,58 @@ def test_kmers_against_brute_force(spark, monkeypatch, k):
     assert len(named) == len({w for _, s in rows for w in brute_kmers(s or "", k)})
 
 
-def test_buckets_in_blocks(spark, monkeypatch):
-    """A bucket of many rows meets block by block; its pairs stay the same, each once."""
+@pytest.mark.parametrize(("block", "most"), [(4, None), (4, 3), (4, 6), (1000, None)])
+def test_buckets_in_blocks(spark, block, most):
+    """Buckets of all sizes over many small batches, repeats among them; large ones meet part by part and each pair comes once."""
+    from readweave.operators import buckets
+
+    rng = random.Random(block)
+    sets = [sorted(rng.sample(range(60), n)) for n in (1, 2, 3, 4, 5, 7, 8, 9, 30, 41) for _ in range(3)]
+    sets += [sets[-1], sets[-1], sets[5], sets[5]]
+    rows = [(k % 3, k, r) for k, s in enumerate(sets) for r in s for _ in range(rng.choice([1, 1, 2]))]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        table = buckets.table(spark.createDataFrame(rows, "band int, k0 long, rid long"), ["band", "k0"], most, by_first=True, block=block)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    used = {k: s for k, s in enumerate(sets) if most is None or len(s) <= most}
+    made = [(r["k0"], r["a"], r["b"]) for r in buckets.all_pairs(table, ["band", "k0"]).collect()]
+    assert sorted(made) == sorted((k, *p) for k, s in used.items() for p in itertools.combinations(s, 2))
+    pairs = buckets.pairs(table, ["band", "k0"], {"n": F.count("*")}).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    assert {(r["a"], r["b"]): r["n"] for r in pairs} == Counter((a, b) for _, a, b in made)
+    lists = table.where(F.col("kind") == buckets.BUCKET).collect()
+    assert max((len(r["rids"]) for r in lists), default=0) <= block
+    for band, *c in buckets.counts(table).groupBy("band").agg(F.sum("c0"), F.sum("c1"), F.max("c2"), F.sum("c3")).collect():
+        own = [s for k, s in enumerate(sets) if k % 3 == band]
+        assert c == [sum(map(len, own)), len(own), max(map(len, own)), sum(len(s) * (len(s) - 1) // 2 for s in own if most is None or len(s) <= most)]
+
+
+def test_equal_buckets_make_their_pairs_once(spark):
+    """Copies meet in every band, but their rows are made once, also where a bucket is larger than a block."""
+    from readweave.operators import buckets
+
+    rows = [(k, r) for k in range(50) for r in range(20)] + [(99, 3), (99, 4)]
+    for block in (1000, 8):
+        table = buckets.table(spark.createDataFrame(rows, "kmer long, rid long"), ["kmer"], block=block)
+        assert buckets.pairs(table, ["kmer"], {}).count() == 190 + 1
+
+
+def test_one_sketch_and_one_shuffle_of_rows(spark):
+    """The plan that writes the buckets makes windows once and moves rows once."""
+    plans, reads = [], spark.createDataFrame(list(enumerate(READS)), "rid long, seq string")
     from readweave.operators import buckets
 
-    monkeypatch.setattr(buckets, "BLOCK", 4)
-    rows = [(7, r) for r in range(30)] + [(8, 1), (8, 2), (9, 5)]
-    df = spark.createDataFrame(rows, "kmer long, rid long")
-    made = [(r["kmer"], r["a"], r["b"]) for r in buckets.pairs(buckets.repeated(df, ["kmer"]), ["kmer"]).collect()]
-    assert sorted(made) == sorted([(7, *p) for p in itertools.combinations(range(30), 2)] + [(8, 1, 2)])
+    written = buckets.written
+    try:
+        buckets.written = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name)
+        lsh.candidates(reads, RunConfig(bands=5)).collect()
+        shared.shared_pairs(reads, 16).collect()
+    finally:
+        buckets.written = written
+    for plan in plans:
+        initial = plan.split("+- == Initial Plan ==")[-1]
+        assert initial.count("Exchange hashpartitioning") == 1 and initial.count("MapInArrow") == 2
 
 
 def test_no_windows_in_plans(reads):
@@ -296,11 +398,13 @@ def test_edge_cases_of_intervals(spark):
 
 
 def test_buckets_and_caps(spark):
+    from readweave.operators import buckets
+
     rows = [(k, 0, 1) for k in range(3)] + [(k, 0, 2) for k in range(3, 7)] + [(8, 0, 3), (9, 0, 3)]
     banded = spark.createDataFrame(rows, "rid long, band int, k0 long")
-    free, capped = RunConfig(bands=1, block=2), RunConfig(bands=1, block=2, max_bucket=3)
-    assert lsh.bucket_pairs(banded, free).count() == 3 + 6 + 1
-    assert got(lsh.bucket_pairs(banded, capped)) == {(0, 1), (0, 2), (1, 2), (8, 9)}
+    keys = ["band", "k0"]
+    assert buckets.all_pairs(buckets.table(banded, keys), keys).count() == 3 + 6 + 1
+    assert got(buckets.all_pairs(buckets.table(banded, keys, 3), keys)) == {(0, 1), (0, 2), (1, 2), (8, 9)}
 
 
 def test_band_statistics(spark):
@@ -352,7 +456,7 @@ def test_command_line(spark, files, tmp_path):
     assert {k: again[k] for k in ("both", "cand_only", "true_only")} == {k: out[k] for k in ("both", "cand_only", "true_only")}
     assert runs.main(["-t", "kmer", *fastq], spark)["pairs"] == 34
     counted = runs.main(["-t", "kmer", "-s", *fastq], spark)
-    assert counted["unique_pairs"] == 34 <= counted["total_pairs"] and set(counted["phases"]) == {"read_files", "all_pairs", "statistics"}
+    assert counted["unique_pairs"] == 34 <= counted["total_pairs"] and set(counted["phases"]) == {"read_files", "compute_hash", "sort_records", "pair_gen", "statistics"}
     listed = runs.main(["-t", "lengths", "-w", "30", "-O", str(tmp_path / "len"), *fastq], spark)
     assert listed["reads"] == 12 and listed["histogram"] == {90: 12}
     lines = [x for f in sorted((tmp_path / "len").glob("part-*")) for x in f.read_text().split()]
