@@ -265,13 +265,13 @@ def _sketches() -> str:
     once AS (SELECT rid, {_mixed("x", 29, kmers.FACTORS[0])} AS x FROM numbers),
     twice AS (SELECT rid, {_mixed("x", 32, kmers.FACTORS[1])} AS x FROM once),
     xs AS (SELECT rid, xor(x, x >> 29) >> 31 AS x FROM twice),
-    sigs AS (SELECT rid, [{least}] AS sig FROM xs GROUP BY 1)"""
+    sigs AS MATERIALIZED (SELECT rid, [{least}] AS sig FROM xs GROUP BY 1)"""
 
 
 def _banded() -> str:
     key = " || '-' || ".join(f"sig[band * {SKETCH.block} + {j + 1}]" for j in range(SKETCH.block))
     return f"""{_sketches()},
-    banded AS (SELECT rid, band, {key} AS key FROM sigs, unnest(range(0, {SKETCH.bands})) AS t(band)),
+    banded AS MATERIALIZED (SELECT rid, band, {key} AS key FROM sigs, unnest(range(0, {SKETCH.bands})) AS t(band)),
     sizes AS (SELECT band, key, count(*) AS n FROM banded GROUP BY 1, 2),
     met AS (
         SELECT l.band, l.key, l.rid AS a, r.rid AS b

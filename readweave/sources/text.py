@@ -325,9 +325,22 @@ def write_pairs(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(" ", "a", "b").alias("value")).write.text(path)
 
 
+#: Lines of a run that one row of a listing stands for, and of a file of it.
+RUN, FILE_LINES = 100_000, 5_000_000
+
+
 def write_lengths(df: DataFrame, path: str) -> None:
-    """One length a line, ascending over the files in order of their names."""
-    df.orderBy("len").select(F.col("len").cast("string").alias("value")).write.text(path)
+    """One length a line, ascending over the files in order of their names.
+
+    Sorted by counting: lengths are counted, and only (length, number) runs of bounded size are
+    put in order; each task writes out the lines of its runs.
+    """
+    counts = df.groupBy("len").agg(F.count("*").alias("n"))
+    runs = counts.select("len", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("run"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = 1 + total // FILE_LINES
+    lines = F.explode(F.array_repeat(F.col("len").cast("string"), F.expr(f"cast(least({RUN}, n - run * {RUN}) as int)")))
+    runs.repartitionByRange(files, "len", "run").sortWithinPartitions("len", "run").select(lines.alias("value")).write.text(path)
 
 
 def is_sorted(df: DataFrame, column: str) -> bool:

@@ -388,6 +388,41 @@ def test_intervals_of_all_lengths_against_brute_force(spark):
     assert got(intervals.overlap_pairs(df.limit(0), 20)) == set()
 
 
+@pytest.mark.parametrize("starts", ["one", "near", "wide"])
+def test_many_reads_at_one_locus(spark, starts):
+    """Crowded bins are dealt into blocks: results stay exact, and no place holds more than a few blocks' rows."""
+    rng = random.Random(starts)
+    spread = {"one": 1, "near": 40, "wide": 4000}[starts]
+    rows = [(k, 10_000 + rng.randrange(spread), rng.randrange(25, 35)) for k in range(700)] + [(k, rng.randrange(20_000), rng.choice([50, 9000])) for k in range(700, 760)]
+    want = set()
+    for u, up, ul in rows:
+        want |= {(min(u, v), max(u, v)) for v, vp, _ in rows if (up < vp or (up == vp and u < v)) and vp <= up + ul - 20}
+    df = spark.createDataFrame(rows, "rid long, rpos long, rlen long").repartition(3)
+    assert got(intervals.overlap_pairs(df, 20, block=50)) == want
+
+
+def test_places_of_a_crowded_bin_are_small(spark):
+    block, n = 100, 20_000
+    rows = spark.range(n).selectExpr("id", "pmod(id * 7919, 128) as pos")
+    first = rows.selectExpr("id as u", "pos as upos", "pos + 10 as reach", "7 as power", "0L as bin", f"{n}L as n")
+    for second in (rows.selectExpr("id as v", "pos as vpos", "7 as power", "0L as bin", f"{n}L as n"), rows.selectExpr("id as v", "5L as vpos", "7 as power", "0L as bin", f"{n}L as n")):
+        for side in intervals._dealt(first, second, block):
+            assert side.groupBy(*intervals.PLACE).count().agg(F.max("count")).first()[0] < 2 * block
+
+
+def test_listing_moves_no_single_reads(spark, tmp_path, monkeypatch):
+    """Runs of one length over several rows and files; the lines are those of a sort."""
+    monkeypatch.setattr(text, "RUN", 7)
+    monkeypatch.setattr(text, "FILE_LINES", 40)
+    values = [5] * 100 + [3] * 20 + list(range(30)) + [0] * 8
+    lengths_ = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "rid long, len long").repartition(3)
+    text.write_lengths(lengths_, str(tmp_path / "len"))
+    files_ = sorted((tmp_path / "len").glob("part-*"))
+    assert [int(x) for f in files_ for x in f.read_text().split()] == sorted(values) and len(files_) > 2
+    text.write_lengths(lengths_.limit(0), str(tmp_path / "none"))
+    assert not any(f.read_text() for f in (tmp_path / "none").glob("part-*"))
+
+
 def test_edge_cases_of_intervals(spark):
     df = spark.createDataFrame([(0, 0, 1000), (1, 10, 30), (2, 500, 30), (3, 900, 30)], "rid long, rpos long, rlen long")
     assert got(intervals.overlap_pairs(df, 20)) == {(0, 1), (0, 2), (0, 3)}
