@@ -16,9 +16,10 @@ sample also gives a floor: the score, for a query of length 1, that all but a sm
 share of its queries reach with all k neighbours. What scores less isn't brought together.
 Queries that meet too few rows above it are compared with all, so the floor loses nothing.
 
-Vectors move once a table, to the group of cells that agree in all rotations but
-the last; a query goes to the groups within its penalty. Groups with very many rows
-or queries are dealt in blocks, by their counted sizes, so no task has to hold all of a popular one.
+Vectors move once a table, to the group of cells that agree in the outer rotations: as few as
+leave groups of SPAN blocks, none for small tables. A query goes to the groups within its penalty, and there only to the cells
+that what is left of it reaches. Groups
+are dealt in blocks, by their counted sizes, so no task has to hold all of a popular one.
 Equal vectors are one entry with its smallest ids, as many as any answer can use, so
 copies cost nothing. Vectors that are null, empty, zero, or hold nulls or non-finite
 components take no part, nor do null ids. Vectors of each length are searched among
@@ -46,6 +47,9 @@ SAMPLE = 64
 FLOORED = 0.02
 #: Vectors of a cell, on average, at most; rows and queries of a group that meet in one task.
 ROWS, BLOCK, QUERY_BLOCK = 64, 8_000, 4_000
+#: Blocks of a group, on average, at most. A query's vector goes to each block of each group within its penalty: with few
+#: large groups that is fewer copies than with very many small ones.
+SPAN = 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -61,21 +65,24 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tables:
-    """``dimensions`` of the vectors, ``largest`` norm of all, ``lift``: norms differ; ``rotations`` in a table."""
+    """``dimensions`` of the vectors, ``largest`` norm of all, ``lift``: norms differ; ``rotations`` in a table, of which the first ``outer`` name a group."""
 
     dimensions: int
     largest: float
     lift: bool
     tables: int
     rotations: int = 1
+    outer: int = 0
     seed: int = 11
 
     def for_rows(self, rows: int) -> Tables:
-        """With cells of ROWS vectors on average, or fewer."""
-        rotations = 1
+        """With cells of ROWS vectors on average, or fewer, and groups of SPAN blocks, or fewer."""
+        rotations, outer = 1, 0
         while (2 * self.axes) ** rotations * ROWS < rows:
             rotations += 1
-        return dataclasses.replace(self, rotations=rotations)
+        while (2 * self.axes) ** outer * SPAN * BLOCK < rows:
+            outer += 1
+        return dataclasses.replace(self, rotations=max(rotations, outer + 1), outer=outer)
 
     @property
     def axes(self) -> int:
@@ -108,16 +115,26 @@ class Tables:
         return (y.max(axis=1, keepdims=True) - y) ** 2
 
     def filed(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's group (all rotations but the last, and the table) and its cell there."""
-        group = np.zeros(len(unit), np.int64)
-        for k in range(self.rotations - 1):
+        """Each vector's group (the outer rotations and the table) and its cell there: the axes of the other rotations as digits."""
+        group, cell = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
+        for k in range(self.outer):
             group = group * 2 * self.axes + self.nearest(unit, table, k)
-        return group * self.tables + table, self.nearest(unit, table, self.rotations - 1).astype(np.int32)
+        for k in range(self.outer, self.rotations):
+            cell = cell * 2 * self.axes + self.nearest(unit, table, k)
+        return group * self.tables + table, cell
+
+    def digits(self, cell: np.ndarray) -> list[np.ndarray]:
+        """The axes that a cell stands for, one for each rotation after the outer ones."""
+        out = []
+        for _ in range(self.outer, self.rotations):
+            cell, axis = np.divmod(cell, 2 * self.axes)
+            out.append(axis)
+        return out[::-1]
 
     def probed(self, unit: np.ndarray, table: int, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of ``unit``, group, what is left of the penalty ``most``) of all groups within it."""
         row, group, left = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.full(len(unit), most)
-        for k in range(self.rotations - 1):
+        for k in range(self.outer):
             cost = self.penalties(unit, table, k)
             rows, groups, rest = [], [], []
             for lo in range(0, len(row), 4096):
@@ -239,7 +256,7 @@ def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, floor: flo
         return run
 
     left = queries.select("entry", "v").mapInArrow(deal(True), f"group long, name long, more double, v {kind}")
-    right = index.select("entry", "v").mapInArrow(deal(False), f"group long, name long, more int, v {kind}")
+    right = index.select("entry", "v").mapInArrow(deal(False), f"group long, name long, more long, v {kind}")
     count = lambda rows, size, name: rows.groupBy("group").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     blocks = written(count(left, QUERY_BLOCK, "lefts").join(count(right, BLOCK, "rights"), "group"), "blocks")
     mine = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
@@ -252,16 +269,22 @@ def met(index: DataFrame, queries: DataFrame, t: Tables, most: float, floor: flo
         if q.num_rows and x.num_rows:
             table, cell = q["group"][0].as_py() % t.tables, x["more"].to_numpy()
             order = np.argsort(cell, kind="stable")
-            rows, names, edge = matrix(x["v"])[order], x["name"].to_numpy()[order], np.searchsorted(cell[order], np.arange(2 * t.axes + 1))
+            first, *others = t.digits(cell[order])
+            rows, names, edge = matrix(x["v"])[order], x["name"].to_numpy()[order], np.searchsorted(first, np.arange(2 * t.axes + 1))
             for lo in range(0, q.num_rows, 256):
                 part = q.slice(lo, 256)
                 asking = matrix(part["v"])
-                open_ = t.penalties(t.unit(asking, True), table, t.rotations - 1) <= part["more"].to_numpy()[:, None]
+                unit, left = t.unit(asking, True), part["more"].to_numpy()[:, None]
+                rest = left - t.penalties(unit, table, t.outer)
+                costs = [t.penalties(unit, table, k) for k in range(t.outer + 1, t.rotations)]
                 s = np.full((len(asking), len(rows)), -np.inf)
                 for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-                    who, own = np.flatnonzero(open_[:, c]), slice(edge[c], edge[c + 1])
+                    who, own = np.flatnonzero(rest[:, c] >= 0), slice(edge[c], edge[c + 1])
                     if len(who):
-                        s[who, own] = asking[who] @ rows[own].T
+                        met = asking[who] @ rows[own].T
+                        if costs:
+                            met[sum(cost[who][:, axis[own]] for cost, axis in zip(costs, others, strict=True)) > rest[who, c][:, None]] = -np.inf
+                        s[who, own] = met
                 s[s < floor * np.linalg.norm(asking, axis=1)[:, None]] = -np.inf
                 a, b = top(s, k + 1)
                 out.append((part["name"].to_numpy()[a], names[b], products(asking[a], rows[b])))

@@ -3,15 +3,19 @@
 The symbols of many pieces lie in one flat array. A round finds each neighbouring
 pair by binary search over the sorted pair keys of the vocabulary, takes the lowest
 rank of each piece, merges all its occurrences from the left, and drops the pieces
-that have no pair left. Results equal those of the tokenizers library for the same
+that have no pair left. Pieces of more than ``LONG_WORD`` bytes would need very many rounds over all their symbols:
+their pairs wait in a queue by rank, a round merges all places of the lowest rank in all of them, and only
+pairs beside a merge are looked up again. Results equal those of the tokenizers library for the same
 file with ``add_special_tokens=False``; special tokens in a text become their ids.
 
-Nulls count as empty texts, which have no ids. Rows are judged alone, so repeated
+Nulls count as empty texts, which have no ids. Very long texts are encoded whole, also where they are one long word; an empty
+table gives one. Rows are judged alone, so ties, repeated
 rows, other columns and their names don't matter; other columns are not carried.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,6 +32,8 @@ from readweave.llm import flat
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 NONE = np.int64(1 << 40)
+#: Bytes of a word from which on its pairs wait in a queue.
+LONG_WORD = 400
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,16 +70,79 @@ class Bpe:
         self.token_bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.table = flat.PieceTable(self.encode_pieces)
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; NONE where the vocabulary doesn't merge them."""
+        pair = left * self.size + right
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        return np.where(self.key[at] == pair, self.rank[at], NONE)
+
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and their words after all merges, in order. ``word`` is ascending."""
+        long = (np.bincount(word) > LONG_WORD)[word] if len(word) else np.zeros(0, bool)
+        if not long.any():
+            return self._merge_short(symbols, word)
+        parts = [self._merge_long(symbols[long], word[long]), self._merge_short(symbols[~long], word[~long])]
+        symbols, word = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(word, kind="stable")
+        return symbols[order], word[order]
+
+    def _merge_long(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long words: rank by rank over all of them. A merge gives rise to pairs of later ranks alone, so each word meets its ranks in order."""
+        n = len(symbols)
+        symbols, place = symbols.copy(), np.arange(n)
+        ends = np.r_[word[1:] != word[:-1], True]
+        after, before = np.where(ends, n, place + 1), np.where(np.r_[True, ends[:-1]], -1, place - 1)
+        rank = np.full(n, NONE)
+        inner = np.flatnonzero(~ends)
+        rank[inner] = self.ranks(symbols[inner], symbols[inner + 1])
+        live, waiting = np.ones(n, bool), {}
+
+        def wait(places: np.ndarray) -> list[int]:
+            """Put places into the queue; returns ranks that are new there."""
+            if not len(places):
+                return []
+            own = rank[places]
+            order = np.argsort(own, kind="stable")
+            places, own, fresh = places[order], own[order], []
+            edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+            for r, lo, hi in zip(own[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    fresh.append(r)
+                waiting[r].append(places[lo:hi])
+            return fresh
+
+        heap = wait(inner[rank[inner] < NONE])
+        heapq.heapify(heap)
+        while heap:
+            r = heapq.heappop(heap)
+            some = waiting.pop(r)
+            some = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+            some = some[rank[some] == r]
+            if not len(some):
+                continue
+            begins = np.r_[True, after[some[:-1]] != some[1:]]  # of a run of takes every second one
+            turn = np.arange(len(some))
+            some = some[(turn - np.maximum.accumulate(np.where(begins, turn, 0))) % 2 == 0]
+            gone = after[some]
+            symbols[some], live[gone], rank[gone] = self.merged[r], False, NONE
+            after[some] = beyond = after[gone]
+            before[beyond[beyond < n]] = some[beyond < n]
+            left = before[some]
+            beside = np.unique(np.concatenate([some, left[left >= 0]]))
+            right = after[beside]
+            rank[beside] = np.where(right < n, self.ranks(symbols[beside], symbols[np.minimum(right, n - 1)]), NONE)
+            for fresh in wait(beside[rank[beside] < NONE]):
+                heapq.heappush(heap, fresh)
+        return symbols[live], word[live]
+
+    def _merge_short(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             rank = np.full(len(symbols), NONE)  # of the pair that starts here
-            pair = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-            known = (self.key[at] == pair) & (word[1:] == word[:-1])
-            rank[:-1][known] = self.rank[at[known]]
+            same = np.flatnonzero(word[1:] == word[:-1])
+            rank[same] = self.ranks(symbols[same], symbols[same + 1])
             lowest = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.r_[head, len(symbols)]))
             over = lowest == NONE
             if over.any():

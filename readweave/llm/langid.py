@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -150,24 +151,22 @@ def fit(
     return model
 
 
-def train(
-    df: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    key: str = "doc_id",
-    per_language: int = 600,
-    sample_rows: int = 120_000
-) -> Model | None:
-    """Fit on ``per_language`` rows of each language, those with the least hashes of their keys; with very many languages on fewer of each.
+#: Distinct buckets of subwords of a sampled text that count at most: those that occur most.
+ENTRIES = 4096
 
-    The sample has ``sample_rows`` rows at most (and one of each language), however many there are; only
-    counts of subwords reach the driver. It is put in the order of the hashes, so the same
-    rows give the same model however they are partitioned. Rows of one key are taken in the order of their subwords.
+
+def sample(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, sample_entries: int = 12_000_000) -> pd.DataFrame:
+    """(lang, h, ids, n): labelled rows to learn from, with the buckets of their subwords and how often each occurs.
+
+    ``per_language`` rows of each language, those with the least hashes of their keys; with very many languages fewer of
+    each, at least one: their buckets come to ``sample_entries`` at most (8 bytes each on the driver), or to ENTRIES a language if
+    that is more. It is put in the order of the hashes, so the same rows give the same model however they
+    are partitioned. Rows of one key are taken in the order of their subwords.
     """
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"), F.col(key).alias("key"))
     rows = rows.where("lang is not null and text is not null and key is not null").drop("key")
     sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    quota = max(1, min(per_language, sample_rows // max(sizes.count(), 1)))
+    quota, languages = per_language, max(sizes.count(), 1)
     # a hash threshold that several times the quota pass, so that ranks are taken of few rows
     part = F.pmod(F.col("h"), F.lit(1 << 40)) < F.least(F.lit(1.0), (4 * quota + 32) / F.col("n")) * (1 << 40)
 
@@ -175,7 +174,7 @@ def train(
         for batch in batches:
             for lo, hi, buf, at in flat.windows(batch.column(2)):
                 ids, counts = buckets(buf, at)
-                parts = [np.unique(x, return_counts=True) for x in np.split(ids, np.cumsum(counts)[:-1])]
+                parts = [commonest(*np.unique(x, return_counts=True)) for x in np.split(ids, np.cumsum(counts)[:-1])]
                 n = np.array([len(p[0]) for p in parts])
                 first = [batch.column(k).slice(lo, hi - lo) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(
@@ -189,12 +188,30 @@ def train(
 
     chosen = rows.join(sizes, "lang").where(part).select("lang", "h", "text").mapInArrow(run, "lang string, h long, ids binary, n binary")
     order = ["h", "ids", "n"]
-    ranked = chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= quota)
-    got = ranked.drop("r").toPandas().sort_values(["lang", *order], kind="stable")
+    within = Window.partitionBy("lang").orderBy(*order)
+    size = F.octet_length("ids") / 4
+    ranked = chosen.withColumns({"r": F.row_number().over(within), "so_far": F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    share = sample_entries / languages
+    got = ranked.where(F.col("r") <= quota).where((F.col("r") == 1) | (F.col("so_far") <= share)).drop("r", "so_far")
+    got = got.toPandas().sort_values(["lang", *order], kind="stable")
     remove(sizes)
+    return got
+
+
+def commonest(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ENTRIES ids at most, those that occur most, in ascending order."""
+    if len(ids) > ENTRIES:
+        kept = np.sort(np.argsort(-n, kind="stable")[:ENTRIES])
+        ids, n = ids[kept], n[kept]
+    return ids, n
+
+
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, sample_entries: int = 12_000_000) -> Model | None:
+    """Fit on a ``sample``: bounded however many rows and languages there are. None if there is nothing to learn from."""
+    got = sample(df, text, lang, key, per_language, sample_entries)
     if not len(got):
         return None
-    samples = [(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32).astype(np.float64)) for a, b in zip(got["ids"], got["n"], strict=True)]
+    samples = [(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(got["ids"], got["n"], strict=True)]
     return fit(samples, got["lang"].tolist())
 
 

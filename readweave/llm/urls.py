@@ -1,13 +1,14 @@
 """URL filter: rules on hosts and paths, and logistic regression for all other URLs.
 
 The classifier works on hashed character n-grams of host and path and is trained on
-the driver from the small table of labelled URLs that ``labelled`` makes. Rules stand above it: a rule
+the driver from the small table of labelled URLs in ``urltable``. Rules stand above it: a rule
 fits its host and all subdomains if the URL's path starts with the rule's, and the
 longest wins.
 
 A null URL, and one without ``://``, has an empty host and path, fits no rule and is
-allowed with score 0 (it has no n-gram). Rows are judged
-alone, so ties, repeated rows and other columns don't matter.
+allowed with score 0 (it has no n-gram). Very long URLs are judged whole; an empty table gives one. Rows are judged
+alone, so ties, repeated rows and other columns don't matter: only ``keep`` columns are carried, which mustn't bear the
+names of results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readweave.llm import flat
+from readweave.llm import flat, urltable
 
 BUCKETS, N = 1 << 16, (3, 4, 5)
 
@@ -39,54 +40,6 @@ class Rule:
 #: The rules of the corpus.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-#: Words of hosts to block, and of hosts to allow.
-BAD = """
-casino poker slots jackpot roulette bets betting gambling lottery bingo viagra cialis pills pharmacy meds xanax dieting steroids
-adult porn xxx sex nude cams escort milf fetish erotic warez crack keygen torrent cracked serials spam ads adserver popup track
-tracker clickbait malware phishing trojan payday loans replica backlinks linkfarm doorway cashing ponzi hookup
-""".split()
-GOOD = """
-garden recipes history museum library school college physics biology chemistry weather travel hiking cycling football chess
-music orchestra theatre cinema painting poetry novels science research journal archive gazette herald tribune courier daily
-health clinic hospital nursing parents children teachers students campus village harbour mountain river forest island valley
-bakery coffee kitchen furniture carpenter printing software hardware network database server compiler algorithm robotics
-parking council election parliament ministry embassy transport railway airport shipping insurance banking accounting market
-farming orchard vineyard fishing animals birds horses kittens puppies aquarium astronomy geology climate energy solar
-""".split()
-PREFIXES = ("", "www.", "m.", "blog.", "news.")
-SUFFIXES = (".com", ".org", ".net", ".info", ".example.com", ".example.org", ".example.net", ".example")
-PATHS = ("", "/", "/en/4821.html", "/fr/77/", "/de/1930", "/es/512", "/2021/05/first-post", "/index.php", "/about", "/category/new", "/a/b/c.htm")
-#: Syllables of made-up names.
-ONSETS = "b c d f g h j k l m n p r s t v w z th st sh ch br tr gr pl".split()
-RIMES = "a e i o u an er in on ar es is at el or ing ent ea ou ion".split()
-
-
-def made_up(count: int) -> list[str]:
-    """Names of two and three syllables: what is unknown is to be allowed."""
-    syllable = lambda k: ONSETS[k % len(ONSETS)] + RIMES[k // 3 % len(RIMES)]
-    return ["".join(syllable(k * by + by) for by in (1, 7, 11)[: 2 + k % 2]) for k in range(count)]
-
-
-def labelled() -> list[tuple[str, str, int]]:
-    """The table of labelled URLs: host, path and 1 to block or 0 to allow.
-
-    Hosts are one or two words. Prefixes, suffixes and paths go round in the same order under
-    both labels, so that words alone tell them apart; most hosts are to be allowed.
-    """
-    pair = lambda words, k, by: f"{words[k % len(words)]}-{words[(k + by) % len(words)]}"
-    block = [
-        pair(BAD, k, by) for by in (3, 7, 13) for k in range(len(BAD))
-    ] + BAD + [f"{GOOD[k]}{w}" for k, w in enumerate(BAD)] + [f"{w}-{GOOD[k + 9]}" for k, w in enumerate(BAD)]
-    allow = [
-        pair(GOOD, k, by) for by in (5, 11, 17) for k in range(len(GOOD))
-    ] + GOOD + [f"{w}{GOOD[(k + 19) % len(GOOD)]}" for k, w in enumerate(GOOD)] + made_up(3 * len(GOOD))
-    rows = []
-    for label, names in ((1, block), (0, allow)):
-        for k, name in enumerate(names[: len(names) // len(SUFFIXES) * len(SUFFIXES)]):
-            rows.append((PREFIXES[k // len(SUFFIXES) % len(PREFIXES)] + name + SUFFIXES[k % len(SUFFIXES)], PATHS[k % len(PATHS)], label))
-    return rows
-
-
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
@@ -136,15 +89,18 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def logits(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        row, ids, value = features(hosts, paths)
+        return np.bincount(row, weights=self.weights[ids] * value, minlength=len(hosts)) + self.bias
+
     def score(self, hosts: list[str], paths: list[str]) -> np.ndarray:
         """Chance that each is to be blocked; 0 where host and path are empty."""
-        row, ids, value = features(hosts, paths)
-        z = np.bincount(row, weights=self.weights[ids] * value, minlength=len(hosts)) + self.bias
+        z = self.logits(hosts, paths)
         some = np.array([bool(h or p) for h, p in zip(hosts, paths, strict=True)], bool)
         return np.where(some, 1 / (1 + np.exp(-z)), 0.0)
 
 
-def fit(rows: list[tuple[str, str, int]], epochs: int = 200, rate: float = 30.0, decay: float = 1e-4) -> Model:
+def fit(rows: list[tuple[str, str, int]], epochs: int = 150, rate: float = 60.0, decay: float = 3e-5) -> Model:
     """Logistic regression by gradient descent over all rows (host, path, label)."""
     row, ids, value = features([r[0] for r in rows], [r[1] for r in rows])
     y = np.array([label for *_, label in rows], np.float64)
@@ -157,16 +113,18 @@ def fit(rows: list[tuple[str, str, int]], epochs: int = 200, rate: float = 30.0,
     return Model(w, bias)
 
 
-def train(rows: list[tuple[str, str, int]], folds: int = 4) -> Model:
-    """``fit`` on all rows, with the bias moved so that a chance of a half is where rows kept back are told apart best (largest share blocked rightly less share blocked wrongly)."""
-    model, y = fit(rows), np.array([label for *_, label in rows], np.float64)
+def train(rows: list[tuple[str, str, int]], folds: int = 4, harm: float = 1.5) -> Model:
+    """``fit`` on all rows and their like, with the bias moved so that a chance of a half is where rows kept back are told apart best.
+
+    That is where the share blocked rightly less ``harm`` times the share blocked wrongly is largest.
+    """
+    model, y = fit(urltable.varied(rows)), np.array([label for *_, label in rows], np.float64)
     z = np.zeros(len(rows))
     for k in range(folds):
         kept = rows[k::folds]
-        p = fit([r for i, r in enumerate(rows) if i % folds != k]).score([r[0] for r in kept], [r[1] for r in kept])
-        z[k::folds] = np.log(p / (1 - p))
+        z[k::folds] = fit(urltable.varied([r for i, r in enumerate(rows) if i % folds != k])).logits([r[0] for r in kept], [r[1] for r in kept])
     order = np.argsort(z, kind="stable")
-    gain = np.cumsum((1 - y[order]) / max((y == 0).sum(), 1) - y[order] / max((y == 1).sum(), 1))  # of a bar above each
+    gain = np.cumsum(harm * (1 - y[order]) / max((y == 0).sum(), 1) - y[order] / max((y == 1).sum(), 1))  # of a bar above each
     k = int(gain[:-1].argmax())
     model.bias -= float(z[order[k]] + z[order[k + 1]]) / 2
     return model
@@ -174,7 +132,7 @@ def train(rows: list[tuple[str, str, int]], folds: int = 4) -> Model:
 
 def judge(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple[Rule, ...] = RULES, bar: float = 0.5) -> DataFrame:
     """``keep`` columns, host, path, rule, verdict and score (the classifier's chance of block)."""
-    model = df.sparkSession.sparkContext.broadcast(train(labelled()))
+    model = df.sparkSession.sparkContext.broadcast(train(urltable.rows()))
     host, path = parts(F.col(url))
     cut = df.select(*(F.col(k).alias(f"c{i}") for i, k in enumerate(keep)), host.alias("host"), path.alias("path"))
 

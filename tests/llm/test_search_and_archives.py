@@ -1,5 +1,6 @@
 """Nearest neighbours against brute force, archives against what was written, the pipeline's stages."""
 
+import dataclasses
 import hashlib
 import importlib
 import struct
@@ -69,13 +70,15 @@ def test_each_length_among_its_own(spark):
     assert got == {0: [(-0.5, 1), (-0.5, 21), (0.0, 2), (0.0, 20)], 20: [(-0.5, 21), (0.0, 0)]}
 
 
-def test_cells_grow_with_the_rows():
+@pytest.mark.parametrize("outer", [0, 1])
+def test_cells_grow_with_the_rows(outer):
     """Of rows without any structure ever fewer are scored for one recall, and large tables have more cells."""
     rng, share = np.random.default_rng(4), []
     for n in (2000, 50_000):
         x = rng.normal(size=(n, 64))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         t = ann.Tables(64, 1.0, False, 8).for_rows(n)
+        t = dataclasses.replace(t, outer=min(outer, t.rotations - 1))
         q, unit = t.unit(x[:40], True), t.unit(x, False)
         s = x[:40] @ x.T
         s[np.arange(40), np.arange(40)] = -9
@@ -87,19 +90,33 @@ def test_cells_grow_with_the_rows():
             row, group, left = t.probed(q, table, most)
             filed, cell = t.filed(unit, table)
             rest = {(a, b): c for a, b, c in zip(row.tolist(), group.tolist(), left.tolist(), strict=True)}
-            last = t.penalties(q, table, t.rotations - 1)
-            met = np.array(
-                [
-                    [
-                        last[a, c] <= rest.get((a, g), -1) + 1e-12 for g,
-                        c in zip(filed[:300].tolist(), cell[:300].tolist(), strict=True)
-                    ] for a in range(40)
-                ]
-            )
+            digits = t.digits(cell[:300])
+            last = sum(t.penalties(q, table, t.outer + k)[:, d] for k, d in enumerate(digits))
+            met = np.array([[last[a, j] <= rest.get((a, g), -1) + 1e-12 for j, g in enumerate(filed[:300].tolist())] for a in range(40)])
             assert (met == (cost[table][:, :300] <= most + 1e-12)).all()
     assert share[1] < 0.35 < share[0] < 1
 
 
+def test_copies_of_a_query_at_a_million_rows():
+    """Of rows without any structure, with the penalty that finds 0.95 of the neighbours: to how many blocks a query goes."""
+    rng, n = np.random.default_rng(6), 1_000_000
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = ann.Tables(64, 1.0, False, 8).for_rows(n)
+    s = x[:20] @ x.T
+    s[np.arange(20), np.arange(20)] = -9
+    near = np.argpartition(-s, 20, axis=1)[:, :20]
+    q = t.unit(x[:20].astype(np.float64), True)
+    unit = t.unit(x[near.ravel()].astype(np.float64), False)
+    row = np.repeat(np.arange(20), 20)
+    cost = [sum(t.penalties(q, i, r)[row, t.nearest(unit, i, r)] for r in range(t.rotations)) for i in range(t.tables)]
+    most = np.quantile(np.min(cost, axis=0), 0.95)
+    groups = sum(len(t.probed(q, i, most)[0]) for i in range(t.tables)) / 20
+    blocks = np.ceil(n / (2 * t.axes) ** t.outer / ann.BLOCK)
+    assert groups * blocks < 300
+    assert all(ann.Tables(64, 1.0, False, 8).for_rows(m).outer == k for m, k in [(200_000, 0), (30_000_000, 1), (3_000_000_000, 2)])
+
+
 def test_recall_of_the_registered_query(spark):
     d = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
@@ -111,7 +128,7 @@ def test_recall_of_the_registered_query(spark):
         s = x @ x[k]
         s[k] = -9
         hits.append(len(got[ids[k]] & set(ids[np.argsort(-s)[:20]].tolist())))
-    assert np.mean(hits) / 20 >= 0.93
+    assert np.mean(hits) / 20 >= 0.95
 
 
 def pages(spark, rows):

@@ -1,6 +1,8 @@
 """BPE, token files and packing against the tokenizers library."""
 
 import hashlib
+import random
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -56,6 +58,22 @@ def test_random_texts(library):
     assert got == [e.ids for e in library[BYTES].encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_words_of_mixed_letters(library):
+    """Words whose pairs wait in a queue, alone and beside short ones; a million letters end soon."""
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    texts = [word("abcdefghijklmnopqrstuvwxyz", n) for n in (399, 400, 401, 20_000)]
+    texts += ["ab" * 900 + "a" * 501 + "aab" * 300, word("aé中ñ", 3000), f"{word('etaoin', 2000)} and {word('xyz', 700)}, 'tis", word("0123456789", 1200) + "!" * 900]
+    model = bpe.Bpe(open(BYTES, encoding="utf-8").read())
+    data = [t.encode() for t in texts]
+    ids, n = model.encode(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library[BYTES].encode(t, add_special_tokens=False).ids for t in texts]
+    long = word("abcdefghijklmnopqrstuvwxyz", 1_000_000)
+    began = time.perf_counter()
+    ids, _ = model.encode(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
+    assert time.perf_counter() - began < 20 and ids.tolist() == library[BYTES].encode(long, add_special_tokens=False).ids
+
+
 def thue_morse(n):
     """Two words of n letters that polynomial hashes modulo a power of two can't tell apart."""
     x = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
