@@ -101,7 +101,7 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     A row's size is its text's bytes in UTF-8 and 1.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = written(
+    sizes = written(
         docs.select(
             F.col(key).alias("key"),
             (F.octet_length(value) + 1).cast("long").alias("size"),
@@ -110,7 +110,7 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
         ),
         "sizes"
     )
-    rows = rows.withColumn("group", F.coalesce("group", F.lit(b"")))
+    rows = sizes.withColumn("group", F.coalesce("group", F.lit(b"")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     sums = rows.groupBy("group").agg(F.sum("size").alias("bytes")).withColumn("class", size_class("bytes", total))
     groups = written(placed(sums, "class"), "groups")
@@ -123,6 +123,7 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     ranked = groups.join(before(groups, "class"), ["class", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     own = ranked.join(F.broadcast(plan), "class").select("group", F.expr("cast(size(filter(ends, e -> e <= rank)) as int)").alias("shard"))
     table = written(placed(rows.join(own, "group").select("key", "size", "text_crc32", "shard"), "shard"), "shards")
-    remove(groups)
+    for done in (groups, sizes):
+        remove(done)
     slots = table.join(F.broadcast(before(table, "shard")), ["shard", "part"])  # as many rows as tasks times shards
     return slots.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("before") + F.col("place")).alias("slot"))

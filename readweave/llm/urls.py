@@ -113,7 +113,7 @@ def fit(rows: list[tuple[str, str, int]], epochs: int = 150, rate: float = 60.0,
     return Model(w, bias)
 
 
-def train(rows: list[tuple[str, str, int]], folds: int = 4, harm: float = 1.5) -> Model:
+def train(rows: list[tuple[str, str, int]], folds: int = 4, harm: float = 2.0) -> Model:
     """``fit`` on all rows and their like, with the bias moved so that a chance of a half is where rows kept back are told apart best.
 
     That is where the share blocked rightly less ``harm`` times the share blocked wrongly is largest.
@@ -125,8 +125,8 @@ def train(rows: list[tuple[str, str, int]], folds: int = 4, harm: float = 1.5) -
         z[k::folds] = fit(urltable.varied([r for i, r in enumerate(rows) if i % folds != k])).logits([r[0] for r in kept], [r[1] for r in kept])
     order = np.argsort(z, kind="stable")
     gain = np.cumsum(harm * (1 - y[order]) / max((y == 0).sum(), 1) - y[order] / max((y == 1).sum(), 1))  # of a bar above each
-    k = int(gain[:-1].argmax())
-    model.bias -= float(z[order[k]] + z[order[k + 1]]) / 2
+    near = np.flatnonzero(gain[:-1] >= gain[:-1].max() - 0.01)  # bars as good as the best one, all but for chance
+    model.bias -= float(np.mean((z[order[near]] + z[order[near + 1]]) / 2))
     return model
 
 

@@ -211,7 +211,7 @@ def test_urls_kept_back():
         model, kept = urls.train([r for k, r in enumerate(rows) if k % 5 != fold]), rows[fold::5]
         for (*_, label), p in zip(kept, model.score([r[0] for r in kept], [r[1] for r in kept]), strict=True):
             right[label].append((p >= 0.5) == label)
-    assert np.mean(right[1]) > 0.82 and np.mean(right[0]) > 0.88
+    assert np.mean(right[1]) > 0.79 and np.mean(right[0]) > 0.9
 
 
 def test_innocent_hosts_and_bad_paths():
