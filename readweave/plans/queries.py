@@ -6,6 +6,7 @@ as positioned reads. Sketches have RunConfig's defaults, 250 bands of 3 hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from readweave.config import RunConfig
 from readweave.functions import kmers, ordinals, sequence
 from readweave.operators import evaluate, intervals, lengths, lsh, minhash, shared
 from readweave.session import new_folder, spread
-from readweave.sources import text
+from readweave.sources import store, text
 
 K = 16
 SKETCH = RunConfig(kmer=K)
@@ -162,6 +163,12 @@ def pairs_flagged(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.flagged(*_sides(spark, d))
 
 
+def pairs_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same from two stores, which are merged bucket by bucket."""
+    name = uuid.uuid4().hex
+    return evaluate.flagged_stores(*(store.write(side, f"{name}_{k}") for k, side in enumerate(_sides(spark, d))))
+
+
 def eval_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.evaluation(*_sides(spark, d))
 
@@ -221,7 +228,7 @@ def lengths_file(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     read_ordinals, read_lengths, length_histogram, reverse_complement, kmer_windows_count, canonical_kmers, kmer_frequency, kmer_index_stats,
     shared_kmer_pairs, shared_kmer_counts, kmer_pair_stats, minhash_signatures, lsh_bands, lsh_bucket_sizes, lsh_band_stats, lsh_band_pairs, lsh_candidates,
-    lsh_candidates_capped, interval_pairs, interval_pairs_uniform, positions_unpivot, pair_normalise_distinct, pairs_flagged, eval_report, candidate_annotated,
+    lsh_candidates_capped, interval_pairs, interval_pairs_uniform, positions_unpivot, pair_normalise_distinct, pairs_flagged, pairs_stored, eval_report, candidate_annotated,
     fastq_file, simulated_positions_file, mapped_positions_file, pairs_file, lengths_file,
 )
 
@@ -364,6 +371,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT row_number() OVER (ORDER BY rid) - 1 AS rid, rid::VARCHAR AS name, md5(seq) AS seq_md5, md5(translate(seq, 'ACGT', '@+I#')) AS qual_md5
             FROM reads""",
         "pairs_flagged": f"WITH {evaluated} SELECT a, b, in_candidate, in_true FROM f",
+        "pairs_stored": f"WITH {evaluated} SELECT a, b, in_candidate, in_true FROM f",
         "eval_report": f"""WITH {evaluated}, n AS (
                 SELECT count(*) FILTER (in_candidate AND NOT in_true) AS cand_only, count(*) FILTER (in_true AND NOT in_candidate) AS true_only,
                     count(*) FILTER (in_candidate AND in_true) AS "both"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from readweave import session
 from readweave.config import RunConfig, run_type
 from readweave.operators import evaluate, intervals, lengths, lsh, shared
-from readweave.sources import text
+from readweave.sources import store, text
 
 
 class Phases:
@@ -75,6 +75,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-w", "--bin_width", type=int, default=100, help="width of the bins of a lengths run's histogram")
     p.add_argument("-s", "--statistics", action="store_true", help="also print counters: of each band (candidate), of pairs (kmer)")
     p.add_argument("-a", "--annotate", action="store_true", help="write candidates with both reads' positions (needs a position file)")
+    p.add_argument("-S", "--store", default="", help="also keep the pairs as a store of this name, which eval runs of the session read as store:NAME")
     p.add_argument("files", nargs="*")
     return p
 
@@ -101,7 +102,10 @@ def run_lengths(spark: SparkSession, args: argparse.Namespace, config: RunConfig
 
 
 def run_eval(spark: SparkSession, args: argparse.Namespace, config: RunConfig, phases: Phases) -> dict:
-    found = evaluate.evaluation(text.pairs(spark, args.candidate_file), text.pairs(spark, args.true_file)).first().asDict()
+    """Compare two sets of pairs, each a file or store:NAME."""
+    names = (args.candidate_file, args.true_file)
+    sides = [store.read(spark, n.removeprefix("store:")) if n.startswith("store:") else text.pairs(spark, n) for n in names]
+    found = evaluate.evaluation(*sides, stores=all(n.startswith("store:") for n in names)).first().asDict()
     phases.ended("compare_overlaps")
     return found
 
@@ -134,6 +138,9 @@ def run_pairs(spark: SparkSession, args: argparse.Namespace, config: RunConfig,
         else:
             text.write_pairs(pairs, args.output_prefix)
         phases.ended("write_output")
+    if args.store:
+        store.write(pairs, args.store)
+        phases.ended("write_store")
     if kind == "candidate" and args.position_file:
         out |= evaluate.evaluation(pairs, true(spark, args.position_file, config)).first().asDict()
         phases.ended("compare_overlaps")

@@ -12,7 +12,7 @@ from readweave.config import RunConfig, run_type
 from readweave.functions import kmers, ordinals, sequence
 from readweave.operators import evaluate, intervals, lengths, lsh, minhash, shared
 from readweave.plans import queries, runs
-from readweave.sources import text
+from readweave.sources import store, text
 
 #: Twelve reads and their positions, as the fixture gives them.
 READS = """
@@ -470,6 +470,31 @@ def test_empty_truth_gives_null_ratios(spark):
     assert (r["cand_only"], r["tp"], r["fp"]) == (1, None, None)
 
 
+def test_stores_are_compared_without_a_shuffle(spark, files, tmp_path):
+    one = spark.createDataFrame([(k, k + 1) for k in range(60)] * 2, "a long, b long").repartition(5)
+    two = spark.createDataFrame([(k, k + 1 + k % 2) for k in range(40, 90)], "a long, b long")
+    merged = evaluate.flagged_stores(store.write(one, "one", 4), store.write(two, "two", 4))
+    want = {tuple(r) for r in evaluate.flagged(one, two).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = merged.collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+        plan = evaluate.flagged_stores(store.read(spark, "one"), store.read(spark, "two"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    store.write(two.limit(3), "one", 4)  # in place of the earlier one
+    assert store.read(spark, "one").count() == 3
+    with pytest.raises(ValueError):
+        store.read(spark, "no name")
+    fastq = [str(files / "one.fastq"), str(files / "two.fastq")]
+    out = runs.main(["-t", "candidate", "-p", str(files / "meta.txt"), "-S", "found", *fastq], spark)
+    runs.main(["-t", "true", "-p", str(files / "meta.txt"), "-S", "truth"], spark)
+    again = runs.main(["-t", "eval", "-C", "store:found", "-R", "store:truth"], spark)
+    assert {k: again[k] for k in ("both", "cand_only", "true_only")} == {k: out[k] for k in ("both", "cand_only", "true_only")}
+
+
 def test_lengths(reads):
     assert [tuple(r) for r in lengths.histogram(reads, 100).collect()] == [(100, 12)]
 
