@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from readweave.llm import flat, urltable
 
 BUCKETS, N = 1 << 16, (3, 4, 5)
+#: In paths all digits are alike: numbers of pages tell nothing.
+DIGITS = str.maketrans("123456789", "000000000")
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray
     out = []
     for mark, texts in (
         (0, [f"^{h}$".encode() if h else b"" for h in hosts]),
-        (BUCKETS // 2, [p.lower().encode() + b"$" if p else b"" for p in paths])
+        (BUCKETS // 2, [p.lower().translate(DIGITS).encode() + b"$" if p else b"" for p in paths])
     ):
         ids, n = grams(texts)
         out.append((np.repeat(np.arange(len(texts)), n), ids ^ mark, np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)))

@@ -66,7 +66,7 @@ bakeryonmain.com/ www.coffeeroasters.net/ teahouse.org/ furnituremakers.info/ ca
 #: Beginnings and ends of hosts, and paths, that tell nothing.
 PREFIXES = ("", "www.", "m.", "blog.", "news.", "online.")
 SUFFIXES = (".com", ".org", ".net", ".info", ".example.com", ".example.org", ".example.net", ".example")
-PATHS = ("/", "/en/4821.html", "/fr/77/", "/de/1930", "/es/512", "/2021/05/first-post", "/index.php", "/about", "")
+PATHS = ("/", "/en/{}.html", "/fr/{}/", "/de/{}", "/es/{}.html", "/2021/05/first-post", "/index.php", "/about", "", "/en/{}", "/de/{}/", "/es/{}")
 
 
 def varied(rows: list[tuple[str, str, int]], times: int = 4) -> list[tuple[str, str, int]]:
@@ -80,7 +80,7 @@ def varied(rows: list[tuple[str, str, int]], times: int = 4) -> list[tuple[str,
             name = next((host.removeprefix(p) for p in PREFIXES[1:] if host.startswith(p)), host)
             name = name.removesuffix(max((s for s in SUFFIXES if name.endswith(s)), key=len, default=""))
             for i in range(times):
-                other = PATHS[(k + i) % len(PATHS)] if path == "/" else path
+                other = PATHS[(k + i) % len(PATHS)].format((k + 1) * (i + 3) * 7919 % 99_991) if path == "/" else path
                 out.append((PREFIXES[(k + i) % len(PREFIXES)] + name + SUFFIXES[(k // 2 + i) % len(SUFFIXES)], other, label))
     return out
 

@@ -241,7 +241,7 @@ def test_urls_against_plain_python():
     model = urls.train(urltable.rows())
     host, path = "www.Some-host.org".lower(), "/En/12é"
     z = model.bias
-    for mark, text in ((0, f"^{host}$"), (urls.BUCKETS // 2, path.lower() + "$")):
+    for mark, text in ((0, f"^{host}$"), (urls.BUCKETS // 2, path.lower().replace("12", "00") + "$")):
         data = text.encode()
         grams = [data[k : k + n] for n in urls.N for k in range(len(data) - n + 1)]
         z += sum(model.weights[one_hash(g) % urls.BUCKETS ^ mark] for g in grams) / math.sqrt(len(grams))
