@@ -1,8 +1,9 @@
 """WARC archives under Zstandard: written and read through Spark's own file sources.
 
 An archive begins with a skippable frame that holds the dictionary; each record is
-one frame. Frames are made before anything is shuffled; which records are revisits
-is found from keys and digests alone and joined to the compressed frames by key. Spark's text sink writes each archive as one row, its line separator being
+one frame. Which records are revisits is found from keys and digests alone. A filter of
+their keys, a bitmap of bounded size, is broadcast: pages that it rules out go into
+archives where they are, only the others' frames are shuffled, to be joined with the revisits by key. Spark's text sink writes each archive as one row, its line separator being
 an empty skippable frame, which every Zstandard reader passes over; its binary source
 reads whole archives, of ``archive_bytes`` at most (a larger record has one of its
 own), however much a partition holds. The reader finds each frame's end from its block headers, decodes it with the
@@ -35,6 +36,8 @@ DICTIONARY, SKIPPABLE, FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SEPARATOR = struct.pack("<II", SKIPPABLE, 0)
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 100, 64 << 10, 32 << 10
 ARCHIVE_BYTES = 64 << 20
+#: Bits of the filter of revisits' keys: 16 MiB.
+CELLS = 1 << 27
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = 0x52574541 << 96  # the upper half of our record ids
@@ -140,6 +143,21 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:-4]
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, cells: int = CELLS) -> DataFrame:
+    """``rows`` with a column maybe: false where ``key`` is surely none of ``keys``.
+
+    Keys are hashed to the bits of a bitmap that is broadcast: ``cells`` bits at most, however many keys there are. The
+    more bits are set, the more rows are true by chance.
+    """
+    cell = F.pmod(F.xxhash64("key"), F.lit(cells)) + 1
+    at = {"bucket": F.bitmap_bucket_number(cell), "bit": F.bitmap_bit_position(cell)}
+    bits = keys.where("key is not null").select("key").withColumns(at).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1
+    own = rows.withColumns({k: F.when(F.col("key").isNotNull(), v) for k, v in at.items()})
+    return own.join(F.broadcast(bits), "bucket", "left").withColumn("maybe", F.coalesce(found, F.lit(False))).drop("bucket", "bit", "bits")
+
+
 def write(
     df: DataFrame,
     folder: str,
@@ -179,24 +197,15 @@ def write(
                 ]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(made, pa.binary())], ["key", "url", "size", "digest", "serial", "frame"])
 
-    made = rows.select(
-        "key",
-        "url",
-        "body",
-        "size",
-        "digest",
-        F.monotonically_increasing_id().alias("serial")
-    ).mapInArrow(frames_of, "key long, url string, size long, digest string, serial long, frame binary")
-    # rows without a key are dealt by their own numbers and match nothing
-    made = made.withColumns({"own": F.coalesce("key", "serial"), "whole": F.when(F.col("key").isNull(), "").otherwise(F.col("digest"))})
-    made = made.join(again, ["own", "whole", "size"], "left").select(
-        "key",
-        "url",
-        "size",
-        "digest",
-        "refers_to",
-        F.when(F.col("refers_to").isNull(), F.col("frame")).alias("frame")
-    )
+    # only what the filter of revisits' keys can't rule out moves
+    marked = maybe_in(rows.withColumn("serial", F.monotonically_increasing_id()), again.select(F.col("own").alias("key")))
+    marked = marked.select("key", "url", "body", "size", "digest", "serial", "maybe")
+    schema = "key long, url string, size long, digest string, serial long, frame binary"
+    framed = lambda some: some.drop("maybe").mapInArrow(frames_of, schema)
+    alone = framed(marked.where("not maybe")).select("key", "url", "size", "digest", F.lit(None).cast("long").alias("refers_to"), "frame")
+    met = framed(marked.where("maybe")).withColumnsRenamed({"key": "own", "digest": "whole"}).join(again, ["own", "whole", "size"], "left")
+    frame = F.when(F.col("refers_to").isNull(), F.col("frame")).alias("frame")
+    made = alone.union(met.select(F.col("own").alias("key"), "url", "size", F.col("whole").alias("digest"), "refers_to", frame))
 
     def archives_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _writer(words.value)

@@ -284,3 +284,26 @@ def test_near_copies_without_keys(spark):
     assert len(got) == 3 and {k for k, _ in got} == {None, 4} and (4, "short text") in got
     keyed = df.union(spark.createDataFrame([(9, " ".join(base[1:]), "en", "s", 0)], SCHEMA))
     assert {r["doc_id"] for r in pipeline.near_duplicates(spark, keyed, "").collect()} == {4, 9}
+
+
+def test_filter_of_keys(spark):
+    """Each key that is there is found; a row without a key isn't, and chance adds few others."""
+    rows = spark.range(20_000).select((F.col("id") - 10_000).alias("key")).union(spark.sql("select cast(null as bigint)"))
+    keys = rows.where("key % 400 = 0")
+    got = warc.maybe_in(rows, keys)
+    assert got.count() == 20_001 and got.where("key % 400 = 0 and not maybe").count() == 0
+    assert got.where("maybe").count() <= 52 and got.where("key is null and maybe").count() == 0
+    crowded = warc.maybe_in(rows, rows.where("key % 2 = 0"), cells=1 << 12)
+    assert crowded.where("key % 2 = 0 and not maybe").count() == 0 and crowded.where("maybe").count() > 15_000
+    assert warc.maybe_in(rows, keys.where("key is null")).where("maybe").count() == 0
+
+
+def test_repeats_refer_to_the_largest_key(spark, tmp_path):
+    """Of 300 pages 20 repeat another; rows without a key are responses."""
+    rows = [(k, f"http://a/{k}", f"<p>{k % 280}</p>" * 300) for k in range(300)]
+    rows += [(None, "http://b/", "<p>0</p>" * 300), (None, None, None)]
+    folder = str(tmp_path / "archives")
+    warc.write(pages(spark, rows).repartition(4), folder)
+    got = {(r["key"], r["record_type"], r["refers_to"]) for r in warc.read(spark, folder).collect()}
+    assert {g for g in got if g[0] is not None} == {(k, "revisit", k + 280) if k < 20 else (k, "response", None) for k in range(300)}
+    assert warc.read(spark, folder).where("key is null").count() == 2
