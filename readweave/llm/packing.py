@@ -10,8 +10,9 @@ its length. Ranks come from the table of pieces as written: a rank within the
 written part plus the counts of the parts before, so no group of equal lengths
 meets in one task.
 
-Null texts count as empty; a document has its end token at least. Rows with equal
-ids are packed apart. Other columns are not carried.
+Null texts count as empty; a document has its end token at least. Very long texts are cut into pieces of
+``capacity`` tokens, none is dropped. Pieces of equal length tie: any of them may take a place, and each has one
+place. Rows with equal ids are packed apart. An empty table gives one. Other columns are not carried.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 No user functions: counts come from built-in string and array functions, so the
 whole operator is a narrow projection without a shuffle. A null or empty text has
 counts of zero and fails the base rule on words. Rows are judged alone: ties,
-repeated rows, other columns and their names don't matter.
+repeated rows, other columns and their names don't matter. Very long texts are counted whole; an empty table gives one.
 
 Words are runs of characters other than 0x20 and 0x09-0x0D. Windows of three words
 are compared by a 64-bit hash with the next in sorted order.

@@ -8,7 +8,8 @@ page indexes let a reader fetch the metadata alone, or the ids of a range of key
 
 Keys ascend over the files in order of their names; rows with equal keys stay apart,
 in no certain order, and null keys come first. Null texts count as empty and have
-the end token only. Other columns are not carried.
+the end token only; very long texts are one row with all their ids. An empty table gives
+files without rows. Other columns are not carried.
 """
 
 from __future__ import annotations
