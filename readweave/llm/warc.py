@@ -3,11 +3,13 @@
 An archive begins with a skippable frame that holds the dictionary; each record is
 one frame. Which records are revisits is found from keys and digests alone. A filter of
 their keys, a bitmap of bounded size, is broadcast: pages that it rules out go into
-archives where they are, only the others' frames are shuffled, to be joined with the revisits by key. Spark's text sink writes each archive as one row, its line separator being
-an empty skippable frame, which every Zstandard reader passes over; its binary source
-reads whole archives, of ``archive_bytes`` at most (a larger record has one of its
-own), however much a partition holds. The reader finds each frame's end from its block headers, decodes it with the
-dictionary, and checks version, headers, lengths and the payload's digest: a record
+archives where they are, only the others' frames are shuffled, to be joined with the
+revisits by key. Spark's text sink writes each archive as one row, its line separator
+being an empty skippable frame, which every Zstandard reader passes over; its binary
+source reads whole archives, of ``archive_bytes`` at most (a larger record has one of
+its own), however much a partition holds. The reader finds each frame's end from its
+block headers, decodes it with the dictionary, and checks version, headers, lengths and
+the payload's digest: a record
 that fails raises ValueError with the archive's name.
 
 Payloads of ``least`` bytes or more that are equal (by SHA-1 and length) have one
