@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +260,25 @@ def test_strand_and_partitions_do_not_matter(spark, reads):
     assert got(shared.shared_pairs(turned, 16)) == got(shared.shared_pairs(reads, 16))
 
 
+def test_least_hashes_over_chunk_ends(monkeypatch):
+    """Rows that lie over several chunks, end with one, or have no fingerprint at all."""
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    made, size = minhash.family(5), [3, 0, 20, 1, 0, 8, 8]
+    row = np.repeat(np.arange(len(size)), size)
+    x = np.random.default_rng(3).integers(0, 1 << 31, len(row)).astype(np.uint64)
+    sig = minhash.lowest(x, row, len(size) + 1, np.array(made, np.uint64))
+    for r, n in enumerate([*size, 0]):
+        own = x[row == r].tolist()
+        assert sig[r].tolist() == [min(((a * v + b) % (1 << 32) for v in own), default=(1 << 32) - 1) // 2 for a, b in made], (r, n)
+
+
+def test_short_and_null_reads_have_no_signature(spark):
+    """A read just long enough has one; shorter, empty and null ones and null ids have none."""
+    rows = [(1, "ACGTACGTACGTACGT"), (2, "ACGTACGTACGTACG"), (3, ""), (4, None), (None, "ACGTACGTACGTACGT")]
+    found = minhash.signatures(spark.createDataFrame(rows, "rid long, seq string"), RunConfig(kmer=16, bands=3))
+    assert [r["rid"] for r in found.collect()] == [1]
+
+
 @pytest.mark.parametrize("block", [2, 3, 4, 5])
 def test_signatures_and_bands_against_brute_force(reads, block):
     config = RunConfig(kmer=21, bands=7, block=block)
