@@ -15,7 +15,7 @@ AS_BASES = ("ACGT" * 7)[:26]
 
 def text_as_bases(text: Column) -> Column:
     """A text as a pseudo-read: its ASCII letters, each standing for one of four bases."""
-    return F.translate(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", "")), LETTERS, AS_BASES)
+    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""), LETTERS + LETTERS.lower(), AS_BASES * 2)
 
 
 def reverse_complement(seq: Column) -> Column:
