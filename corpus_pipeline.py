@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have
 the columns of ``documents``. ``run`` writes each stage's result to the shared folder
-and reads it again, so a lost executor never sets back more than a stage.
+and reads it again, so a lost executor never sets back more than a stage. Each stage
+also runs by itself: workers find this folder wherever the session was started.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readweave.llm import jaccard, packing, quality, rules
-from readweave.session import remove, written
+from readweave.session import reachable, remove, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@reachable
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep.
 
@@ -27,6 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
+@reachable
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labelled documents outside the held-out fold, takes for good.
 
@@ -37,6 +40,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score(docs.select(COLUMNS), model).where("predicted = 1").select(COLUMNS)
 
 
+@reachable
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: that with the smallest doc_id, null ones last; of those the one with the least digest.
 
@@ -54,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(first.select("s.__row"), "__row", "left_semi").dropDuplicates(["__row"]).select(COLUMNS)
 
 
+@reachable
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences.
 

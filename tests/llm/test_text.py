@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -350,3 +351,14 @@ def test_near_duplicates_planted(spark):
     rows += [rows[0].upper(), rows[0].replace(" ", "\n"), rows[-1]] + [rows[5]] * 40
     keyed = [(int(k), t) for k, t in zip(rng.permutation(len(rows)) - 20, rows, strict=True)]
     assert components(spark.createDataFrame(keyed, "doc_id long, text string").repartition(5)) == brute_components(keyed)
+
+
+def test_stages_bring_their_folder_to_workers(spark, monkeypatch):
+    import corpus_pipeline
+
+    environment = spark.sparkContext.environment
+    monkeypatch.setitem(environment, "PYTHONPATH", "/elsewhere")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.STAGES[0][1](spark, docs, "")
+    assert environment["PYTHONPATH"].split(":") == [str(Path(corpus_pipeline.__file__).resolve().parent), "/elsewhere"]
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
