@@ -162,7 +162,6 @@ def test_a_split_gives_out_all_its_lines():
 def test_text_is_scanned_once(spark, files):
     """Reads come from the table that the one scan of the text wrote."""
     df = text.fastq(spark, [str(files / "one.fastq")])
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "text" not in plan and "parquet" in plan
 
 
@@ -549,3 +548,18 @@ def test_command_line(spark, files, tmp_path):
         runs.main(["-t", "candidate", "-a", *fastq], spark)
     with pytest.raises(ValueError):
         runs.main(["-t", "candidate"], spark)
+
+
+def test_uniform_pairs_carry_positions_and_are_not_shuffled(spark):
+    rows = [(k, 7 * k % 300, 20 + k % 150) for k in range(120)] + [(3, 5, 90), (3, 40, 10), (200, None, 50), (4, None, 60)]
+    df = spark.createDataFrame(rows, "rid long, rpos long, rlen long")
+    uniform = intervals.overlap_pairs(df.withColumn("rlen", F.lit(100).cast("long")), 20)
+    columns = ["a", "b", "a_pos", "a_len", "b_pos", "b_len", "overlap", "is_true"]
+    want = sorted(map(tuple, intervals.annotated(uniform, df, 20).select(columns).collect()), key=str)
+    assert want and sorted(map(tuple, intervals.annotated_uniform(df, 100, 20).select(columns).collect()), key=str) == want
+    assert len(uniform.collect()) == len(got(uniform))
+    once = df.where("rid > 4 and rpos is not null")
+    met = intervals.overlap_pairs(once, 20)
+    met.collect()
+    final = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(a" not in final
