@@ -563,3 +563,32 @@ def test_uniform_pairs_carry_positions_and_are_not_shuffled(spark):
     met.collect()
     final = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "hashpartitioning(a" not in final
+
+
+def test_tallies_and_occurrences_of_odd_reads(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "TALLIED", 40)
+    rng = np.random.default_rng(5)
+    seq = lambda n: "".join(rng.choice(list("ACGT"), n))
+    same = seq(30)
+    rows = [(1, same), (2, same * 3), (2, same), (2, same[5:]), (3, ""), (4, "A" * 60), (5, same[:20] + "N" + same), (None, same), (-6, seq(40))]
+    reads = spark.createDataFrame(rows, "rid long, seq string")
+    for k in (9, 16, 21):
+        each = kmers.postings(reads, k).groupBy("kmer", "rid").agg(F.count("*").alias("n"))
+        want = each.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_reads"))
+        assert sorted(map(tuple, kmers.tallied(reads, k).collect())) == sorted(map(tuple, want.collect()))
+        text = want.select(kmers.spelled(F.col("kmer"), k), "n", "n_reads")
+        assert sorted(map(tuple, kmers.tallied(reads, k, spell=True).collect()), key=str) == sorted(map(tuple, text.collect()), key=str)
+        text = each.select(kmers.spelled(F.col("kmer"), k), "rid")
+        assert sorted(map(tuple, kmers.occurrences(reads, k).collect()), key=str) == sorted(map(tuple, text.collect()), key=str)
+    assert not kmers.tallied(reads.limit(0), 16).collect() and not kmers.occurrences(reads.limit(0), 16).collect()
+    plan = kmers.occurrences(reads.where("rid <> 2"), 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_kmers_of_a_long_read_come_once(monkeypatch):
+    monkeypatch.setattr(kmers, "SLICE", 50)
+    texts = ["ACGTTGCAAC" * 5, "ACGTTGCAAC" * 40, "ACGN" * 60, "ACG", "ACG" * 10]
+    found = sorted((r, x, n) for row, kmer, many in kmers._once(pa.array(texts), 16) for r, x, n in zip(row.tolist(), kmer.tolist(), many.tolist()))
+    monkeypatch.setattr(kmers, "SLICE", 1 << 19)
+    windows = Counter((r + lo, x) for lo, kmer, row in kmers.slices(pa.array(texts), 16) for r, x in zip(row.tolist(), kmer.tolist()))
+    assert found == sorted((*key, n) for key, n in windows.items())
