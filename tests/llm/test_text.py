@@ -176,6 +176,22 @@ def test_pairs_rank_what_is_preferred():
     assert auc(model.utility(x[400:]), y[400:]) > 0.97
 
 
+def test_every_labelled_document_counts(spark):
+    """Means, edges and threshold are those of all labelled rows, over several blocks; each row is in a pair."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join("w" * int(n) for n in rng.integers(1, 9, rng.integers(1, 60)))) for k in range(9300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "cast(length(text) > 90 as int) quality")
+    model = quality.train(docs, labels)
+    x = np.array([r[1] for r in quality.scored_vectors(docs.where(~quality.held_out("doc_id")), "text", ["doc_id"]).collect()])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1))
+    want = np.quantile(x, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0, method="lower").T
+    assert np.allclose(model.edges, want)
+    y = np.tile([0, 1, 1], 20)
+    first, second = quality._paired(0, y, 1, 7)
+    assert set(first) | set(second) == set(range(60)) and (y[first] == 1).all() and (y[second] == 0).all()
+
+
 BAD_HOSTS = [
     "m.casino-win.example.com",
     "free-bets.example.com",
