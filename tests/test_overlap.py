@@ -592,3 +592,73 @@ def test_kmers_of_a_long_read_come_once(monkeypatch):
     monkeypatch.setattr(kmers, "SLICE", 1 << 19)
     windows = Counter((r + lo, x) for lo, kmer, row in kmers.slices(pa.array(texts), 16) for r, x in zip(row.tolist(), kmer.tolist()))
     assert found == sorted((*key, n) for key, n in windows.items())
+
+
+def test_texts_become_bases_in_numpy(spark):
+    """As Spark's expression has them, over several windows; also nulls, texts without letters and letters beyond ASCII. The expression isn't run where reads are sketched."""
+    odd = ["", None, "x", "12 -", "Grüße, ÄÖ Straße", "ſK İı", "日本 abc 😀Z", "\x00a\x7fB@[`{", "AZaz" * 300]
+    texts = spark.createDataFrame([(k, odd[k % len(odd)]) for k in range(20_010)], "doc_id long, text string").coalesce(1)
+    reads = sequence.texts_as_reads(texts, "doc_id", "text")
+    want = dict(reads.collect())
+    column = pa.array([odd[k % len(odd)] for k in range(20_012)]).slice(0, 20_010)
+    got = [(lo + j, s) for lo, hi, seq in sequence.bases(column) for j, s in enumerate(seq.to_pylist())]
+    assert len(got) == len(want) and dict(got) == want
+    config = RunConfig(bands=3, kmer=8)
+    plain = reads.select("rid", "seq", F.lit(1).alias("texts"))
+    assert got_rows(lsh.bands(reads, config)) == got_rows(lsh.bands(plain, config))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "translate" in plan(lsh.bands(plain, config)) and "translate" not in plan(lsh.bands(reads, config))
+
+
+def got_rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_sizes_of_buckets_move_packed(spark, monkeypatch):
+    """Keys that repeat in a batch, over batches and over tasks, and keys that differ in one column; what moves are groups, not rows of bands."""
+    from readweave.operators import buckets
+
+    monkeypatch.setattr(buckets, "SENT", 40)
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 249]), rng.choice([0, 5, (1 << 62) - 1, -7]), rng.randrange(3), r) for r in range(900)] + [(7, 7, 7, r) for r in range(500)]
+    rows += [(1, k, 0, k) for k in range(300)]
+    want = Counter(Counter(r[:3] for r in rows).values())
+    keys = "band int, k0 long, k1 long, rid long"
+    assert dict(buckets.sizes(spark.createDataFrame(rows, keys).repartition(5), ["band", "k0", "k1"]).collect()) == want
+    assert buckets.sizes(spark.createDataFrame([], keys), ["band", "k0", "k1"]).collect() == []
+    df = spark.createDataFrame([(k, READS[k % len(READS)]) for k in range(60)], "rid long, seq string")
+    config = RunConfig(bands=9)
+    own = Counter(Counter(tuple(r) for r in lsh.bands(df, config).drop("rid").collect()).values())
+    sizes = lsh.bucket_sizes(df, config)
+    assert dict(sizes.collect()) == own
+    plan = sizes._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[-1]
+    assert "hashpartitioning(grp" in plan and "hashpartitioning(band" not in plan
+
+
+def test_tallied_groups_hold_each_key_once(monkeypatch):
+    """Hashes that collide keep keys apart; groups come once each, in order."""
+    from readweave.operators import buckets, frequent
+
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(0, 3, 5000), rng.integers(-4, 1 << 61, 5000) // (1 << 59), rng.integers(0, 5, 5000)]
+    want = Counter(zip(*(c.tolist() for c in columns)))
+    names = ["grp", "size", *(f"{x}{k}" for k in range(4) for x in ("least", "above"))]
+    for hashed in (frequent._hash, lambda keys: (keys[0] % 2).astype(np.uint64) << np.uint64(61)):
+        monkeypatch.setattr(frequent, "_hash", hashed)
+        batch = buckets._tallied(columns, names)
+        group = batch.column(0).to_pylist()
+        assert group == sorted(set(group)) and max(group) < buckets.TALLIES
+        found = Counter()
+        for *own, n in buckets._unpacked(iter([batch]), 4):
+            for *key, many in zip(*(c.tolist() for c in own), n.tolist()):
+                found[tuple(key)] += many
+        assert found == want
+
+
+def test_kmers_of_all_lengths():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ACGT", k=n)) for n in (0, 7, 30, 61)]
+    buf, at = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(s) for s in texts])]
+    for k in range(8, 22):
+        number, row = kmers.packed(buf, at, k)
+        assert [(int(r), s) for r, s in zip(row, kmers.letters(number, k).to_pylist())] == [(r, w) for r, s in enumerate(texts) for w in brute_kmers(s, k)]
